@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import mixing, secrets, warc
+from rollcall.llm import mixing, ngram_join, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.NgramJoin(_table(spark, sf_dir, "documents")).components()
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -31,6 +35,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op7_mix_sources": op7_mix_sources,
         "op9_secret_scan": op9_secret_scan,
         "op10_warc": op10_warc,
@@ -38,4 +43,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": mixing.MIX_SQL}
+    return {
+        "op1_ngram_jaccard": ngram_join.COMPONENTS_SQL,
+        "op7_mix_sources": mixing.MIX_SQL,
+    }

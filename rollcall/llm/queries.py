@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollcall.llm import minhash, mixing, ngram_join, quality, secrets, toxicity, warc
+from rollcall.llm import minhash, mixing, ngram_join, packing, quality, repair, secrets, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +19,27 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.NgramJoin(_table(spark, sf_dir, "documents")).components()
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's vocabulary file; the operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = repair.write_shards(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return repair.read_shards(shards)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.QualityModel(docs, _table(spark, sf_dir, "labels")).score(docs)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +67,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op3_token_output": op3_token_output,
         "op4_quality": op4_quality,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op6_fingerprints": op6_fingerprints,
         "op7_mix_sources": op7_mix_sources,
         "op8_toxicity": op8_toxicity,

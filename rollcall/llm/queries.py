@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollcall.llm import minhash, mixing, ngram_join, packing, quality, repair, secrets, toxicity, warc
+from rollcall.llm import minhash, mixing, ngram_join, packing, quality, repair, secrets, substring, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.NgramJoin(_table(spark, sf_dir, "documents")).components()
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's vocabulary file; the operators take it as a parameter."""
     import public_tokenizers
@@ -67,6 +71,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_token_output": op3_token_output,
         "op4_quality": op4_quality,
         "op5_best_fit_packing": op5_best_fit_packing,

@@ -56,6 +56,35 @@ def _bucket(level: int) -> Column:
     return F.shiftright("u", BITS * (LEVELS - 1 - level))
 
 
+def mix_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """A row for each source of a ``(source, size, u)`` table.
+
+    ``plan_source, source_size, target, epochs, prefix``: every document is taken ``epochs``
+    times, and those with a hash below ``prefix`` once more.
+    """
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = source_targets(totals, weights, most)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    plan = plan.withColumn("epochs", F.least(epochs, F.lit(most))).withColumn(
+        "budget", F.when(F.col("epochs") < most, F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(F.lit(0.0))
+    ).withColumns({"below": F.lit(0).cast("double"), "prefix": F.lit(0).cast("long")})
+    plan = staged(plan, "mix-plan")  # a row for each source
+    for level in range(LEVELS):
+        plan = staged(_refine(sized, plan, level), "mix-plan")
+    return plan.select(F.col("source").alias("plan_source"), "source_size", "target", "epochs", "prefix")
+
+
+def _copies(u: Column) -> Column:
+    return (F.col("epochs") + F.when(u < F.col("prefix"), 1).otherwise(0)).cast("long")
+
+
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``doc_id, source, size, u`` of every row."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return named.select("doc_id", "source", words.alias("size"), unit_hash(F.col("doc_id")).alias("u"))
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS,
@@ -69,29 +98,20 @@ def mix_sources(
     are taken together; documents of the last boundary bucket, those with equal hashes, are
     taken if the sum comes nearer the budget with them.  An empty table gives no rows.
     """
-    sized = staged(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")).select(
-            "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            unit_hash(F.col("doc_id")).alias("u"),
-        ),
-        "sizes",
-    )
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = source_targets(totals, weights, most)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("epochs", F.least(epochs, F.lit(most))).withColumn(
-        "budget", F.when(F.col("epochs") < most, F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(F.lit(0.0))
-    ).withColumns({"below": F.lit(0).cast("double"), "prefix": F.lit(0).cast("long")})
-    plan = staged(plan, "mix-plan")  # a row for each source
-    for level in range(LEVELS):
-        plan = staged(_refine(sized, plan, level), "mix-plan")
-    plan = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "epochs", "prefix")
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-    copies = F.col("epochs") + F.when(F.col("u") < F.col("prefix"), 1).otherwise(0)
-    return joined.select(
-        "doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"),
-        (F.col("size") * copies).cast("long").alias("taken"),
-    )
+    sized = staged(sizes(docs, id_col, text_col, source_col), "sizes")
+    joined = sized.join(mix_plan(sized, weights, most), F.col("source").eqNullSafe(F.col("plan_source")))
+    copies = _copies(F.col("u"))
+    return joined.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of the mix: each row of ``docs`` as often as it is taken, columns unchanged."""
+    plan = mix_plan(staged(sizes(docs, id_col, text_col, source_col), "sizes"))
+    plan = plan.select(*[F.col(c).alias(f"__mix_{c}") for c in ("plan_source", "epochs", "prefix")])
+    taken = F.col("__mix_epochs") + F.when(unit_hash(F.col(id_col)) < F.col("__mix_prefix"), 1).otherwise(0)
+    rows = docs.join(plan, F.col(source_col).eqNullSafe(F.col("__mix_plan_source"))).withColumn("__mix_taken", taken)
+    copies = rows.where("__mix_taken > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_taken"))))
+    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _refine(sized: DataFrame, plan: DataFrame, level: int) -> DataFrame:

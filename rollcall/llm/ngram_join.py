@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollcall.llm import kernel, sketch
 from rollcall.operators.components import connected_components
@@ -235,6 +235,25 @@ class NgramJoin:
         return members.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without near-copies: of each component the document with the smallest id stays.
+
+    Rows without words or without an id stay.  Of rows that repeat an id one stays, the first in
+    the order of their texts.
+    """
+    found = staged(NgramJoin(docs, id_col, text_col, n, num, den).components().where("n_shingles > 0 AND doc_id IS NOT NULL"), "ngram-found")
+    copies = found.where("component_id < doc_id").select(F.col("doc_id").alias("__copy")).distinct()
+    kept = docs.join(copies, F.col(id_col) == F.col("__copy"), "left_anti")
+    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__repeated"))
+    if not repeated.take(1):
+        return kept
+    repeated = staged(repeated, "ngram-repeated")
+    again = kept.join(repeated, F.col(id_col) == F.col("__repeated"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.length(F.trim(F.coalesce(text_col, F.lit("")))) == 0, text_col))
+    once = again.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    return kept.join(repeated, F.col(id_col) == F.col("__repeated"), "left_anti").unionByName(once)
+
+
 #: The same components in DuckDB SQL, from all pairs that share a shingle.
 COMPONENTS_SQL = """
 WITH RECURSIVE w AS (

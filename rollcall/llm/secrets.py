@@ -195,3 +195,22 @@ def redact(text: str) -> str:
         out += [text[at:start], f"[{kind}]"]
         at, i = end, i + 1
     return "".join(out) + text[at:] if spans else text
+
+
+def redacted_rows(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with secrets redacted; ``length_col``, if there, gets a changed text's new length."""
+    text_at = docs.columns.index(text_col)
+    length_at = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            old = columns[text_at].to_pylist()
+            new = [text and redact(text) for text in old]
+            columns[text_at] = pa.array(new, columns[text_at].type)
+            if length_at is not None:
+                lengths = columns[length_at].to_pylist()
+                columns[length_at] = pa.array([n if a == b else len(b) for a, b, n in zip(old, new, lengths)], columns[length_at].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

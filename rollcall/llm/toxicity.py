@@ -232,6 +232,23 @@ class ToxicityModel:
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         return texts.mapInArrow(_evidence(self.table, self.law), EVIDENCE_SCHEMA)
 
+    def clean(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """The rows of ``docs`` that are not predicted toxic, all columns unchanged."""
+        at, shared, law, weights = docs.columns.index(text_col), self.table, self.law, self.weights
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            collect = _evidence(shared, law)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = pa.array(np.arange(batch.num_rows))
+                found = pa.Table.from_batches(list(collect([pa.RecordBatch.from_arrays([ids, batch.column(at)], ["doc_id", "text"])])))
+                n, best, significant = (found.column(c).to_numpy().astype(np.float64) for c in ("n_tokens", "best", "significant"))
+                line = weights[0] + sum(w * x for w, x in zip(weights[1:], _inputs(best, significant, n, law, np.log1p, np.log)))
+                yield batch.filter(pa.array(1 / (1 + np.exp(-line)) < THRESHOLD))
+
+        return docs.mapInArrow(run, docs.schema)
+
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``doc_id, held_out, score, predicted`` and the evidence, one row per input row.
 
@@ -239,7 +256,7 @@ class ToxicityModel:
         """
         found = self.evidence(docs, id_col, text_col)
         # The evidence of several passages is calibrated by the best one's curve, which has seen one passage a text.
-        inputs = _inputs(F.col("best"), F.greatest("significant", F.lit(0.0)), F.col("n_tokens"), self.law, F.log1p, F.log)
+        inputs = _inputs(F.col("best"), F.col("significant"), F.col("n_tokens"), self.law, F.log1p, F.log)
         line = F.lit(float(self.weights[0]))
         for w, x in zip(self.weights[1:], inputs):
             line = line + F.lit(float(w)) * x

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -23,10 +23,18 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalized(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    length = norm(v)
-    return F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
+
+    def scaled(pair: Column) -> Column:
+        return F.transform(pair["v"], lambda x: F.when(pair["n"] > 0, x.cast("double") / pair["n"]).otherwise(x.cast("double")))
+
+    return bound(v, lambda x: bound(F.struct(x.alias("v"), norm(x).alias("n")), scaled))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -1,0 +1,29 @@
+"""Members of zip archives as rows."""
+
+from __future__ import annotations
+
+import fnmatch
+import io
+import zipfile
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _members(pattern: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
+                    for name in archive.namelist():
+                        if fnmatch.fnmatch(name.rsplit("/", 1)[-1], pattern):
+                            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([archive.read(name).decode("utf-8", "replace")])], ["path", "member", "value"])
+
+    return run
+
+
+def zip_members(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``path, member, value`` of the archives' members whose name fits; one member is in memory at a time."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(_members(pattern), "path string, member string, value string")

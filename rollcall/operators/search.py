@@ -102,7 +102,8 @@ def person_name_lookup(people: DataFrame, queries: DataFrame) -> DataFrame:
     """People of the query's normalised name, one row for each canonical group with its most telling member."""
     wanted = queries.select("qid", "query", names.normalize_person(F.col("query")).alias("name_normalized")).where("name_normalized <> ''")
     order = Window.partitionBy("qid").orderBy(F.col("canon_size").desc(), "id")
-    hits = wanted.join(people, "name_normalized").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= NAME_LIMIT)
+    known = people.select("id", "name_normalized", "canon_id", "canon_size", "known_for_role_id", "known_for_org_id")
+    hits = wanted.join(known, "name_normalized").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= NAME_LIMIT)
     told = F.when(F.col("known_for_role_id").isNotNull(), 1).otherwise(0) + F.when(F.col("known_for_org_id").isNotNull(), 1).otherwise(0)
     best = Window.partitionBy("qid", "canon_id").orderBy(told.desc(), "nth")
     chosen = hits.withColumn("__best", F.row_number().over(best)).where("__best = 1")

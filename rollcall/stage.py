@@ -63,3 +63,21 @@ def drop_stage(*tables: DataFrame | None) -> None:
             jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
             jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
             table._stage_path = None
+
+
+def drop_session_stages(spark: SparkSession) -> int:
+    """Delete all stage tables under the stage root; for the end of a session that has written its results.  Returns their number."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in (fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "rollcall-*")) or [])]
+    for path in found:
+        fs.delete(path, True)
+    return len(found)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a warehouse table bucketed by ``key``, so that several joins on the key shuffle its rows just once."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"rollcall_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(name)
+    return spark.table(name)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollcall.llm import kernel, sketch
 from rollcall.operators.components import connected_components
-from rollcall.stage import drop_stage, staged
+from rollcall.stage import bucketed, drop_stage, staged
 
 ORDERS = 3
 #: Counters of an order's sketch; a fixed 2 MB each.
@@ -239,8 +239,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` without near-copies: of each component the document with the smallest id stays.
 
     Rows without words or without an id stay.  Of rows that repeat an id one stays, the first in
-    the order of their texts.
+    the order of their texts.  The texts are shuffled once, into a table bucketed by id; the
+    candidates' texts and the rows that stay are both taken from it without another shuffle.
     """
+    docs = bucketed(docs, id_col)
     found = staged(NgramJoin(docs, id_col, text_col, n, num, den).components().where("n_shingles > 0 AND doc_id IS NOT NULL"), "ngram-found")
     copies = found.where("component_id < doc_id").select(F.col("doc_id").alias("__copy")).distinct()
     kept = docs.join(copies, F.col(id_col) == F.col("__copy"), "left_anti")

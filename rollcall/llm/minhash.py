@@ -164,29 +164,49 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id``: components of verified pairs that share a signature band.
 
-    Equal sets are one class.  In each band's bucket members meet the smallest id, verified
-    by the Jaccard similarity of the whole five-word shingle sets; with 32 bands the members
-    of a group meet several such ids.  Texts without words are alone, as are rows without an id.
+    Equal sets are one class.  In each band's bucket members first meet the smallest id; links
+    verified by the Jaccard similarity of the whole five-word shingle sets merge classes, and
+    members of a bucket that are still apart then meet as well.  So every pair that shares a
+    band and might join two components is verified.  Texts without words are alone, as are
+    rows without an id.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     members = staged(texts.mapInArrow(_signature_rows, "doc_id long, n_shingles long, digest binary, bands array<long>"), "minhash-members")
     classes = members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = staged(classes, "minhash-classes")
     buckets = classes.select("rep", F.explode("bands").alias("band"))
-    least = buckets.groupBy("band").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1").select("band", "a")
-    pairs = staged(buckets.join(least, "band").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "minhash-pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    kept = staged(texts.join(ends, "doc_id", "left_semi"), "minhash-texts")
-    rows = pairs.join(kept.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        kept.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
-    )
-    links = staged(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify(num, den), "a long, b long").distinct(), "minhash-links")
+    least = buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1").select("band", "hub")
+    shared = staged(buckets.join(least, "band"), "minhash-buckets")
+    kept = staged(texts.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "minhash-texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(kept.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
+            kept.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
+        )
+        return staged(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify(num, den), "a long, b long").distinct(), "minhash-links")
+
+    links = verified(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    labels = staged(connected_components(links, "a", "b"), "minhash-labels")
+    links = links.union(verified(_apart(shared, labels)))
     labels = connected_components(links, "a", "b").select(F.col("id").alias("rep"), "component")
     of_class = classes.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     known = members.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     return known.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of bucket members with different labels, hubs aside; one of each pair is outside its hub's component."""
+    label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_label"))
+    rows = shared.join(label("rep"), "rep", "left").join(label("hub"), "hub", "left").select(
+        "band", "rep", F.coalesce("rep_label", "rep").alias("label"), F.coalesce("hub_label", "hub").alias("home"), (F.col("rep") == F.col("hub")).alias("is_hub")
+    )
+    rows = staged(rows.where("NOT is_hub"), "minhash-apart")
+    outside = rows.where("label <> home").select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"))
+    other = rows.select("band", F.col("rep").alias("b"), F.col("label").alias("label_b"), "home")
+    met = outside.join(other, "band").where("label_a <> label_b AND (label_b = home OR a < b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _verify(num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -86,5 +86,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard": ngram_join.COMPONENTS_SQL,
+        "op2_substring_dedup": substring.REPEATS_SQL,
         "op7_mix_sources": mixing.MIX_SQL,
+        "op10_warc": warc.RECORDS_SQL,
     }

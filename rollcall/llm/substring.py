@@ -218,3 +218,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(EMPTY_SHA256)).otherwise(F.coalesce("cut_sha256", "sha256")).alias("kept_sha256"),
     )
+
+
+#: The same result in DuckDB SQL, from all windows.
+REPEATS_SQL = """
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+hashed AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 48), lambda p: md5(array_to_string(ws[p:p + 49], ' ')))) AS h,
+                  unnest(range(1, len(ws) - 48)) AS p FROM w WHERE len(ws) >= 50),
+firsts AS (SELECT h, min(doc_id) AS low FROM hashed GROUP BY h),
+later AS (SELECT doc_id, p FROM hashed JOIN firsts USING (h) WHERE doc_id > low),
+gone AS (SELECT DISTINCT doc_id, p + k AS at_word FROM later, range(0, 50) r(k)),
+listed AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS at_word FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY at_word) AS words FROM listed ANTI JOIN gone USING (doc_id, at_word) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)
+"""

@@ -154,3 +154,15 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
 def read_archives(archives: DataFrame) -> DataFrame:
     """Records of ``(archive, warc)`` rows.  An archive that fails verification fails the job."""
     return archives.select("archive", "warc").mapInArrow(_read, RECORD_SCHEMA)
+
+
+#: The same records in DuckDB SQL; base32 from the hexadecimal digest, four characters from each five digits.
+RECORDS_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+roles AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, (1 + 5 * (i // 4))::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM roles
+"""

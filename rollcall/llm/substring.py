@@ -198,15 +198,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     able = parsed.where(f"n_words >= {int(window)} AND doc_id IS NOT NULL")
     firsts = staged(able.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("names").alias("names")), "repeat-firsts")
     names = firsts.select(F.col("first").alias("doc_id"), F.explode("names").alias("name"))
-    shared = names.groupBy("name").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("name")
+    # Staged, so that both sides of the joins below are exchanges and a very common name or window is split between tasks.
+    shared = staged(names.groupBy("name").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("name"), "repeat-common")
     of_doc = staged(names.join(shared, "name").groupBy("doc_id").agg(F.collect_list("name").alias("names")), "repeat-shared")  # bounded by the text
     candidates = staged(texts.join(of_doc, "doc_id"), "repeat-texts")
     windows = candidates.select("doc_id", "text", "names").mapInArrow(_windows(window), "hash long, doc_id long, at int")
     windows = staged(windows, "repeat-windows")
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash", "low")
+    least = staged(least, "repeat-least")
     later = windows.join(least, "hash").where("doc_id > low")
     places = staged(later.groupBy("doc_id").agg(F.collect_set("at").alias("places")), "repeat-places")  # bounded by the text
-    drop_stage(windows, of_doc)
+    drop_stage(windows, of_doc, shared, least)
     cut = candidates.select("doc_id", "text").join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_cut(window), "doc_id long, n_cut long, cut_sha256 string")
     cut = staged(cut.groupBy("doc_id").agg(F.first("n_cut").alias("n_cut"), F.first("cut_sha256").alias("cut_sha256")), "repeat-cut")
     drop_stage(candidates, places)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollcall.llm import minhash, mixing, ngram_join, packing, quality, repair, secrets, substring, toxicity, warc
+from rollcall.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,8 +70,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _shipping(query: Query) -> Query:
+    """The query, with the package sent to the executors before it runs."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {
+    named: dict[str, Query] = {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_token_output": op3_token_output,
@@ -81,6 +94,7 @@ def queries() -> dict[str, Query]:
         "op9_secret_scan": op9_secret_scan,
         "op10_warc": op10_warc,
     }
+    return {name: _shipping(query) for name, query in named.items()}
 
 
 def oracle_sql() -> dict[str, str]:

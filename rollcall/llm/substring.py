@@ -61,6 +61,7 @@ def window_names(hashes: np.ndarray, owner: np.ndarray, n: int, wholes: np.ndarr
     symbols, texts, start = hashes, owner, np.arange(len(hashes))
     # Of each window: the first symbol that what precedes it can't touch, and the end of those that what follows can't.
     low, high = np.arange(size), np.arange(n, len(hashes) + 1)
+    spent = np.zeros(size, bool)  # windows without such a symbol, then or in a later round; the bounds below are kept in range for lookups only
     for round_ in range(ROUNDS):
         if round_ in RUN_ROUNDS:
             head = np.ones(len(symbols), bool)
@@ -69,6 +70,7 @@ def window_names(hashes: np.ndarray, owner: np.ndarray, n: int, wholes: np.ndarr
             at = np.flatnonzero(head)
             many = np.diff(np.append(at, len(symbols)))
             low, high = group[low] + 1, group[high - 1]
+            spent |= low >= high
             low, high = np.minimum(low, len(at) - 1), np.maximum(high, 1)
             named = kernel.mix(symbols[at] + many.astype(np.uint64) * np.uint64(_STEP))
             symbols, texts, start = np.where(many > 1, named, symbols[at]), texts[at], start[at]
@@ -83,6 +85,7 @@ def window_names(hashes: np.ndarray, owner: np.ndarray, n: int, wholes: np.ndarr
         pair[:-1] = merged[1:]
         named = kernel.mix(symbols[at] * np.uint64(_STEP) + np.append(symbols, np.uint64(0))[at + 1] + np.uint64(2 * round_ + 1))
         symbols, texts, start = np.where(pair[at], named, symbols[at]), texts[at], start[at]
+        spent |= low_next >= high_next
         low, high = np.minimum(low_next, len(symbols) - 1), np.maximum(high_next, 1)
     length = np.minimum(np.diff(np.append(start, len(hashes))), 255).astype(np.uint64)
     # A symbol's last word must lie in its text: the last one of a text ends there, whatever follows.
@@ -94,7 +97,7 @@ def window_names(hashes: np.ndarray, owner: np.ndarray, n: int, wholes: np.ndarr
         up = last.copy()
         np.maximum(last[:-half], last[half:], out=up[:-half])
         tables.append(up)
-    inner = high - low
+    inner = np.where(spent, 0, high - low)
     out = wholes >> np.uint64(8)
     safe = np.flatnonzero(inner > 0)
     level = np.frexp(inner[safe].astype(np.float64))[1] - 1

@@ -105,6 +105,25 @@ def test_substring_dedup(docs, rows, window):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == _cut(rows, window)
 
 
+def test_substring_dedup_of_repeated_words_in_blocks_of_their_own(spark):
+    """A text that shrinks to one symbol shares its windows with longer ones and with mixed blocks."""
+    rows = [(1, "x " * 60), (2, "x " * 130), (3, "x " * 90 + " ".join(f"w{i}" for i in range(40))), (4, "y z " * 64), (5, "y z " * 90)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = substring.remove_repeats(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == _cut(rows, 50)
+
+
+def test_window_names_of_one_symbol():
+    """Windows of one repeated word have one name, however long the text is and whatever shares its block."""
+    word = np.uint64(0x9E3779B97F4A7C15)
+    found = set()
+    for n, more in ((60, 0), (61, 0), (130, 0), (130, 30)):
+        text = np.concatenate([np.full(n, word), np.arange(1, more + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)])
+        owner = np.repeat([0, 1], [n, more])
+        found |= set(substring.window_names(text, owner, 50, substring.window_hashes(text, 50))[: n - 49].tolist())
+    assert len(found) == 1
+
+
 def test_window_names_follow_from_the_window_alone():
     """A window has one name wherever it stands, also among runs and periods."""
     rng = np.random.default_rng(2)

@@ -7,6 +7,9 @@ is worked off in slices of that size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollcall.functions import vectors
@@ -50,14 +53,15 @@ def top_k(pairs: DataFrame, k: int, group: str = "qid", order: list[Column] | No
     return pairs.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k)
 
 
+def sliced(queries: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``find`` of each slice of the queries, put together."""
+    return reduce(DataFrame.unionByName, [find(part) for part in slices(queries)])
+
+
 def search(index: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """Exact top-k of each query; ``where`` restricts the index before ranking."""
     rows = index if where is None else index.where(where)
-    out = None
-    for part in slices(queries):
-        found = top_k(scored(rows, part), k)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return sliced(queries, lambda part: top_k(scored(rows, part), k))
 
 
 def best_of_group(pairs: DataFrame, canon: str, k: int) -> DataFrame:

@@ -48,7 +48,7 @@ def group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_name_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name matches before vector matches, a group once."""
     found = vector_queries.vec_topk_canon(spark, sf_dir).select("qid", F.col("label").cast("long").alias("canon_id"), "score")
-    named = table(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("label").cast("long").alias("canon_id"), F.lit(1.0).alias("score"))
+    named = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % vector_queries.QUERY_STEP == 0).select(F.col("vec_id").alias("qid"), F.col("label").cast("long").alias("canon_id"), F.lit(1.0).alias("score"))
     return search.merged(named, found, 4).select("qid", "canon_id", "score", "tier", "rank")
 
 
@@ -78,10 +78,16 @@ def vec_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Float cosine and exact top-k without quantisation."""
     from rollcall.functions import vectors
 
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    pairs = e.crossJoin(F.broadcast(q)).select("qid", F.col("vec_id").alias("id"), F.round(vectors.cosine(F.col("embedding"), F.col("q")), 5).alias("score"))  # three queries
-    return vector_search.top_k(pairs, 5).select("qid", "id", "score", "rank")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", vectors.norm(F.col("embedding")).alias("length"))
+    queries = e.where(F.col("vec_id") % vector_queries.QUERY_STEP == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("length").alias("qlength"))
+    lengths = F.col("length") * F.col("qlength")
+    similarity = F.when(lengths > 0, vectors.dot(F.col("embedding"), F.col("q")) / lengths).otherwise(0.0)
+
+    def found(part: DataFrame) -> DataFrame:
+        pairs = e.crossJoin(F.broadcast(part)).select("qid", F.col("vec_id").alias("id"), F.round(similarity, 5).alias("score"))
+        return vector_search.top_k(pairs, 5)
+
+    return vector_search.sliced(queries, found).select("qid", "id", "score", "rank")
 
 
 def classify_types(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,32 +15,34 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.build_index(table(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding"), ["label"])
 
 
-def _queries(index: DataFrame, n: int) -> DataFrame:
-    """Fewer than ``n`` rows of the table serve as queries."""
-    return index.where(F.col("id") < n).select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("label").alias("qlabel"))
+#: Rows whose id is a multiple of this serve as queries, at every table size.
+QUERY_STEP = 100
+
+
+def _queries(index: DataFrame) -> DataFrame:
+    return index.where(F.col("id") % QUERY_STEP == 0).select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("label").alias("qlabel"))
 
 
 def vec_topk_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    return vector_search.search(index, _queries(index, 5), 10).select("qid", "id", "score", "rank")
+    return vector_search.search(index, _queries(index), 10).select("qid", "id", "score", "rank")
 
 
 def vec_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    pairs = vector_search.scored(index, _queries(index, 5)).where("label = qlabel AND id <> qid")
-    return vector_search.top_k(pairs, 10).select("qid", "id", "label", "score", "rank")
+    found = vector_search.sliced(_queries(index), lambda part: vector_search.top_k(vector_search.scored(index, part).where("label = qlabel AND id <> qid"), 10))
+    return found.select("qid", "id", "label", "score", "rank")
 
 
 def vec_topk_canon(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    pairs = vector_search.scored(index, _queries(index, 5))
-    return vector_search.best_of_group(pairs, "label", 5).select("qid", "id", "label", "score", "rank")
+    found = vector_search.sliced(_queries(index), lambda part: vector_search.best_of_group(vector_search.scored(index, part), "label", 5))
+    return found.select("qid", "id", "label", "score", "rank")
 
 
 def vec_hot_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir).withColumn("shard", F.when(F.col("id") < 100, 0).otherwise(1))
-    queries = _queries(index, 200).where("qid % 20 = 7").select("qid", "q")
-    return vector_search.hot_then_cold(index, queries, 5).select("qid", "id", "score", "rank")
+    return vector_search.hot_then_cold(index, _queries(index).select("qid", "q"), 5).select("qid", "id", "score", "rank")
 
 
 def shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +78,7 @@ def quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accuracy_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    pairs = vector_search.scored(index, _queries(index, 50)).where("id <> qid")
-    results = vector_search.top_k(pairs, 10)
+    results = vector_search.sliced(_queries(index), lambda part: vector_search.top_k(vector_search.scored(index, part).where("id <> qid"), 10))
     found = stats.accuracy(results, F.col("label") == F.col("qlabel"), 10, ["qlabel"])
     return found.select("qlabel", "queries", F.round("acc_at_1", 6).alias("acc_at_1"), F.round("acc_at_k", 6).alias("acc_at_k"))
 

@@ -175,8 +175,7 @@ def interval_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alias_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").where("p_partkey < 500")
-    orgs = parts.select(
+    orgs = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lower("p_name").alias("name_normalized"), F.col("p_partkey").cast("string").alias("source_identifier"),
         F.lit(4).cast("long").alias("source_id"), F.lit(None).cast("long").alias("alias_source_id"), F.col("p_partkey").alias("canon_id"),
         F.to_json(F.struct(F.split(F.upper("p_name"), " ").alias("wikidata_aliases"), F.array(F.col("p_type")).alias("other_names"), F.col("p_brand").alias("ticker"))).alias("record"),

@@ -55,3 +55,9 @@ def test_searches_take_all_queries(spark, folder, monkeypatch, name, most):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a == pytest.approx(b)
+
+
+def test_alias_explode_takes_all_parts(spark, folder):
+    got = _spark(spark, folder, "alias_explode")
+    assert got == _sql(folder, registry.oracle_sql()["alias_explode"], {" WHERE p_partkey < 500": ""})
+    assert {row[0] for row in got} == set(range(1, 800))

@@ -61,3 +61,9 @@ def test_alias_explode_takes_all_parts(spark, folder):
     got = _spark(spark, folder, "alias_explode")
     assert got == _sql(folder, registry.oracle_sql()["alias_explode"], {" WHERE p_partkey < 500": ""})
     assert {row[0] for row in got} == set(range(1, 800))
+
+
+def test_point_lookup_takes_all_references(spark, folder):
+    got = _spark(spark, folder, "point_lookup")
+    assert got == _sql(folder, registry.oracle_sql()["point_lookup"], {" WHERE l_orderkey < 20": ""})
+    assert len(got) > 400

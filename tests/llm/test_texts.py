@@ -75,6 +75,23 @@ def test_grammar_round_trip_and_random_access():
             assert np.array_equal(shard.tokens(int(lo), int(hi)), ids[lo:hi])
 
 
+@pytest.mark.parametrize("planes", [repair.PLANES, 0])
+def test_grammar_leaves_no_frequent_pair(monkeypatch, planes):
+    """Few copies and long repeats shrink as well."""
+    monkeypatch.setattr(repair, "PLANES", planes)
+    rng = np.random.default_rng(6)
+    long, few = rng.integers(0, 50257, 600), rng.integers(0, 50257, 300)
+    parts = [*[np.append(long, 2)] * 40, *[np.append(few, 2)] * 8, *[np.append(rng.integers(0, 50257, 50), 2) for _ in range(20)]]
+    first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    ids = np.concatenate(parts).astype(np.uint16)
+    symbols, starts, _ = repair.compress(ids, first)
+    left = Counter(pair for lo, hi in zip(starts[:-1], starts[1:]) for pair in zip(symbols[lo:hi].tolist(), symbols[lo + 1 : hi].tolist()))
+    assert max(left.values()) < 6
+    assert np.diff(starts)[:48].max() <= 4
+    shard = repair.Shard(repair.write_shard(list(range(len(parts))), ids, first))
+    assert all(np.array_equal(shard.document(i), part) for i, part in enumerate(parts))
+
+
 def test_packing(docs, rows):
     got = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), capacity=64).collect()
     want = Counter()

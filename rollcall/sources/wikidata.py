@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rollcall.functions import dates, names
+from rollcall.stage import drop_stage, staged
 
 CLAIMS = "map<string,array<struct<mainsnak:struct<datavalue:struct<value:string>>,qualifiers:map<string,array<struct<datavalue:struct<value:string>>>>>>>"
 ENTITY = (
@@ -69,20 +70,23 @@ def label() -> Column:
     return F.coalesce(F.nullif(F.try_element_at("labels", F.lit("en"))["value"], F.lit("")), F.get(others, F.lit(0))["value"])
 
 
-def closure(edges: DataFrame, classes: DataFrame, rounds: int = 16) -> DataFrame:
+def closure(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """Classes with those below them: a subclass takes the type of its nearest classified ancestor.
 
-    ``edges`` has ``child, parent``.  Each round goes down one level; types that a class has
-    already are kept.
+    ``edges`` has ``child, parent``.  Each round goes down one level, until a level has no new
+    class; types that a class has already are kept.
     """
-    known = classes
-    for _ in range(rounds):
-        below = edges.join(known.withColumnRenamed("qid", "parent"), "parent").select(F.col("child").alias("qid"), "kind", "type")
-        fresh = below.join(known.select("qid", "kind"), ["qid", "kind"], "left_anti").groupBy("qid", "kind").agg(F.min("type").alias("type"))
-        if not fresh.take(1):
-            break
-        known = known.unionByName(fresh)
-    return known
+    edges = staged(edges.select("child", "parent"), "subclasses")
+    known = level = classes
+    while True:
+        seen = known.select(F.col("qid").alias("__qid"), F.col("kind").alias("__kind"))
+        below = edges.join(level.withColumnRenamed("qid", "parent"), "parent").select(F.col("child").alias("qid"), "kind", "type")
+        fresh = below.join(seen, (F.col("qid") == F.col("__qid")) & F.col("kind").eqNullSafe(F.col("__kind")), "left_anti").groupBy("qid", "kind").agg(F.min("type").alias("type"))
+        level = staged(fresh, "classes")
+        if not level.take(1):
+            drop_stage(edges, level)
+            return known
+        known = known.unionByName(level)
 
 
 def subclass_edges(entities: DataFrame) -> DataFrame:

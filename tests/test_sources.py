@@ -109,6 +109,14 @@ def test_dump(spark, tmp_path):
     assert place.parent_qids == ["Q70", "Q183"] and json.loads(place.record)["coordinates"] == {"lat": 1.5, "lon": 2.5}
 
 
+def test_closure_reaches_every_level(spark):
+    """A chain deeper than any fixed number of rounds, with a cycle at its end."""
+    chain = [(f"C{k + 1}", f"C{k}") for k in range(20)] + [("C18", "C20")]
+    edges = spark.createDataFrame(chain, "child string, parent string")
+    found = wikidata.closure(edges, spark.createDataFrame([("C0", "occupation", "artist")], "qid string, kind string, type string"))
+    assert sorted((r.qid, r.kind, r.type) for r in found.collect()) == sorted((f"C{k}", "occupation", "artist") for k in range(21))
+
+
 def test_aliases(spark, tmp_path):
     (tmp_path / "p.tsv").write_text("type\twikidata_id\tname\tlanguage\nORG\tQ1\tBig Blue\ten\nPER\tQ1\tX\ten\nORG\tQ1\tBleu\tfr\n")
     orgs = spark.createDataFrame([(1, 1, "ibm", None), (2, 1, "ibm alias", 5)], "id long, qid long, name_normalized string, alias_source_id long")

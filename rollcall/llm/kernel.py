@@ -1,13 +1,15 @@
 """Vectorised text kernel: words, word hashes and n-gram hashes of whole Arrow batches.
 
 Words are the maximal runs of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 are
-exactly the runs matched by ``[^\\x20\\x09-\\x0D]+``.  Hashes are 64-bit polynomial sums
-over a random byte table, finished with a mixing step; they depend on content alone, so
-every executor gives equal words equal names.
+exactly the runs matched by ``[^\\x20\\x09-\\x0D]+``.  Hashes are 64 bits wide and depend on
+content alone, so every executor gives equal words equal names.  A span is hashed in
+chunks of eight bytes, each followed by a mixing step, so no sum of powers can cancel; a
+span of more than ``LONG`` bytes has a cryptographic digest instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,33 +19,18 @@ import pyarrow as pa
 #: Texts are handled in blocks of about this many bytes; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 17
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_GRAM = 0xD1342543DE82EF95
+#: Longer spans are hashed one by one.
+LONG = 256
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_GRAM = np.uint64(0xD1342543DE82EF95)
+#: The low n bytes of a chunk.
+LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        out = np.full(max(n, 2 * BLOCK_BYTES), base, np.uint64)
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-        if len(out) > 64 * BLOCK_BYTES:  # an unusually long text: don't keep its table
-            return out
-        have = _powers[base] = out
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finishing step of a 64-bit hash; a bijection."""
     x = x ^ (x >> np.uint64(30))
@@ -129,12 +116,26 @@ def words(block: Block, separator: np.ndarray = SPACE) -> Words:
     return Words(start, end, np.searchsorted(start, offsets))
 
 
+def chunk_view(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` as a little-endian number, zeros after the end; its last entry is 0."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans ``data[start:end]``."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _power(_BASE, len(data))[: len(data)], out=sums[1:])
-    raw = (sums[end] - sums[start]) * _power(_BASE_INV, len(data) + 1)[start]
-    return mix(raw + (end - start).astype(np.uint64) * np.uint64(_GRAM))
+    """64-bit hashes of the byte spans ``data[start:end]``.  Of spans of at most eight bytes and equal length no two collide."""
+    size = end - start
+    chunks = chunk_view(data)
+    out = mix((chunks[start] & LOW[np.minimum(size, 8)]) + size.astype(np.uint64) * _STEP)
+    todo, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while todo.size:
+        left = size[todo] - at
+        out[todo] = mix(out[todo] * _GRAM + (chunks[start[todo] + at] & LOW[np.minimum(left, 8)]))
+        todo, at = todo[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def lowered(block: Block) -> Block:
@@ -149,7 +150,7 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     size = len(hashes) - n + 1
     total = hashes[:size] * np.uint64(1)
     for j in range(1, n):
-        total *= np.uint64(_GRAM)
+        total *= _GRAM
         total += hashes[j : j + size]
     return mix(total + np.uint64(n))
 

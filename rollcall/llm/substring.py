@@ -10,12 +10,12 @@ its reach are those that every occurrence of the window shares.
 
 1. Every document names its windows by their longest such interior symbol, or by their
    whole content where none is left, and emits the distinct names.
-2. Names that two documents share reveal candidate passages; only windows under a shared
-   name are hashed whole, and equal windows are verified by those hashes.
+2. Names that two documents share reveal candidate passages; windows under a shared name
+   are verified by a 128-bit cryptographic digest of their words' bytes.
 3. Words covered by a window that also starts in a document with a smaller id go.
 
-Documents equal as a whole are settled by a digest before that: only the one with the
-smallest id takes part.
+Documents equal as a whole are settled before that by the SHA-256 digest of their words:
+only the one with the smallest id takes part.
 """
 
 from __future__ import annotations
@@ -36,18 +36,24 @@ ROUNDS = 6
 RUN_ROUNDS = (0, 3)
 _SEED = np.uint64(0xA0761D6478BD642F)
 _STEP = 0xE7037ED1A0B428DB
-_STEP_INV = pow(_STEP, -1, 1 << 64)
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
 def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n word hashes, by prefix sums."""
-    if len(hashes) < n:
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * kernel._power(_STEP, len(hashes))[: len(hashes)], out=sums[1:])
+    """Hash of each run of n word hashes, from those of runs of 1, 2, 4, ... words; every step is mixed."""
     size = len(hashes) - n + 1
-    return kernel.mix((sums[n:] - sums[:size]) * kernel._power(_STEP_INV, len(hashes))[:size])
+    if size <= 0:
+        return np.zeros(0, np.uint64)
+    runs, span, done, out = hashes, 1, 0, None
+    while True:
+        if n & span:
+            own = runs[done : done + size]
+            out = own if out is None else kernel.mix(out * np.uint64(_STEP) + own)
+            done += span
+        if 2 * span > n:
+            return kernel.mix(out + np.uint64(n))
+        runs = kernel.mix(runs[:-span] * np.uint64(_STEP) + runs[span:])
+        span *= 2
 
 
 def window_names(hashes: np.ndarray, owner: np.ndarray, n: int, wholes: np.ndarray) -> np.ndarray:
@@ -128,19 +134,17 @@ def _names(n: int):
         for batch in batches:
             for block in kernel.blocks(batch.column(1)):
                 parsed = Parsed(block, n)
-                digests, kept, names, ends = [], [], [], [0]
+                digests, names, ends = [], [], [0]
                 for i in range(len(block)):
-                    own = parsed.hashes[parsed.words.first[i] : parsed.words.first[i + 1]]
-                    digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                    kept.append(hashlib.sha256(b" ".join(_split(block.text(i)))).hexdigest())
+                    digests.append(hashlib.sha256(b" ".join(_split(block.text(i)))).digest())
                     names.append(np.unique(parsed.names[parsed.span(i)]))
                     ends.append(ends[-1] + len(names[-1]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(block.row0, len(block)), pa.array(parsed.words.counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept),
+                        batch.column(0).slice(block.row0, len(block)), pa.array(parsed.words.counts, pa.int64()), pa.array(digests, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(names).view(np.int64))),
                     ],
-                    ["doc_id", "n_words", "digest", "sha256", "names"],
+                    ["doc_id", "n_words", "digest", "names"],
                 )
 
     return run
@@ -150,22 +154,44 @@ def _split(text: bytes) -> list[bytes]:
     return text.split()  # on the six ASCII white-space characters, 0x20 and 0x09-0x0D
 
 
+def _tag(digest: bytes) -> int:
+    """Tells texts of one id apart, above the bits of a place."""
+    return int.from_bytes(digest[:4], "big") >> 1 << 32
+
+
+def window_digests(joined: bytes, ends: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A row of two 64-bit halves for each n-word window that starts at one of ``at``: the digest of its words joined by spaces.
+
+    ``ends`` has 0 and then the end of each word and the space after it in the joined text.
+    """
+    view = memoryview(joined)
+    raw = [hashlib.blake2b(view[lo:hi], digest_size=16).digest() for lo, hi in zip(ends[at].tolist(), (ends[at + n] - 1).tolist())]
+    return np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
+
+
+#: Windows in a batch of digests.
+_MOST_WINDOWS = 1 << 15
+
+
 def _windows(n: int):
-    """Hashes of the windows under shared names."""
+    """Digests of the windows under shared names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in kernel.blocks(batch.column(1)):
                 parsed = Parsed(block, n)
                 for i in range(len(block)):
-                    span = parsed.span(i)
                     shared = batch.column(2)[block.row0 + i].values.to_numpy().view(np.uint64)
-                    at = np.flatnonzero(np.isin(parsed.names[span], shared))
-                    if at.size:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(parsed.wholes[span][at].view(np.int64)), pa.array(np.full(len(at), batch.column(0)[block.row0 + i].as_py(), np.int64)), pa.array(at.astype(np.int32))],
-                            ["hash", "doc_id", "at"],
-                        )
+                    found = np.flatnonzero(np.isin(parsed.names[parsed.span(i)], shared))
+                    if not found.size:
+                        continue
+                    doc_id, words = batch.column(0)[block.row0 + i].as_py(), _split(block.text(i))
+                    joined, ends = b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)])
+                    tag = _tag(hashlib.sha256(joined).digest())
+                    for at in np.split(found, range(_MOST_WINDOWS, len(found), _MOST_WINDOWS)):
+                        digests = window_digests(joined, ends, at, n)
+                        columns = [np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1]), np.full(len(at), doc_id, np.int64), at + tag]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["high", "low", "doc_id", "at"])
 
     return run
 
@@ -176,14 +202,16 @@ def _cut(n: int):
             digests, removed, kept = [], [], []
             for text, places in zip(batch.column(1), batch.column(2)):
                 words = _split((text.as_py() or "").encode())
+                digests.append(hashlib.sha256(b" ".join(words)).digest())
                 edge = np.zeros(len(words) + 1, np.int64)
                 at = places.values.to_numpy()
+                at = at[at >> 32 == _tag(digests[-1]) >> 32] & 0xFFFFFFFF
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + n, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 removed.append(int(gone.sum()))
                 kept.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist()) if not g)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_cut", "cut_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "digest", "n_cut", "cut_sha256"])
 
     return run
 
@@ -194,10 +222,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of ``window`` consecutive words that covers it also starts in a
     document with a smaller id; windows are judged on the input.  A null text has no words.
     Texts shorter than a window and rows without an id lose nothing and take nothing from
-    others.  Rows that repeat an id and a text get equal results.
+    others.  Rows that repeat an id and a text get equal results; rows with one id and several
+    texts are judged each by itself, against smaller ids only.  Other columns are not read.  An
+    empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parsed = staged(texts.mapInArrow(_names(window), "doc_id long, n_words long, digest binary, sha256 string, names array<long>"), "repeat-names")
+    parsed = staged(texts.mapInArrow(_names(window), "doc_id long, n_words long, digest binary, names array<long>"), "repeat-names")
     able = parsed.where(f"n_words >= {int(window)} AND doc_id IS NOT NULL")
     firsts = staged(able.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("names").alias("names")), "repeat-firsts")
     names = firsts.select(F.col("first").alias("doc_id"), F.explode("names").alias("name"))
@@ -205,19 +235,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = staged(names.groupBy("name").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("name"), "repeat-common")
     of_doc = staged(names.join(shared, "name").groupBy("doc_id").agg(F.collect_list("name").alias("names")), "repeat-shared")  # bounded by the text
     candidates = staged(texts.join(of_doc, "doc_id"), "repeat-texts")
-    windows = candidates.select("doc_id", "text", "names").mapInArrow(_windows(window), "hash long, doc_id long, at int")
+    windows = candidates.select("doc_id", "text", "names").mapInArrow(_windows(window), "high long, low long, doc_id long, at long")
     windows = staged(windows, "repeat-windows")
-    least = windows.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash", "low")
+    least = windows.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("high", "low", "least")
     least = staged(least, "repeat-least")
-    later = windows.join(least, "hash").where("doc_id > low")
+    later = windows.join(least, ["high", "low"]).where("doc_id > least")
     places = staged(later.groupBy("doc_id").agg(F.collect_set("at").alias("places")), "repeat-places")  # bounded by the text
     drop_stage(windows, of_doc, shared, least)
-    cut = candidates.select("doc_id", "text").join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_cut(window), "doc_id long, n_cut long, cut_sha256 string")
-    cut = staged(cut.groupBy("doc_id").agg(F.first("n_cut").alias("n_cut"), F.first("cut_sha256").alias("cut_sha256")), "repeat-cut")
+    cut = candidates.select("doc_id", "text").join(places, "doc_id").select("doc_id", "text", "places")
+    cut = cut.mapInArrow(_cut(window), "doc_id long, digest binary, n_cut long, cut_sha256 string")
+    cut = staged(cut.groupBy(F.col("doc_id").alias("first"), "digest").agg(F.first("n_cut").alias("n_cut"), F.first("cut_sha256").alias("cut_sha256")), "repeat-cut")
     drop_stage(candidates, places)
-    of_class = firsts.select("digest", "first").join(cut.withColumnRenamed("doc_id", "first"), "first", "left")
+    of_class = staged(firsts.select("digest", "first").join(cut, ["digest", "first"], "left"), "repeat-classes")
+    drop_stage(firsts, cut)
     key = F.when((F.col("n_words") >= window) & F.col("doc_id").isNotNull(), F.col("digest"))
-    rows = parsed.select("doc_id", "n_words", "sha256", key.alias("digest")).join(of_class, "digest", "left")
+    rows = parsed.select("doc_id", "n_words", F.lower(F.hex("digest")).alias("sha256"), key.alias("digest")).join(of_class, "digest", "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     return rows.select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0))).cast("long").alias("n_removed"),

@@ -3,8 +3,10 @@
 Both tokenizers used here split a text before they merge, and never merge across a space
 that follows a word.  So a text's ids are those of its pieces in a row, a piece being a
 word with the white space before it (byte-level kind) or a word alone (kind that drops
-white space).  Pieces repeat, so each worker keeps their ids in a hash table of fixed
-size and asks the tokenizers library only for new ones.  Texts with other white space
+white space).  Pieces repeat, so each worker keeps their bytes and ids in a hash table of
+fixed size and asks the tokenizers library only for new ones; a piece counts as known only
+if its bytes are those in the table.  Long pieces, and what a full table has no room for,
+go to the library each time.  Texts with other white space
 than the six ASCII characters, whose splits look further, go to the library whole.
 """
 
@@ -18,8 +20,10 @@ import numpy as np
 from rollcall.llm import kernel
 
 #: Slots of a worker's table of known pieces, and how many of them are used before it starts afresh.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 MOST_KNOWN = SLOTS * 6 // 10
+#: Pieces given to the library at once; it takes about a kilobyte for each.
+CALL = 1 << 12
 BLOCK_BYTES = 1 << 19
 #: Spaces other than 0x20 and 0x09-0x0D, and controls that a splitter might take for one.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    　﻿]")
@@ -37,45 +41,100 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keeps_space = keeps_space
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._reset()
 
     def _reset(self) -> None:
+        """An empty table: hashes and entries by slot; of each entry its bytes and ids as places in two pools."""
         self.known = 0
         self.keys = np.zeros(SLOTS, np.uint64)
-        self.at = np.zeros(SLOTS, np.int32)
-        self.size = np.zeros(SLOTS, np.int32)
-        self.pool = np.zeros(1 << 16, np.uint16)
-        self.used = 0
+        self.entry = np.full(SLOTS, -1, np.int32)
+        self.text_at, self.text_size, self.at, self.size = (np.zeros(MOST_KNOWN, kind) for kind in (np.int64, np.int16, np.int64, np.int16))
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """Slots of ``keys``, -1 for unknown ones."""
+    def _find(self, keys: np.ndarray, block: kernel.Block, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Entries of pieces, -1 for unknown ones, -2 for those whose hash another piece has."""
         slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
-        out = np.where(self.keys[slot] == keys, slot, -1)
-        todo = np.flatnonzero((out < 0) & (self.keys[slot] != 0))
+        out = np.where(self.keys[slot] == keys, self.entry[slot], -1)
+        todo = np.flatnonzero((self.entry[slot] >= 0) & (self.keys[slot] != keys))
         while todo.size:
             slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
-            there = self.keys[slot[todo]]
-            out[todo[there == keys[todo]]] = slot[todo[there == keys[todo]]]
-            todo = todo[(there != keys[todo]) & (there != 0)]
+            there, same = self.entry[slot[todo]] >= 0, self.keys[slot[todo]] == keys[todo]
+            out[todo[there & same]] = self.entry[slot[todo[there & same]]]
+            todo = todo[there & ~same]
+        found = np.flatnonzero(out >= 0)
+        # Hashes of pieces of at most eight bytes differ if the pieces do and are of one length; longer ones are compared.
+        other = found[self.text_size[out[found]] != size[found]]
+        long = found[(self.text_size[out[found]] == size[found]) & (size[found] > 8)]
+        if long.size:
+            mine, theirs, at = kernel.chunk_view(block.data), np.ndarray((len(self.text) - 7,), "<u8", self.text, 0, (1,)), 0
+            while long.size:
+                left = size[long] - at
+                low = kernel.LOW[np.minimum(left, 8)]
+                equal = (mine[start[long] + at] ^ theirs[self.text_at[out[long]] + at]) & low == 0
+                other = np.concatenate([other, long[~equal]])
+                long, at = long[equal & (left > 8)], at + 8
+        out[other] = -2
         return out
 
-    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint16, int(sizes.sum()))
+    def _library(self, block: kernel.Block, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row, and how many each has, by the library.
+
+        Pieces that can't touch their neighbours' splits are encoded many in one string, which takes
+        the library less than a call for each; the ids' places in the string tell the pieces apart.
+        """
+        sizes, parts = np.zeros(len(start), np.int64), [np.zeros(0, self.kind)]
+        odd = np.concatenate([[0], np.cumsum(_ODD_BYTES[block.data])])
+        apart = (end > start) & (odd[end] == odd[start])
+        if self.keeps_space:
+            apart &= kernel.SPACE[block.data[np.minimum(start, len(block.data) - 1)]] & ~kernel.SPACE[block.data[end - 1]]
+        gap = "" if self.keeps_space else " "
+        order = [np.flatnonzero(apart), np.flatnonzero(~apart)]
+        for which, joined in zip(order, (True, False)):
+            for lo in range(0, len(which), CALL):
+                own = which[lo : lo + CALL]
+                texts = [block.data[s:e].tobytes().decode() for s, e in zip(start[own].tolist(), end[own].tolist())]
+                if joined:
+                    found = self.tokenizer.encode(gap.join(texts), add_special_tokens=False)
+                    starts = np.cumsum([0, *(len(t) + len(gap) for t in texts[:-1])])
+                    places = np.fromiter((at for at, _ in found.offsets), np.int64, len(found.ids))
+                    sizes[own] = np.bincount(np.searchsorted(starts, places, "right") - 1, minlength=len(own))
+                    parts.append(np.array(found.ids, self.kind))
+                else:
+                    for i, one in zip(own.tolist(), self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+                        sizes[i] = len(one.ids)
+                        parts.append(np.array(one.ids, self.kind))
+        flat, turn = np.concatenate(parts), np.concatenate(order)
+        if (turn[1:] > turn[:-1]).all():
+            return flat, sizes
+        starts = np.zeros(len(start), np.int64)  # of each piece's ids among those of the pieces in the order of the calls
+        starts[turn] = np.cumsum(sizes[turn]) - sizes[turn]
+        return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))], sizes
+
+    def _add(self, keys: np.ndarray, block: kernel.Block, start: np.ndarray, end: np.ndarray) -> None:
+        """Put pieces with distinct hashes, none of them in the table, into it."""
+        flat, sizes = self._library(block, start, end)
+        lengths = end - start
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.text_used + int(lengths.sum()) + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        own = slice(self.known, self.known + len(keys))
+        self.at[own], self.size[own] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.text_at[own], self.text_size[own] = self.text_used + np.cumsum(lengths) - lengths, lengths
         self.pool[self.used : self.used + len(flat)] = flat
-        starts = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.used += len(flat)
+        within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.text[self.text_used : self.text_used + len(within)] = block.data[np.repeat(start, lengths) + within]
+        self.used, self.text_used = self.used + len(flat), self.text_used + len(within)
         slot, todo = (keys & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(keys))
         while todo.size:
-            free = todo[self.keys[slot[todo]] == 0]
+            free = todo[self.entry[slot[todo]] < 0]
             _, first = np.unique(slot[free], return_index=True)
             put = free[first]
-            self.keys[slot[put]], self.at[slot[put]], self.size[slot[put]] = keys[put], starts[put], sizes[put]
+            self.keys[slot[put]], self.entry[slot[put]] = keys[put], self.known + put
             todo = np.setdiff1d(todo, put, assume_unique=True)
-            taken = self.keys[slot[todo]] != 0
-            slot[todo[taken]] = (slot[todo[taken]] + 1) & (SLOTS - 1)
+            slot[todo] = np.where(self.entry[slot[todo]] >= 0, (slot[todo] + 1) & (SLOTS - 1), slot[todo])
         self.known += len(keys)
 
     def _pieces(self, block: kernel.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,25 +155,36 @@ class Encoder:
         extra[tail + 1] = 1
         return starts, ends, found.first + np.cumsum(extra)
 
+    def _new(self, keys: np.ndarray, entry: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """One place for each hash of the unknown pieces that are not long."""
+        missing = np.flatnonzero((entry == -1) & (length <= kernel.LONG))
+        return missing[np.unique(keys[missing], return_index=True)[1]]
+
     def encode(self, block: kernel.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block in a row, and each text's first place."""
         start, end, first = self._pieces(block)
-        keys = kernel.span_hashes(block.data, start, end) | np.uint64(1)
-        slots = self._find(keys)
-        missing = np.flatnonzero(slots < 0)
-        if missing.size:
-            _, where = np.unique(keys[missing], return_index=True)
-            new = missing[where]
-            if self.known + len(new) > MOST_KNOWN:
-                self._reset()
-                new = np.unique(keys, return_index=True)[1]
-            raw = block.data.tobytes()
-            texts = [raw[s:e].decode() for s, e in zip(start[new].tolist(), end[new].tolist())]
-            self._add(keys[new], [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)])
-            slots = self._find(keys)
-        at, size = self.at[slots].astype(np.int64), self.size[slots].astype(np.int64)
+        length, keys = end - start, kernel.span_hashes(block.data, start, end)
+        entry = self._find(keys, block, start, length)
+        new = self._new(keys, entry, length)
+        if self.known + len(new) > MOST_KNOWN:
+            self._reset()
+            entry[:] = -1
+            new = self._new(keys, entry, length)[:MOST_KNOWN]
+        if new.size:
+            self._add(keys[new], block, start[new], end[new])
+            entry = self._find(keys, block, start, length)
+        known, rest = entry >= 0, np.flatnonzero(entry < 0)
+        size = np.where(known, self.size[entry], 0).astype(np.int64)
+        if rest.size:
+            more, size[rest] = self._library(block, start[rest], end[rest])
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.repeat(at - upto[:-1], size) + np.arange(upto[-1])]
+        at = np.where(known, self.at[entry], self.used) - upto[:-1]
+        if rest.size:  # their ids stand behind the pool's
+            at[rest] = self.used + np.cumsum(size[rest]) - size[rest] - upto[rest]
+            pool = np.concatenate([self.pool[: self.used], more])
+        else:
+            pool = self.pool
+        ids = pool[np.repeat(at, size) + np.arange(upto[-1])]
         places = upto[first]
         return self._whole(block, ids, places) if self.keeps_space and _ODD_BYTES[block.data].any() else (ids, places)
 
@@ -123,7 +193,7 @@ class Encoder:
         for i in range(len(block)):
             text = block.text(i).decode()
             if ODD_SPACE.search(text):
-                parts.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16))
+                parts.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind))
             else:
                 parts.append(ids[places[i] : places[i + 1]])
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])

@@ -13,6 +13,18 @@ def words(text):
     return WORD.findall(text or "")
 
 
+def thue_morse(n, a="a", b="b"):
+    """The first n letters of the Thue-Morse word; with its complement it collides under any power sum modulo 2**64."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+#: Words that only differ by a complement, alone, in pairs and as words of a window.
+ADVERSE = [
+    *(thue_morse(n, *x) for n in (128, 1024, 4096) for x in ("ab", "ba")), *(f"{thue_morse(n)} {thue_morse(n, 'b', 'a')} x" for n in (1024, 4096)),
+    *(" ".join(thue_morse(2048, *x)) for x in ("ab", "ba")), *(f"{thue_morse(1024, *x)} " * 60 for x in ("ab", "ba")),
+]
+
+
 def make_texts(seed=5, n=60):
     """Invented texts with copies, near-copies, shared passages, repeated words, odd spaces, nulls and empties."""
     rng = random.Random(seed)

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import make_texts, words
+from conftest import ADVERSE, make_texts, words
 
 from rollcall.llm import kernel, minhash, ngram_join, substring
 
@@ -80,6 +80,34 @@ def test_prefix_keeps_every_link():
                 assert np.intersect1d(p, q).size
 
 
+def test_words_that_collide_under_power_sums(spark):
+    rows = list(enumerate(ADVERSE))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.NgramJoin(docs).components().collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == _components(rows, 4, 85, 100)[0]
+    got = substring.remove_repeats(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == _cut(rows, 50)
+
+
+def test_hashes_of_words_and_windows_do_not_collide():
+    rng = np.random.default_rng(3)
+    spans = [t.encode() for t in ADVERSE] + [rng.integers(97, 99, int(rng.integers(1, 40))).astype(np.uint8).tobytes() for _ in range(4000)]
+    data, ends = np.frombuffer(b"".join(spans), np.uint8), np.cumsum([len(s) for s in spans])
+    hashes = kernel.span_hashes(data, ends - [len(s) for s in spans], ends)
+    assert len(set(hashes.tolist())) == len(set(spans))
+    symbols = np.array([int(c) for c in "".join("01"[bin(i).count("1") % 2] for i in range(4096))], np.uint64) * np.uint64(1 << 40) + np.uint64(5)
+    for text in (symbols, symbols[::-1].copy()):
+        windows = {text[i : i + 50].tobytes() for i in range(len(text) - 49)}
+        assert len(set(substring.window_hashes(text, 50).tolist())) == len(windows)
+
+
+def test_one_id_with_several_texts(spark):
+    base = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, base), (2, "head " + base), (2, base + " tail"), (2, "x y z"), (3, "head " + base)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == _cut(rows, 50)
+
+
 def _cut(rows, n):
     seen = {}
     for i, text, *_ in rows:

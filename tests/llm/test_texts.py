@@ -14,7 +14,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import make_texts, words
+from conftest import ADVERSE, make_texts, words
 from pyspark.sql import functions as F
 
 from rollcall.llm import kernel, mixing, packing, quality, repair, secrets, tokens, toxicity, warc
@@ -37,8 +37,13 @@ ODD = ["a \n\nb c", "  x  y \n\n z ", "tail  ", " ", "it's don't  'll é ñ", "a
 
 
 @pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_encoder_equals_the_library(name, keeps):
-    texts = make_texts(3) + ODD
+@pytest.mark.parametrize("slots", [tokens.SLOTS, 1 << 10])
+def test_encoder_equals_the_library(monkeypatch, name, keeps, slots):
+    """Also where words collide under power sums, and where a text has more distinct words than the table has room for."""
+    monkeypatch.setattr(tokens, "SLOTS", slots)
+    monkeypatch.setattr(tokens, "MOST_KNOWN", slots * 6 // 10)
+    rng = np.random.default_rng(2)
+    texts = make_texts(3) + ODD + ADVERSE + [" ".join(np.array([*"abcdefgh"])[rng.integers(0, 8, 9)].tobytes().decode("utf-32-le") for _ in range(3000))]
     encoder = tokens.Encoder(vocabulary(name), keeps)
     for block in kernel.blocks(pa.array(texts), 3000):
         ids, places = encoder.encode(block)
@@ -46,6 +51,15 @@ def test_encoder_equals_the_library(name, keeps):
             assert [*ids[places[i] : places[i + 1]].tolist(), 1] == _ids(name, texts[block.row0 + i], 1)
 
 
+def test_encoder_compares_bytes(monkeypatch):
+    """Words whose hashes are equal have their own ids all the same."""
+    monkeypatch.setattr(kernel, "span_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    encoder = tokens.Encoder(vocabulary("byte_bpe_50k.json"), True)
+    text = " ".join(f"word{i} other{i}longer" for i in range(40))
+    ids, _ = next(encoder.encode(block) for block in kernel.blocks(pa.array([text])))
+    assert [*ids.tolist(), 2] == _ids("byte_bpe_50k.json", text, 2)
+
+
 def test_token_output(docs, rows):
     got = sorted(repair.read_shards(repair.write_shards(docs, vocabulary("byte_bpe_50k.json"))).collect(), key=lambda r: r.start)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))

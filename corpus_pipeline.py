@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm import mixing, ngram_join, packing, secrets, toxicity
 from rollcall.llm.queries import vocabulary
-from rollcall.session import ship_package
+from rollcall.session import prepare
 from rollcall.stage import staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model predicts as toxic go."""
-    ship_package(spark)  # the first stage; later ones run in the same session
+    prepare(spark)  # the first stage; later ones run in the same session
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.ToxicityModel(docs, labels).clean(docs)
 

@@ -27,7 +27,7 @@ def _star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Vertices of ``edges`` with the least vertex of their component.
 
-    Returns ``(id, component)`` for every vertex that has an edge to another one.
+    Returns ``(id, component)``, a stage table, for every vertex that has an edge to another one.
     Null ends, loops and repeated edges carry no information and are dropped.
     """
     typed = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
@@ -48,4 +48,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     own = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return own.union(roots)
+    out = staged(own.union(roots), "components")
+    drop_stage(current)
+    return out

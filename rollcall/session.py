@@ -20,9 +20,19 @@ def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSessi
     return spark
 
 
+#: Bytes of an Arrow batch given to Python, where the session has Spark's own default.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULT, BATCH_BYTES = 64 << 20, 4 << 20
 _shipped: set[str] = set()
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ready a session for operators with Python workers: the package is with them, and their batches stay small beside an executor's memory."""
+    ship_package(spark)
+    if spark.conf.get(BATCH, "").removesuffix("b") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give executors this package, once for each application, so that Python workers can import it wherever they run."""
     import tempfile

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollcall.llm import minhash, mixing, ngram_join, packing, quality, repair, secrets, substring, toxicity, warc
-from rollcall.session import ship_package
+from rollcall.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,12 +70,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def _shipping(query: Query) -> Query:
-    """The query, with the package sent to the executors before it runs."""
+def _prepared(query: Query) -> Query:
+    """The query in a session that is ready for it."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return query(spark, sf_dir)
 
     return run
@@ -94,7 +94,7 @@ def queries() -> dict[str, Query]:
         "op9_secret_scan": op9_secret_scan,
         "op10_warc": op10_warc,
     }
-    return {name: _shipping(query) for name, query in named.items()}
+    return {name: _prepared(query) for name, query in named.items()}
 
 
 def oracle_sql() -> dict[str, str]:

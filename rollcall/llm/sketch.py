@@ -19,24 +19,29 @@ SCHEMA = "chunk int, counts binary"
 
 
 def chunk_rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A flat array of counters as rows; chunks without a count are left out."""
+    """A flat array of counters as rows; chunks without a count are left out, and counts take four bytes where that is enough."""
     table = counts.reshape(-1, CHUNK)
     used = np.flatnonzero(table.any(axis=1))
     if len(used):
+        kind = "<u4" if table.max() < 1 << 32 else "<u8"
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.array([table[i].astype("<u8").tobytes() for i in used], pa.binary())], ["chunk", "counts"]
+            [pa.array(used, pa.int32()), pa.array([table[i].astype(kind).tobytes() for i in used], pa.binary())], ["chunk", "counts"]
         )
 
 
+def _chunk(raw) -> np.ndarray:
+    return np.frombuffer(raw, "<u8" if len(raw) == 8 * CHUNK else "<u4")
+
+
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            values = np.frombuffer(counts.as_buffer(), "<u8")
+            values = _chunk(counts.as_buffer())
             if chunk in total:
                 total[chunk] += values
             else:
-                total[chunk] = values.copy()
+                total[chunk] = values.astype(np.uint64)
     if total:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"]
@@ -48,5 +53,5 @@ def collect_counts(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], It
     out = np.zeros(size, np.uint64)
     summed = df.mapInArrow(count, SCHEMA).repartition("chunk").mapInArrow(_sum, SCHEMA)
     for row in summed.collect():
-        out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] += np.frombuffer(row.counts, "<u8")
+        out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] += _chunk(row.counts)
     return out

@@ -65,19 +65,43 @@ def test_one_of_each(docs, rows):
     assert Counter(r.doc_id for r in kept) == Counter([*heads, *wordless])
 
 
-def test_prefix_keeps_every_link():
-    """Two sets at the threshold share a prefix token under every order."""
-    rng = np.random.default_rng(1)
-    counts = rng.integers(1, 50, (ngram_join.ORDERS, ngram_join.COUNTERS)).astype(np.uint64)
-    for _ in range(200):
+def _sets_at_the_threshold(rng, count):
+    for _ in range(count):
         n = int(rng.integers(1, 80))
         a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.12], rng.integers(0, 1 << 62, int(rng.integers(0, 6))).astype(np.uint64)]))
-        both = len(np.intersect1d(a, b))
+        if len(b):
+            yield a, b, len(np.intersect1d(a, b))
+
+
+def test_prefix_keeps_every_link():
+    """Two sets at the threshold share a prefix token in the rare-first order."""
+    rng = np.random.default_rng(1)
+    levels = ngram_join.quantised(rng.integers(1, 5000, ngram_join.LEAST_COUNTERS))
+    for a, b, both in _sets_at_the_threshold(rng, 200):
         if 100 * both >= 85 * (len(a) + len(b) - both):
-            for order in range(ngram_join.ORDERS):
-                p, q = (ngram_join.prefix(s, counts, order, ngram_join.prefix_length(len(s), 85, 100)) for s in (a, b))
-                assert np.intersect1d(p, q).size
+            p, q = (ngram_join.rare_prefix(s, levels, ngram_join.prefix_length(len(s), 85, 100)) for s in (a, b))
+            assert np.intersect1d(p, q).size
+
+
+def test_hash_orders_keep_every_link_and_reject_others(spark, monkeypatch):
+    """No link fails the bounds, also where keys are equal; most pairs that share a tenth of their tokens do."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for bits in (32, 6):
+        cut = lambda x: ((x.view(np.uint32) ^ np.uint32(1 << 31)) >> np.uint32(32 - bits)).astype(np.int32)  # noqa: B023, E731
+        for a, b, both in _sets_at_the_threshold(rng, 300):
+            arrays = [[cut(ngram_join.hash_prefix(s, o, ngram_join.prefix_length(len(s), 85, 100))).tolist() for s in (a, b)] for o in (0, 1)]
+            rows.append((len(a), len(b), *arrays[0], *arrays[1], 100 * both >= 85 * (len(a) + len(b) - both), False))
+    for _ in range(300):
+        body = rng.integers(0, 1 << 62, 20).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([body, rng.integers(0, 1 << 62, 180).astype(np.uint64)])) for _ in "ab")
+        arrays = [[ngram_join.hash_prefix(s, o, ngram_join.prefix_length(len(s), 85, 100)).tolist() for s in (a, b)] for o in (0, 1)]
+        rows.append((len(a), len(b), *arrays[0], *arrays[1], False, True))
+    frame = spark.createDataFrame(rows, "n_a int, n_b int, order1_a array<int>, order1_b array<int>, order2_a array<int>, order2_b array<int>, link boolean, apart boolean")
+    got = frame.select("link", "apart", *[ngram_join._passes(f"order{k}", 85, 100).alias(f"p{k}") for k in (1, 2)]).collect()
+    assert sum(r.link for r in got) > 50 and all(r.p1 and r.p2 for r in got if r.link)
+    assert sum(r.p1 or r.p2 for r in got if r.apart) <= 6
 
 
 def test_words_that_collide_under_power_sums(spark):

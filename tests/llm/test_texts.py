@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import gzip
 import hashlib
 import io
@@ -21,12 +22,17 @@ from rollcall.llm import kernel, mixing, packing, quality, repair, secrets, toke
 from rollcall.llm.queries import vocabulary
 
 
-def _ids(name, text, end):
+@functools.cache
+def _tokenizer(name):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary(name))
     tokenizer.encode_special_tokens = True
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
+    return tokenizer
+
+
+def _ids(name, text, end):
+    return [*_tokenizer(name).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def _crc(ids):

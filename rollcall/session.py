@@ -29,7 +29,7 @@ _shipped: set[str] = set()
 def prepare(spark: SparkSession) -> None:
     """Ready a session for operators with Python workers: the package is with them, and their batches stay small beside an executor's memory."""
     ship_package(spark)
-    if spark.conf.get(BATCH, "").removesuffix("b") == str(BATCH_DEFAULT):
+    if spark.conf.get(BATCH, f"{BATCH_DEFAULT}b").removesuffix("b") == str(BATCH_DEFAULT):
         spark.conf.set(BATCH, f"{BATCH_BYTES}b")
 
 

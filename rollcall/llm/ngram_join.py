@@ -225,7 +225,7 @@ class NgramJoin:
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the ``(a, b)`` pairs that pass the other orders' filters and the exact test."""
         pairs = staged(pairs, "ngram-pairs")
-        passed = staged(self.filtered(pairs).where("pass1 AND pass2").select("a", "b").distinct(), "ngram-passed")
+        passed = staged(self.filtered(pairs).where("pass1 AND pass2").select("a", "b"), "ngram-passed")
         texts = staged(self._of_pairs(passed), "ngram-texts")
         b = texts.select(F.col("doc_id").cast("long").alias("b"), F.col("text").alias("text_b"))
         a = texts.select(F.col("doc_id").cast("long").alias("a"), F.col("text").alias("text_a"))

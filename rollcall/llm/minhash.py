@@ -1,4 +1,4 @@
-"""MinHash fingerprints, edited texts, and near-duplicate pairs by signature bands.
+"""MinHash fingerprints, edited texts, and near-duplicate components by signature bands.
 
 Signatures take the minimum of 128 permutations ``a x + b mod 2**32`` (a odd) of the word
 shingles' hashes, in vectorised numpy.  A fingerprint is 16 bits of each minimum in hex.
@@ -11,11 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rollcall.llm import kernel
 from rollcall.operators.components import connected_components
-from rollcall.stage import staged
+from rollcall.stage import drop_stage, staged, task_count
 
 PERMUTATIONS = 128
 SHINGLE_WORDS = 5
@@ -64,85 +64,116 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-QUERY_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int | None, str, bool]]:
-    """Rows in order: range, id, text, and whether the row only follows the range's last one."""
-    for batch in batches:
-        yield from zip(*(column.to_pylist() for column in batch.columns))
+QUERY_SCHEMA = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
+)
+#: Kinds of rows in a range, in their order: an id's component, its documents, and the first text of the next range.
+COMPONENT, DOCUMENT, CLOSING = 0, 1, 2
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"]
 
-    def flush(rows: list[tuple[int | None, str]], following: list[str]) -> pa.RecordBatch:
+    def flush(rows: list[tuple[int | None, str, int | None]], following: list[str]) -> pa.RecordBatch:
         """Fingerprints of ``rows``; ``following`` has the text after each."""
-        edited = [edited_text(text, after) for (_, text), after in zip(rows, following)]
-        plain = [text for _, text in rows] + [following[-1]]
+        edited = [edited_text(text, after) for (_, text, _), after in zip(rows, following)]
+        plain = [text for _, text, _ in rows] + [following[-1]]
         raw = [t.encode() for t in plain + edited]
         signed = signatures(_sets(raw))
         own, changed = signed[: len(plain)], signed[len(plain) :]
         columns = [
-            pa.array([i for i, _ in rows], pa.int64()), pa.array([len(t) for _, t in rows], pa.int64()),
+            pa.array([i for i, _, _ in rows], pa.int64()), pa.array([len(t) for _, t, _ in rows], pa.int64()),
             pa.array([hashlib.sha256(t).hexdigest() for t in raw[len(plain) :]]), pa.array([fingerprint(x) for x in own[:-1]]),
             pa.array([fingerprint(x) for x in changed]), pa.array([likeness(x, y) for x, y in zip(own[:-1], changed)], pa.float64()),
-            pa.array([likeness(x, y) for x, y in zip(own[:-1], own[1:])], pa.float64()),
+            pa.array([likeness(x, y) for x, y in zip(own[:-1], own[1:])], pa.float64()), pa.array([c for _, _, c in rows], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    held: list[tuple[int | None, str]] = []
-    size, span = 0, None
-    for at, doc_id, text, closing in _pieces(batches):
-        if span is not None and at != span:
-            raise ValueError("a range of documents has no closing row")
-        span = at
-        if held and (closing or size >= kernel.BLOCK_BYTES):
-            yield flush(held, [t for _, t in held[1:]] + [text])
-            held, size = [], 0
-        if closing:
-            span = None
-        else:
-            held.append((doc_id, text))
-            size += len(text)
-
-
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+    held: list[tuple[int | None, str, int | None]] = []
+    size, span, of_id = 0, None, (None, None)
+    for batch in batches:
+        for at, kind, doc_id, text, component in zip(*batch.columns):
+            at, kind, doc_id = at.as_py(), kind.as_py(), doc_id.as_py()
+            if span is not None and at != span:
+                raise ValueError("a range of documents has no closing row")
+            span = at
+            if kind == COMPONENT:
+                of_id = (doc_id, component.as_py())
+                continue
+            text = text.as_py()
+            if held and (kind == CLOSING or size >= kernel.BLOCK_BYTES):
+                yield flush(held, [t for _, t, _ in held[1:]] + [text])
+                held, size = [], 0
+            if kind == CLOSING:
+                span = None
+            else:
+                held.append((doc_id, text, (of_id[1] if of_id[0] == doc_id else None) if doc_id is not None else None))
+                size += len(text)
+
+
+def _span(key: Column, bounds: list[int]) -> Column:
+    """Number of ``bounds``, which ascend, below ``key``: first among every k-th of them, then in the stretch found."""
+    if not bounds:
+        return F.lit(0)
+    k = max(1, round(len(bounds) ** 0.5))
+    below = lambda found: F.size(F.filter(found, lambda bound: bound < key))
+    stretches = [bounds[i : i + k] for i in range(0, len(bounds), k)]
+    coarse = below(F.array(*[F.lit(x[-1]) for x in stretches]))
+    fine = F.coalesce(F.get(F.array(*[F.array(*[F.lit(b) for b in x]) for x in stretches]), coarse), F.array().cast("array<bigint>"))
+    return (F.least(coarse * k, F.lit(len(bounds))) + below(fine)).cast("int")
+
+
+def fingerprint_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, components: DataFrame | None = None
+) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, one row per input row.
 
     The edited text takes characters from the next document in ascending order of id; the
     last one is followed by the first.  A null text is empty.  Null ids come first, and rows
-    with equal ids stand in the order of their texts.  A document alone follows itself.
+    with equal ids stand in the order of their texts.  A document alone follows itself.  Only
+    the id and text columns are read; an empty table gives no rows.
 
     Ranges of ids are laid out one to a partition, each closed by a copy of the next
     range's first row, so texts are shuffled once and no partition waits for another.
+    ``components`` (``doc_id, component_id``, an id once) travel in the same shuffle and give
+    the last column; it is null without them and for rows without an id.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = rows.select("key")
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ids.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
+    n = ranges or task_count(docs)
+    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
     bounds = sorted(set(cuts or []))  # range i has the keys above bounds[i - 1] up to bounds[i]
-    span = sum((F.when(F.col("key") > bound, 1).otherwise(0) for bound in bounds), F.lit(0)) if len(bounds) <= 16 else None
-    if span is None:
-        span = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("key")))
-    placed = rows.withColumn("span", span.cast("int"))
+    placed = rows.withColumn("span", _span(F.col("key"), bounds))
     # One row for each range: its smallest key, at most as many as there are partitions.
-    heads = {r.span: r.key for r in placed.select("key", span.cast("int").alias("span")).groupBy("span").agg(F.min("key").alias("key")).collect()}
+    heads = {r.span: r.key for r in placed.groupBy("span").agg(F.min("key").alias("key")).collect()}
     if not heads:
         return spark.createDataFrame([], QUERY_SCHEMA)
     order = sorted(heads)
     before = {heads[s]: order[i - 1] for i, s in enumerate(order)}  # the range that a head closes
     head_rows = placed.where(F.col("key").isin(list(before))).groupBy("key").agg(F.min("text").alias("text"))
+    none = F.lit(None).cast("long")
     closing = head_rows.select(
         F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("key")).cast("int").alias("span"),
-        F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("closing"), F.lit((1 << 63) - 1).alias("key"),
+        F.lit((1 << 63) - 1).alias("key"), F.lit(CLOSING).alias("kind"), none.alias("doc_id"), "text", none.alias("component_id"),
     )
-    laid = placed.select("span", "doc_id", "text", F.lit(False).alias("closing"), "key").union(closing)
-    place = {s: i for i, s in enumerate(order)}
-    slot = F.element_at(F.create_map(*[F.lit(x) for pair in place.items() for x in pair]), F.col("span")).cast("int")
-    sorted_rows = laid.repartitionById(len(order), slot).sortWithinPartitions("span", "closing", "key", "text")
-    return sorted_rows.select("span", "doc_id", "text", "closing").mapInArrow(_fingerprint_rows, QUERY_SCHEMA)
+    laid = placed.select("span", "key", F.lit(DOCUMENT).alias("kind"), "doc_id", "text", none.alias("component_id")).union(closing)
+    if components is not None:
+        known = components.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), "component_id")
+        laid = laid.union(known.select(_span(F.col("key"), bounds).alias("span"), "key", F.lit(COMPONENT).alias("kind"), F.col("key").alias("doc_id"), F.lit("").alias("text"), "component_id"))
+    laid = laid.repartitionById(len(bounds) + 1, F.col("span"))
+    last = F.col("kind") == CLOSING  # after the documents of the largest id too
+    sorted_rows = laid.sortWithinPartitions("span", last, "key", "kind", "text")
+    return sorted_rows.select("span", "kind", "doc_id", "text", "component_id").mapInArrow(_fingerprint_rows, QUERY_SCHEMA)
+
+
+def fingerprint_and_link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``fingerprint_documents`` with the component of verified near-duplicates that each document belongs to.
+
+    Of rows that repeat an id with several texts, the smallest component counts.
+    """
+    linked = near_duplicates(docs, id_col, text_col)
+    components = staged(linked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "minhash-components")
+    return fingerprint_documents(docs, id_col, text_col, components=components)
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,36 +193,46 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: components of verified pairs that share a signature band.
+    """``doc_id, n_shingles, component_id``: components of verified pairs that share a signature band, one row per input row.
 
     Equal sets are one class.  In each band's bucket members first meet the smallest id; links
     verified by the Jaccard similarity of the whole five-word shingle sets merge classes, and
     members of a bucket that are still apart then meet as well.  So every pair that shares a
     band and might join two components is verified.  Texts without words are alone, as are
-    rows without an id.
+    rows without an id.  Other columns are not read; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    members = staged(texts.mapInArrow(_signature_rows, "doc_id long, n_shingles long, digest binary, bands array<long>"), "minhash-members")
-    classes = members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    signed = staged(texts.mapInArrow(_signature_rows, "doc_id long, n_shingles long, digest binary, bands array<long>"), "minhash-signed")
+    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = staged(classes, "minhash-classes")
+    members = staged(signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")), "minhash-members")
+    drop_stage(signed)
     buckets = classes.select("rep", F.explode("bands").alias("band"))
-    least = buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1").select("band", "hub")
+    least = staged(buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1").select("band", "hub"), "minhash-hubs")
     shared = staged(buckets.join(least, "band"), "minhash-buckets")
-    kept = staged(texts.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "minhash-texts")
+    reps = staged(classes.select("digest", "rep"), "minhash-reps")
+    drop_stage(classes, least)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs, "minhash-pairs")
+        ids = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "minhash-ids")
+        kept = staged(texts.join(ids, "doc_id", "left_semi"), "minhash-texts")
         rows = pairs.join(kept.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
             kept.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
         )
-        return staged(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify(num, den), "a long, b long").distinct(), "minhash-links")
+        links = staged(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify(num, den), "a long, b long").distinct(), "minhash-links")
+        drop_stage(pairs, ids, kept)
+        return links
 
-    links = verified(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    labels = staged(connected_components(links, "a", "b"), "minhash-labels")
-    links = links.union(verified(_apart(shared, labels)))
-    labels = connected_components(links, "a", "b").select(F.col("id").alias("rep"), "component")
-    of_class = classes.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    known = members.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    return known.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    hub_links = verified(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    labels = connected_components(hub_links, "a", "b")
+    apart = staged(_apart(shared, labels), "minhash-apart")
+    drop_stage(shared, labels)
+    rest = verified(apart)
+    labels = connected_components(hub_links.union(rest), "a", "b").select(F.col("id").alias("rep"), "component")
+    of_class = staged(reps.join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "minhash-labels")
+    drop_stage(apart, hub_links, rest, reps)
+    return members.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -200,7 +241,7 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
     rows = shared.join(label("rep"), "rep", "left").join(label("hub"), "hub", "left").select(
         "band", "rep", F.coalesce("rep_label", "rep").alias("label"), F.coalesce("hub_label", "hub").alias("home"), (F.col("rep") == F.col("hub")).alias("is_hub")
     )
-    rows = staged(rows.where("NOT is_hub"), "minhash-apart")
+    rows = staged(rows.where("NOT is_hub"), "minhash-rows")
     outside = rows.where("label <> home").select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"))
     other = rows.select("band", F.col("rep").alias("b"), F.col("label").alias("label_b"), "home")
     met = outside.join(other, "band").where("label_a <> label_b AND (label_b = home OR a < b)")
@@ -209,11 +250,16 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _verify(num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, hub_set = None, None
         for batch in batches:
-            one, other = _sets(batch.column(2).to_pylist()), _sets(batch.column(3).to_pylist())
-            both = np.array([np.intersect1d(x, y, assume_unique=True).size for x, y in zip(one, other)], np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(one, other)], np.int64) - both
-            keep = pa.array(den * both >= num * union)
+            keep = []
+            for text_a, text_b in zip(batch.column(2), batch.column(3)):
+                if hub is None or text_a != hub:  # rows come sorted by a
+                    hub, hub_set = text_a, _sets([text_a.as_py().encode()])[0]
+                other = _sets([text_b.as_py().encode()])[0]
+                both = np.intersect1d(hub_set, other, assume_unique=True).size
+                keep.append(den * both >= num * (len(hub_set) + len(other) - both))
+            keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return run

@@ -47,7 +47,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
+    return minhash.fingerprint_and_link(_table(spark, sf_dir, "documents"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,7 +190,25 @@ def test_window_names_follow_from_the_window_alone():
                 assert seen.setdefault(text[at : at + 50].tobytes(), name) == name
 
 
-def test_fingerprints(docs, rows):
+def test_spans(spark):
+    """Against counting, for any number of bounds."""
+    from pyspark.sql import functions as F
+
+    for bounds in ([], [5], [1, 4, 4 + 9, 20, 21], list(range(0, 300, 3))):
+        got = spark.range(-2, 320).select("id", minhash._span(F.col("id"), bounds).alias("s")).collect()
+        assert all(r.s == sum(b < r.id for b in bounds) for r in got)
+
+
+def test_fingerprints_carry_components(docs):
+    got = {r.doc_id: r.component_id for r in minhash.fingerprint_and_link(docs).collect()}
+    want = {}
+    for r in minhash.near_duplicates(docs).collect():
+        if r.doc_id is not None:
+            want[r.doc_id] = min(want.get(r.doc_id, r.component_id), r.component_id)
+    assert got.pop(None) is None and got == want and len(set(want.values())) < len(want)
+
+
+def test_fingerprints(spark, docs, rows):
     got = sorted(minhash.fingerprint_documents(docs, ranges=4).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_chars))
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     texts = [r[1] or "" for r in order]
@@ -223,6 +241,7 @@ def test_empty_tables(empty):
     assert substring.remove_repeats(empty).count() == 0
     assert minhash.fingerprint_documents(empty).count() == 0
     assert minhash.near_duplicates(empty).count() == 0
+    assert minhash.fingerprint_and_link(empty).count() == 0
 
 
 def test_kernel_words():

@@ -1,6 +1,6 @@
 """Quality rules: exact counts, and a hashed n-gram logistic regression with calibrated probability.
 
-The model sees the mean of hashed word unigrams and bigrams and of byte trigrams of a text.  It is
+The model sees the mean of hashed word unigrams and bigrams and of character trigrams of a text.  It is
 trained on a bounded sample of labelled rows, calibrated on a fifth of the sample that the
 fit has not seen, and applied in Arrow batches against a fixed threshold.
 """
@@ -35,13 +35,14 @@ def feature_parts(block: kernel.Block, found: kernel.Words, hashes: np.ndarray)
     """Kinds of features: buckets in reading order, and each text's first and last place among them."""
     singles = (hashes & np.uint64(WORDS - 1)).astype(np.int64)
     pairs = (kernel.grams(hashes, 2) & np.uint64(WORDS - 1)).astype(np.int64) + WORDS
-    data = block.data.astype(np.uint32)
-    if len(data) >= 3:
-        chars = data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA77) + data[2:] * np.uint32(0xC2B2AE3D)
+    points = np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    if len(points) >= 3:
+        chars = points[:-2] * np.uint32(0x9E3779B1) + points[1:-1] * np.uint32(0x85EBCA77) + points[2:] * np.uint32(0xC2B2AE3D)
         chars = ((chars ^ (chars >> np.uint32(15))) & np.uint32(CHARS - 1)).astype(np.int64) + 2 * WORDS
     else:
         chars = np.zeros(0, np.int64)
-    lo, hi, at, end = found.first[:-1], found.first[1:], block.offsets[:-1], block.offsets[1:]
+    places = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])[block.offsets]  # of the texts, in code points
+    lo, hi, at, end = found.first[:-1], found.first[1:], places[:-1], places[1:]
     return [(singles, lo, hi), (pairs, lo, np.maximum(hi - 1, lo)), (chars, at, np.maximum(end - 2, at))]
 
 
@@ -168,14 +169,14 @@ def _score(shared) -> Callable:
 
 
 class QualityModel:
-    """Fitted on at most ``rows`` labelled texts; without labels every probability is one half and up."""
+    """Fitted on at most ``rows`` labelled texts, one for each id; without labels every probability is one half and up."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS):
         spark = docs.sparkSession
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         sample = staged(samples.labelled_sample(labels, label_col, rows, id_col=id_col), "quality-sample")
         # The sample has at most ``rows`` rows of 12 bytes.
-        train = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+        train = samples.one_text_each(texts.join(F.broadcast(sample), "doc_id"), "label")
         features = train.mapInArrow(_features, "doc_id long, label int, ids binary, vals binary").orderBy("doc_id")
         ids, values, labels_, held = [], [], [], []
         for row in features.toLocalIterator():
@@ -193,7 +194,9 @@ class QualityModel:
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Counts, ``base_failed``, ``kept`` and the probability of good quality, one row per input row.
 
-        A null or wordless text has no words and so fails the base rule.
+        A null or wordless text has no words and so fails the base rule.  Rows without an id
+        and repeated rows are scored like others; other columns are not read; an empty table
+        gives no rows.
         """
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         return texts.mapInArrow(_score(self.shared), SCORE_SCHEMA)

@@ -15,3 +15,8 @@ def labelled_sample(labels: DataFrame, label_col: str, rows: int, where: Column
     if where is not None:
         found = found.where(where)
     return found.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def one_text_each(rows: DataFrame, label_col: str) -> DataFrame:
+    """``doc_id, text`` and the label, one row for each id: of rows that repeat an id, the least text; so as many rows as the sample has at most."""
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first(label_col).alias(label_col))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rollcall.llm import kernel, samples, sketch
-from rollcall.stage import staged
+from rollcall.stage import drop_stage, staged
 
 #: Bound on labelled rows used for training; it also bounds the broadcast of their ids.
 TRAIN_ROWS = 20_000
@@ -195,6 +195,24 @@ def _inputs(best, significant, n, law: Gumbel, log1p, log):
     return [log1p(significant), log1p(best), standard / 10.0]
 
 
+def _law(n: np.ndarray, best: np.ndarray, label: np.ndarray) -> Gumbel:
+    """The law of the best passages of non-toxic texts, by the method of moments; a floor keeps the scale sane where nothing scores."""
+    clean = (label == 0) & (n > 0)
+    if not clean.any() or not (label == 1).any():
+        return Gumbel(0.0, 1.0)
+    values = np.sort(best[clean])[: max(1, int(0.995 * clean.sum()))]
+    beta = max(float(values.std()) * math.sqrt(6) / math.pi, 0.5)
+    mu = float(np.mean(values - beta * np.log(np.sort(n[clean])[: len(values)] + 1.0)) - 0.5772 * beta)
+    return Gumbel(mu, beta)
+
+
+def _curve(n: np.ndarray, best: np.ndarray, significant: np.ndarray, label: np.ndarray, law: Gumbel) -> np.ndarray:
+    """Weights of the logistic curve, fitted on the same evidence that is scored; a fixed low score where a class is missing."""
+    if not ((label == 0) & (n > 0)).any() or not (label == 1).any():
+        return np.array([-3.0, 0.0, 0.0, 0.0])
+    return _logistic(np.column_stack([np.ones(len(n)), *_inputs(best, significant, n, law, np.log1p, np.log)]), label)
+
+
 class ToxicityModel:
     """Trained on labelled rows that are not held out; labels, language, source and id never enter a score."""
 
@@ -207,25 +225,20 @@ class ToxicityModel:
         counts = sketch.collect_counts(known.select("text", F.coalesce("label", F.lit(2)).alias("label")), _count, 3 * BUCKETS).reshape(3, BUCKETS)
         delta, z = log_odds(counts)
         self.table = spark.sparkContext.broadcast((delta.astype(np.float32), z.astype(np.float32)))
-        train = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text")
-        seen = train.mapInArrow(_evidence(self.table, None), EVIDENCE_SCHEMA).select("doc_id", "n_tokens", "best").join(F.broadcast(sample), "doc_id")
-        self._fit(seen.select("n_tokens", "best", "label").toPandas())  # bounded by the sample
-
-    def _fit(self, seen) -> None:
-        n, best, label = (seen[c].to_numpy(np.float64) for c in ("n_tokens", "best", "label"))
-        clean = (label == 0) & (n > 0)
-        if not clean.any() or not (label == 1).any():
-            self.law, self.weights = Gumbel(0.0, 1.0), np.array([-3.0, 0.0, 0.0, 0.0])
-            return
-        # Method of moments: the tail of best - beta ln n; a floor keeps the scale sane where nothing scores.
-        values = np.sort(best[clean])[: max(1, int(0.995 * clean.sum()))]
-        beta = max(float(values.std()) * math.sqrt(6) / math.pi, 0.5)
-        mu = float(np.mean(values - beta * np.log(np.sort(n[clean])[: len(values)] + 1.0)) - 0.5772 * beta)
-        self.law = Gumbel(mu, beta)
-        expected = n * np.exp(np.minimum(50, -(best - mu) / beta))
-        significant = np.where(expected <= SIGNIFICANT, best, 0.0)
-        x = np.column_stack([np.ones(len(n)), *_inputs(best, significant, n, self.law, np.log1p, np.log)])
-        self.weights = _logistic(x, label)
+        train = staged(samples.one_text_each(texts.join(F.broadcast(sample), "doc_id"), "label"), "toxic-train")
+        drop_stage(sample)
+        n, best, _, label = self._seen(train, None)
+        self.law = _law(n, best, label)
+        n, best, significant, label = self._seen(train, self.law)  # now with the passages that count as significant
+        self.weights = _curve(n, best, significant, label, self.law)
+        drop_stage(train)
+
+    def _seen(self, train: DataFrame, law: Gumbel | None) -> list[np.ndarray]:
+        """Tokens, best passage, sum of significant passages and label of the training rows; they are bounded by the sample."""
+        columns = ["n_tokens", "best", "significant", "label"]
+        found = train.select("doc_id", "text").mapInArrow(_evidence(self.table, law), EVIDENCE_SCHEMA).join(train.select("doc_id", "label"), "doc_id")
+        seen = found.orderBy("doc_id").select(*columns).toPandas()
+        return [seen[c].to_numpy(np.float64) for c in columns]
 
     def evidence(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Tokens, best passage, sum of significant passages and those passages (byte spans) of every text."""
@@ -233,7 +246,11 @@ class ToxicityModel:
         return texts.mapInArrow(_evidence(self.table, self.law), EVIDENCE_SCHEMA)
 
     def clean(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """The rows of ``docs`` that are not predicted toxic, all columns unchanged."""
+        """The rows of ``docs`` that are not predicted toxic, all columns unchanged.
+
+        Null, empty and wordless texts and rows without an id are judged like others; repeated
+        rows stay or go together; an empty table gives no rows.
+        """
         at, shared, law, weights = docs.columns.index(text_col), self.table, self.law, self.weights
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,10 +269,11 @@ class ToxicityModel:
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``doc_id, held_out, score, predicted`` and the evidence, one row per input row.
 
-        A null or empty text has no tokens and gets the score of no evidence at all.
+        A null or empty text has no tokens and gets the score of no evidence at all.  Rows
+        without an id are not held out; repeated rows get equal scores; other columns are not
+        read; an empty table gives no rows.
         """
         found = self.evidence(docs, id_col, text_col)
-        # The evidence of several passages is calibrated by the best one's curve, which has seen one passage a text.
         inputs = _inputs(F.col("best"), F.col("significant"), F.col("n_tokens"), self.law, F.log1p, F.log)
         line = F.lit(float(self.weights[0]))
         for w, x in zip(self.weights[1:], inputs):

@@ -1,9 +1,11 @@
 """Secret scans with structural confirmation.
 
 A pattern proposes, a parser confirms.  Three base patterns are always reported.  The
-method adds spans of its own kinds only after decoding them: base64 and hex candidates
-must decode to a DER structure whose nested lengths add up, PEM blocks to the same, key
-files in the SSH format to length-prefixed fields, and signed tokens must have a JSON header naming an algorithm.
+method adds spans of its own kinds only after decoding them: base64 candidates, of either
+alphabet and also over several lines, and hex ones must decode to a DER structure whose
+nested lengths add up, PEM blocks to the same, private keys in the SSH format to
+length-prefixed fields, and signed tokens must have a JSON header naming an algorithm.
+What is public by its own words (certificates, public keys) is no secret.
 """
 
 from __future__ import annotations
@@ -28,11 +30,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s]{16,})-----END \1-----")
-#: DER sequences start with byte 0x30; in base64 their first character is M. "openssh-key-v1" and "\0\0\0\7ssh-" have fixed starts too.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/]{39,}={0,2}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]{20,}={0,2}|AAAA[A-Za-z0-9+/]{40,}={0,2})")
+#: What says that it holds no secret.
+PUBLIC = re.compile("PUBLIC|CERTIFICATE|CRL|PARAMETERS")
+#: DER sequences start with byte 0x30; in base64 their first character is M. "openssh-key-v1" has a fixed start too.  Lines of a
+#: wrapped key have 40 characters at least, but for the last one.
+_B64 = "[A-Za-z0-9+/_-]"
+BASE64 = re.compile(rf"(?<!{_B64})(?:M|b3BlbnNzaC1rZXktdjE)(?:{_B64}{{39,}}(?:\r?\n[ \t]*{_B64}{{40,}})*(?:\r?\n[ \t]*{_B64}+)?)={{0,2}}")
 DER_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
-MAX_DEPTH = 16
 
 
 def _der_length(raw: bytes, at: int) -> tuple[int, int] | None:
@@ -51,49 +56,53 @@ def _der_length(raw: bytes, at: int) -> tuple[int, int] | None:
 
 
 def is_der(raw: bytes) -> bool:
-    """Whether ``raw`` is one DER sequence whose nested lengths all add up and which holds an integer or a nested element."""
+    """Whether ``raw`` is one DER sequence of two elements or more, an integer or a nested element among them, whose lengths all add up to the last level."""
     outer = _der_length(raw, 0)
     if not outer or raw[0] != 0x30 or outer[1] != len(raw):
         return False
-    todo, seen = [(*outer, 1)], 0
+    todo, seen, telling = [outer], 0, False
     while todo:
-        at, end, depth = todo.pop()
+        at, end = todo.pop()
         while at < end:
             tag = raw[at]
             if tag & 0x1F == 0x1F or tag == 0:
                 return False
             span = _der_length(raw, at)
-            if not span or span[1] > end:
+            if not span or span[1] > end or (tag == 0x02 and span[0] == span[1]):
                 return False
             seen += 1
-            if tag & 0x20 and depth < MAX_DEPTH:
-                todo.append((*span, depth + 1))
+            telling |= tag == 0x02 or bool(tag & 0x20)
+            if tag & 0x20:
+                todo.append(span)
             at = span[1]
-    return seen >= 2
+    return telling and seen >= 2
 
 
 def is_ssh(raw: bytes) -> bool:
-    """Whether ``raw`` is an SSH key: the private-key magic, or length-prefixed fields that end with the data."""
-    if raw.startswith(b"openssh-key-v1\0"):
-        raw = raw[15:]
-        fields = 3
-    else:
-        fields = 0
-    at, n = 0, 0
-    while at + 4 <= len(raw):
-        size = int.from_bytes(raw[at : at + 4], "big")
-        if at + 4 + size > len(raw):
-            return fields > 0 and n >= fields
-        if n == 0 and not fields and not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", raw[4 : 4 + size]):
+    """Whether ``raw`` is a private key in the SSH format: its magic, then three length-prefixed fields, one key and its two parts, to the end."""
+    if not raw.startswith(b"openssh-key-v1\0"):
+        return False
+    at, n = 15, 0
+    while n < 6:
+        if at + 4 > len(raw):
             return False
+        size = int.from_bytes(raw[at : at + 4], "big")
+        if n == 3:
+            if size != 1:  # the number of keys
+                return False
+            size = 0
         at, n = at + 4 + size, n + 1
-        if fields and n == fields:
-            return True
-    return n >= 2 and at == len(raw)
+        if at > len(raw):
+            return False
+    return at == len(raw)
 
 
 def _unbase64(text: str, urlsafe: bool = False) -> bytes | None:
     text = text.rstrip("=")
+    if "-" in text or "_" in text:
+        if "+" in text or "/" in text:
+            return None
+        urlsafe = True
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), b"-_" if urlsafe else None, validate=True)
     except (binascii.Error, ValueError):
@@ -125,6 +134,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _base64_span(m: re.Match) -> tuple[int, int, str] | None:
+    """The span of a key that a base64 candidate starts with.  A DER sequence says how long it is, so what follows it is left out."""
+    places = [m.start() + i for i, c in enumerate(m[0]) if c not in "\r\n \t="]
+    text = re.sub(r"[\s=]+", "", m[0])
+    if text[0] != "M":
+        raw = _unbase64(text)
+        return (m.start(), m.end(), "ssh") if raw and is_ssh(raw) else None
+    head = _unbase64(text[:8])
+    if not head or head[0] != 0x30:
+        return None
+    size, start = head[1], 2
+    if size & 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4:
+            return None
+        size, start = int.from_bytes(head[2 : 2 + n], "big"), 2 + n
+    need = -(-(start + size) * 4 // 3)
+    if need > len(text):
+        return None
+    raw = _unbase64(text[:need])
+    end = m.end() if need == len(text) else places[need - 1] + 1
+    return (m.start(), end, "der") if raw and is_der(raw) else None
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans whose structure was decoded and parsed."""
     out = []
@@ -132,15 +165,10 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            raw = _unbase64(re.sub(r"\s+", "", m[2]))
+            raw = None if PUBLIC.search(m[1]) else _unbase64(re.sub(r"\s+", "", m[2]))
             if raw and (is_der(raw) or is_ssh(raw)):
                 out.append((m.start(), m.end(), "pem"))
-    for m in BASE64.finditer(text):
-        raw = _unbase64(m[0])
-        if raw and is_der(raw):
-            out.append((m.start(), m.end(), "der"))
-        elif raw and is_ssh(raw):
-            out.append((m.start(), m.end(), "ssh"))
+    out += [span for m in BASE64.finditer(text) if (span := _base64_span(m))]
     for m in DER_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), "der"))
@@ -198,7 +226,11 @@ def redact(text: str) -> str:
 
 
 def redacted_rows(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The rows of ``docs`` with secrets redacted; ``length_col``, if there, gets a changed text's new length."""
+    """The rows of ``docs`` with secrets redacted; ``length_col``, if there, gets a changed text's new length.
+
+    Null and empty texts, rows without an id, repeated rows and other columns stay as they
+    are; an empty table gives no rows.
+    """
     text_at = docs.columns.index(text_col)
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
 

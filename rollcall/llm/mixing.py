@@ -105,7 +105,12 @@ def mix_sources(
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of the mix: each row of ``docs`` as often as it is taken, columns unchanged."""
+    """The rows of the mix: each row of ``docs`` as often as it is taken, columns unchanged.
+
+    Rows with a null source are a source of their own; those with a null, empty or wordless
+    text have size 0 and are taken like others of their hash.  Rows with equal ids or
+    without an id share a hash and are taken together.  An empty table gives no rows.
+    """
     plan = mix_plan(staged(sizes(docs, id_col, text_col, source_col), "sizes"))
     plan = plan.select(*[F.col(c).alias(f"__mix_{c}") for c in ("plan_source", "epochs", "prefix")])
     taken = F.col("__mix_epochs") + F.when(unit_hash(F.col(id_col)) < F.col("__mix_prefix"), 1).otherwise(0)

@@ -1,15 +1,18 @@
 """WARC archives: writer, and a sequential reader that decompresses member by member.
 
-An archive is a row of a stage table: one gzip member per record, as the format has it.
-The reader feeds compressed bytes to zlib in small pieces, starts a new decompressor at
-each member's end, takes payloads by Content-Length and verifies their digests.
+An archive is a row of a stage table, a name and the bytes of a .warc.gz file: one gzip
+member per record, as the format has it.  Response records hold a whole HTTP message,
+revisit records its header.  The reader feeds compressed bytes to zlib in small pieces,
+starts a new decompressor at each member's end, takes messages and payloads by their
+Content-Length and verifies their digests; a revisit's digest is held against that of the
+record it refers to.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,31 +40,41 @@ def _record(headers: list[tuple[str, str]], body: bytes) -> bytes:
 
 
 def _uri(value: str | None) -> str:
-    """A header value on one line; control characters are percent-encoded."""
-    return "".join(c if " " < c != "%" and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in value or "")
+    """A header value on one line: what a URI can't hold as it is gets percent-encoded, what is encoded already stays."""
+    encoded = "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in value or "")
+    return re.sub("%(?![0-9A-Fa-f]{2})", "%25", encoded)
 
 
-def _unuri(value: str) -> str:
-    from urllib.parse import unquote
+#: Names of the records; rows without an id are told apart by their place.
+NAME = "urn:page:"
 
-    return unquote(value)
 
-
-def page_record(page_id: int | None, url: str | None, payload: bytes, first: int | None, kind: str) -> bytes:
-    """The gzip member of one page.  A revisit record has the digest and length of the payload but not the payload."""
+def page_record(page_id: int | None, url: str | None, payload: bytes, first: int | None, kind: str, place: str = "") -> bytes:
+    """The gzip member of one page.  A revisit record has the digest of the payload and the HTTP header, with the payload's length, but not the payload."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}")
+    message = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = [
-        ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", DATE), ("WARC-Target-URI", _uri(url)),
-        ("Content-Type", "text/html"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page_id is None else str(page_id)),
-        ("X-Payload-Length", str(len(payload))),
+        ("WARC-Type", kind), ("WARC-Record-ID", f"<{NAME}{f'none:{place}' if page_id is None else page_id}>"), ("WARC-Date", DATE), ("WARC-Target-URI", _uri(url)),
+        ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}"),
     ]
     if kind == "revisit":
-        headers += [
-            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{first}')}>"), ("X-Refers-To-Page", str(first)),
-        ]
-    return _record(headers, payload if kind == "response" else b"")
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{NAME}{first}>")]
+    return _record(headers, message + (payload if kind == "response" else b""))
+
+
+def _page_id(name: str) -> int | None:
+    text = name.removeprefix(f"<{NAME}").removesuffix(">")
+    return None if text.startswith("none:") else int(text)
+
+
+def _http(body: bytes) -> tuple[int, bytes]:
+    """The length that an HTTP message states and the payload that it has."""
+    head, mark, payload = body.partition(b"\r\n\r\n")
+    lines = head.decode("latin-1").split("\r\n")
+    fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    if not mark or not lines[0].startswith("HTTP/1.") or not fields.get("content-length", "").isdigit():
+        raise WarcError("no HTTP message")
+    return int(fields["content-length"]), payload
 
 
 def _members(archive: memoryview) -> Iterator[bytes]:
@@ -80,7 +93,7 @@ def _members(archive: memoryview) -> Iterator[bytes]:
 
 
 def read_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and body of each record in order; raises ``WarcError`` on a bad frame or digest."""
+    """Headers and payload of each record in order, and as ``Payload-Length`` the length its message states; raises ``WarcError`` on a bad frame or digest."""
     for member in _members(memoryview(archive)):
         head, mark, rest = member.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
@@ -91,11 +104,15 @@ def read_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         body = rest[:size]
         if len(body) != size or rest[size:] != b"\r\n\r\n":
             raise WarcError("the content length does not frame the record")
+        size, payload = _http(body)
+        headers["Payload-Length"] = str(size)
         if headers["WARC-Type"] == "response":
-            digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
-            if headers["WARC-Payload-Digest"] != f"sha1:{digest}" or len(body) != int(headers["X-Payload-Length"]):
+            digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            if headers["WARC-Payload-Digest"] != f"sha1:{digest}" or len(payload) != size:
                 raise WarcError("the payload digest does not verify")
-        yield headers, body
+        elif payload:
+            raise WarcError("a revisit record with a payload")
+        yield headers, payload
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +125,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for page_id, url, html, first, kind in zip(*(c for c in batch.columns)):
-            parts.append(page_record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), first.as_py(), kind.as_py()))
+            parts.append(page_record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), first.as_py(), kind.as_py(), f"{part}.{n}.{len(parts)}"))
             size += len(parts[-1])
             if size >= ARCHIVE_BYTES:
                 yield archive()
@@ -126,9 +143,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for headers, _ in read_records(blob.as_py()):
                 kind = headers["WARC-Type"]
                 values = (
-                    int(headers["X-Page-ID"]) if headers["X-Page-ID"] else None, int(headers["X-Payload-Length"]),
-                    headers["WARC-Payload-Digest"].removeprefix("sha1:"), kind, int(headers["X-Refers-To-Page"]) if kind == "revisit" else None,
-                    _unuri(headers["WARC-Target-URI"]),
+                    _page_id(headers["WARC-Record-ID"]), int(headers["Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:"), kind,
+                    _page_id(headers["WARC-Refers-To"]) if kind == "revisit" else None, headers["WARC-Target-URI"],
                 )
                 for column, value in zip(rows, values):
                     column.append(value)
@@ -140,7 +156,9 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
 
     Of pages with equal payloads of at least ``min_revisit_bytes`` bytes, those with the
     smallest page_id are responses and the others revisit it.  A null html is an empty payload.  Pages
-    without an id are responses; rows that repeat a response's id repeat the response.
+    without an id are responses; rows that repeat a response's id repeat the response, its
+    record's name included.  A null url is an empty target.  A payload is held in memory by
+    itself.  Other columns are not read; an empty table gives no archives.
     """
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     keyed = page.withColumn("digest", F.unhex(F.sha2(F.encode("html", "UTF-8"), 256)))
@@ -152,8 +170,18 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Records of ``(archive, warc)`` rows.  An archive that fails verification fails the job."""
-    return archives.select("archive", "warc").mapInArrow(_read, RECORD_SCHEMA)
+    """Records of ``(archive, warc)`` rows.
+
+    An archive that fails verification fails the job, as does a revisit whose digest or length is not
+    that of the response it refers to, or which refers to none.  No archives give no records.
+    """
+    records = staged(archives.select("archive", "warc").mapInArrow(_read, RECORD_SCHEMA), "warc-records")
+    key = [F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes"]
+    responses = records.where("record_type = 'response' AND page_id IS NOT NULL").select(*key).distinct().withColumn("known", F.lit(True))
+    known = F.col("refers_to").isNull() | F.coalesce("known", F.lit(False))
+    checked = F.when(known, F.col("record_type")).otherwise(F.raise_error(F.lit("a revisit does not match the record it refers to")).cast("string"))
+    joined = records.join(responses, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    return joined.select(*[checked.alias(c) if c == "record_type" else F.col(c) for c in records.columns])
 
 
 #: The same records in DuckDB SQL; base32 from the hexadecimal digest, four characters from each five digits.

@@ -299,7 +299,7 @@ def test_secrets_over_odd_tables(docs, empty):
 
 
 def test_warc_round_trip(spark):
-    pages = [(1, "http://a/x y", "one"), (2, "http://b", "two ü"), (3, None, "one"), (4, "u", None), (5, "u", ""), (6, "u", "z" * 300_000), (7, "u", "one"), (None, "u", "lost"), (2, "http://b", "two ü")]
+    pages = [(1, "http://a/x y", "one"), (2, "http://b", "two ü"), (3, None, "one"), (4, "a%20b%", None), (5, "u", ""), (6, "u", "z" * 300_000), (7, "u", "one"), (None, "u", "lost"), (2, "http://b", "two ü"), (2, "u", "other"), (9, "u", "other")]
     frame = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, first string")
     archives = warc.write_archives(frame)
     got = warc.read_archives(archives).collect()
@@ -311,13 +311,22 @@ def test_warc_round_trip(spark):
         revisit = page_id is not None and page_id != first
         want[(page_id, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "revisit" if revisit else "response", first if revisit else None)] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
-    assert {r.page_id: r.target_uri for r in got}[1] == "http://a/x y"
+    assert [r.target_uri for r in sorted(got, key=lambda r: r.page_id or 0) if r.page_id in (1, 4)] == ["http://a/x%20y", "a%20b%25"]
     raw = b"".join(r.warc for r in archives.collect())
     text = gzip.GzipFile(fileobj=io.BytesIO(raw)).read()
     assert text.count(b"WARC/1.1\r\n") == len(pages)
     assert warc.read_archives(warc.write_archives(frame.limit(0))).count() == 0
 
 
+def test_warc_revisits_are_held_against_their_responses(spark):
+    first, other = warc.page_record(1, "u", b"one", None, "response"), warc.page_record(2, "u", b"two", None, "response")
+    read = lambda *parts: warc.read_archives(spark.createDataFrame([("a", bytearray(b"".join(parts)))], "archive string, warc binary")).collect()
+    assert {(r.page_id, r.refers_to) for r in read(first, other, warc.page_record(3, "u", b"one", 1, "revisit"))} == {(1, None), (2, None), (3, 1)}
+    for bad in (warc.page_record(3, "u", b"one", 2, "revisit"), warc.page_record(3, "u", b"one", 9, "revisit")):
+        with pytest.raises(Exception, match="does not match"):
+            read(first, other, bad)
+
+
 def test_warc_reader_detects_damage():
     good = warc.page_record(1, "u", b"payload", None, "response")
     assert [b for _, b in warc.read_records(good * 3)] == [b"payload"] * 3

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rollcall.llm import mixing, ngram_join, packing, secrets, toxicity
 from rollcall.llm.queries import vocabulary
 from rollcall.session import prepare
-from rollcall.stage import staged
+from rollcall.stage import released, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,5 +59,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with released() as keep:  # what the stage wrote for itself goes
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -42,23 +42,40 @@ SHARD_SCHEMA = "part int, nth int, part_start long, n_tokens long, shard binary"
 TOKEN_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def _bins(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - 20)
+
+
 def _frequent(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys ``left << 32 | right`` of the most frequent pairs; places in full bins, and their keys.
+    """Keys ``left << 32 | right`` of the most frequent pairs; places in full bins, and which pair stands at each, -1 for none of them.
 
-    Counted in hashed bins first, so that only pairs from full bins are sorted.
+    Counted in hashed bins first, so that only pairs from full bins are sorted.  Of pairs in
+    one bin the most frequent is taken; the others have their turn in a later round.
     """
-    bins = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - 20)
+    bins = _bins(left, right)
     full = np.flatnonzero(np.bincount(bins, minlength=BINS)[bins] >= MIN_COUNT)
-    keys = (left[full].astype(np.uint64) << np.uint64(32)) | right[full]
+    keys, bins = (left[full].astype(np.uint64) << np.uint64(32)) | right[full], bins[full]
     pairs, n = np.unique(keys, return_counts=True)
     pairs, n = pairs[n >= MIN_COUNT], n[n >= MIN_COUNT]
     if len(pairs) > RULES_A_ROUND:
-        pairs = pairs[np.sort(np.argpartition(-n, RULES_A_ROUND)[:RULES_A_ROUND])]
-    return pairs, full, keys
+        most = np.argpartition(-n, RULES_A_ROUND)[:RULES_A_ROUND]
+        pairs, n = pairs[most], n[most]
+    order = np.lexsort((pairs, n))
+    pairs, own = pairs[order], _bins((pairs[order] >> np.uint64(32)).astype(np.uint32), pairs[order].astype(np.uint32))
+    table = np.full(BINS, -1, np.int64)
+    table[own] = np.arange(len(pairs))
+    taken = np.flatnonzero(table[own] == np.arange(len(pairs)))
+    pairs, table[own[taken]] = pairs[taken], np.arange(len(taken))
+    which = table[bins]
+    hit = np.flatnonzero(which >= 0)
+    which[hit[pairs[which[hit]] != keys[hit]]] = -1
+    return pairs, full, which
 
 
 def compress(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, each document's first symbol, and rules of ``ids`` whose documents start at ``first``."""
+    if len(ids) and int(ids.max()) >= FIRST_RULE:
+        raise ValueError("a shard's ids are below 65,536")
     symbols = ids.astype(np.uint32)
     starts = np.zeros(len(symbols) + 1, bool)
     starts[first] = True  # the end counts as a start
@@ -67,14 +84,13 @@ def compress(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rules = np.zeros((0, 2), np.uint32)
     while len(symbols) >= 2 * MIN_COUNT:
         places = np.flatnonzero(live[:-1] & ~starts[1:-1])
-        pairs, full, keys = _frequent(symbols[places], symbols[places + 1])
+        pairs, full, which = _frequent(symbols[places], symbols[places + 1])
         if not len(pairs):
             break
         places = places[full]
         live = np.zeros(len(symbols), bool)
         live[places] = True
-        which = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-        hit = pairs[which] == keys
+        hit = which >= 0
         at, which = places[hit], which[hit]
         # Of places that overlap, every second one from the left is replaced.
         fresh = np.ones(len(at), bool)

@@ -20,8 +20,8 @@ import numpy as np
 from rollcall.llm import kernel
 
 #: Slots of a worker's table of known pieces, and how many of them are used before it starts afresh.
-SLOTS = 1 << 21
-MOST_KNOWN = SLOTS * 6 // 10
+SLOTS = 1 << 22
+MOST_KNOWN = SLOTS // 2
 #: Pieces given to the library at once; it takes about a kilobyte for each.
 CALL = 1 << 12
 BLOCK_BYTES = 1 << 19
@@ -42,6 +42,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keeps_space = keeps_space
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        # A byte-level token has a character for each of its bytes.
+        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.token_bytes[i] = len(token)
         self._reset()
 
     def _reset(self) -> None:
@@ -97,10 +101,14 @@ class Encoder:
                 texts = [block.data[s:e].tobytes().decode() for s, e in zip(start[own].tolist(), end[own].tolist())]
                 if joined:
                     found = self.tokenizer.encode(gap.join(texts), add_special_tokens=False)
-                    starts = np.cumsum([0, *(len(t) + len(gap) for t in texts[:-1])])
-                    places = np.fromiter((at for at, _ in found.offsets), np.int64, len(found.ids))
-                    sizes[own] = np.bincount(np.searchsorted(starts, places, "right") - 1, minlength=len(own))
                     parts.append(np.array(found.ids, self.kind))
+                    if self.keeps_space:  # nothing is dropped, so a piece ends where its tokens' bytes do
+                        upto = np.searchsorted(np.cumsum(self.token_bytes[parts[-1]]), np.cumsum(end[own] - start[own]), "right")
+                        sizes[own] = np.diff(upto, prepend=0)
+                    else:
+                        starts = np.cumsum([0, *(len(t) + len(gap) for t in texts[:-1])])
+                        places = np.fromiter((at for at, _ in found.offsets), np.int64, len(found.ids))
+                        sizes[own] = np.bincount(np.searchsorted(starts, places, "right") - 1, minlength=len(own))
                 else:
                     for i, one in zip(own.tolist(), self.tokenizer.encode_batch(texts, add_special_tokens=False)):
                         sizes[i] = len(one.ids)

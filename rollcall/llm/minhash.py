@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ PERMUTATIONS = 128
 SHINGLE_WORDS = 5
 #: Bands of four rows: at a similarity of 0.8 a pair misses all 32 with a probability of 5e-8.
 BANDS = 32
+#: Pairs that share a band are held against the low bits of all their minima before their texts are: at a similarity of 0.8 24 of
+#: 128 differ on average, and more than this with a probability of 1e-5; at 0.5 it is 60.
+SKETCH_BITS, MOST_DIFFERENT = 4, 45
 _rng = np.random.Generator(np.random.PCG64(7919))
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -176,6 +180,19 @@ def fingerprint_and_link(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return fingerprint_documents(docs, id_col, text_col, components=components)
 
 
+def _planes(rows: np.ndarray) -> np.ndarray:
+    """The lowest ``SKETCH_BITS`` mixed bits of the minima, plane by plane, in 64-bit words."""
+    planes = [np.packbits((_digits(rows) >> k) & 1, axis=1) for k in range(SKETCH_BITS)]
+    return np.ascontiguousarray(np.concatenate(planes, axis=1)).view("<i8")
+
+
+def _alike(one: Column, other: Column) -> Column:
+    """Whether few enough minima differ in the planes of two rows."""
+    words = PERMUTATIONS // 64
+    differ = lambda w: reduce(lambda x, y: x.bitwiseOR(y), (one[k * words + w].bitwiseXOR(other[k * words + w]) for k in range(SKETCH_BITS)))
+    return reduce(lambda x, y: x + y, (F.bit_count(differ(w)) for w in range(words))) <= MOST_DIFFERENT
+
+
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in kernel.blocks(batch.column(1)):
@@ -186,32 +203,42 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 [
                     batch.column(0).slice(block.row0, len(block)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())),
+                    pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array(list(_planes(rows)), pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "digest", "bands"],
+                ["doc_id", "n_shingles", "digest", "bands", "bits"],
             )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id``: components of verified pairs that share a signature band, one row per input row.
 
-    Equal sets are one class.  In each band's bucket members first meet the smallest id; links
-    verified by the Jaccard similarity of the whole five-word shingle sets merge classes, and
+    Equal sets are one class.  In each band's bucket members first meet its hub, the member
+    whose buckets are fullest: of a group of edited copies that is the text they were edited
+    from, whose bands they all share.  Links verified by the Jaccard similarity of the whole five-word shingle sets merge classes, and
     members of a bucket that are still apart then meet as well.  So every pair that shares a
-    band and might join two components is verified.  Texts without words are alone, as are
+    band, might join two components and has signatures that fit the similarity is verified.  Texts without words are alone, as are
     rows without an id.  Other columns are not read; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(texts.mapInArrow(_signature_rows, "doc_id long, n_shingles long, digest binary, bands array<long>"), "minhash-signed")
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    signed = staged(texts.mapInArrow(_signature_rows, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "minhash-signed")
+    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", "bits", F.col("n_shingles").cast("int").alias("n"))).alias("own")).select("digest", "rep", "own.*")
     classes = staged(classes, "minhash-classes")
     members = staged(signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")), "minhash-members")
     drop_stage(signed)
-    buckets = classes.select("rep", F.explode("bands").alias("band"))
-    least = staged(buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1").select("band", "hub"), "minhash-hubs")
-    shared = staged(buckets.join(least, "band"), "minhash-buckets")
+    buckets = classes.select("rep", F.explode("bands").alias("band"), "bits", "n")
+    held = staged(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "minhash-held")
+    rows = sharing = staged(buckets.join(held, "band"), "minhash-sharing")
+    weights = staged(rows.groupBy("rep").agg(F.sum("held").alias("weight")), "minhash-weights")
+    rows = rows.join(weights, "rep").select("band", "rep", "bits", "n", "weight")
+    hubs = rows.groupBy("band").agg(F.max(F.struct("weight", F.negative("rep").alias("last"), "rep", "bits", "n")).alias("hub"))
+    hubs = staged(hubs.select("band", F.col("hub.rep").alias("hub"), F.col("hub.bits").alias("hub_bits"), F.col("hub.n").alias("hub_n")), "minhash-hubs")
+    shared = staged(rows.select("band", "rep", "bits", "n").join(hubs, "band"), "minhash-buckets")
     reps = staged(classes.select("digest", "rep"), "minhash-reps")
-    drop_stage(classes, least)
+    drop_stage(classes, held, hubs, weights, sharing)
+
+    def fits(n: str, m: str) -> Column:
+        """Whether sets of these sizes can be similar enough."""
+        return (den * F.col(n) >= num * F.col(m)) & (den * F.col(m) >= num * F.col(n))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs, "minhash-pairs")
@@ -224,9 +251,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         drop_stage(pairs, ids, kept)
         return links
 
-    hub_links = verified(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    hub_links = verified(shared.where((F.col("rep") != F.col("hub")) & fits("n", "hub_n") & _alike(F.col("bits"), F.col("hub_bits"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
     labels = connected_components(hub_links, "a", "b")
-    apart = staged(_apart(shared, labels), "minhash-apart")
+    apart = staged(_apart(shared, labels, fits), "minhash-apart")
     drop_stage(shared, labels)
     rest = verified(apart)
     labels = connected_components(hub_links.union(rest), "a", "b").select(F.col("id").alias("rep"), "component")
@@ -235,16 +262,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return members.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(shared: DataFrame, labels: DataFrame, fits: Callable) -> DataFrame:
     """Pairs of bucket members with different labels, hubs aside; one of each pair is outside its hub's component."""
     label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_label"))
     rows = shared.join(label("rep"), "rep", "left").join(label("hub"), "hub", "left").select(
-        "band", "rep", F.coalesce("rep_label", "rep").alias("label"), F.coalesce("hub_label", "hub").alias("home"), (F.col("rep") == F.col("hub")).alias("is_hub")
+        "band", "rep", "bits", "n", F.coalesce("rep_label", "rep").alias("label"), F.coalesce("hub_label", "hub").alias("home"), (F.col("rep") == F.col("hub")).alias("is_hub")
     )
     rows = staged(rows.where("NOT is_hub"), "minhash-rows")
-    outside = rows.where("label <> home").select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"))
-    other = rows.select("band", F.col("rep").alias("b"), F.col("label").alias("label_b"), "home")
-    met = outside.join(other, "band").where("label_a <> label_b AND (label_b = home OR a < b)")
+    outside = rows.where("label <> home").select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
+    other = rows.select("band", F.col("rep").alias("b"), F.col("label").alias("label_b"), "home", F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
+    meet = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("home")) | (F.col("a") < F.col("b")))
+    met = outside.join(other, (outside.band == other.band) & meet & fits("n_a", "n_b") & _alike(F.col("bits_a"), F.col("bits_b")))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

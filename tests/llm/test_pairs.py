@@ -225,6 +225,22 @@ def test_fingerprints(spark, docs, rows):
             assert value == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0, abs=0.2)
 
 
+def test_sketches_keep_similar_pairs(spark):
+    """Minima that agree in four places of five pass, those that agree in half do not."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 32, (400, minhash.PERMUTATIONS)).astype(np.uint32)
+    other = rng.integers(0, 1 << 32, base.shape).astype(np.uint32)
+    rows = []
+    for share in (0.8, 0.5):
+        mixed = np.where(rng.random(base.shape) < share, base, other)
+        rows += [(share, x.tolist(), y.tolist()) for x, y in zip(minhash._planes(base), minhash._planes(mixed))]
+    frame = spark.createDataFrame(rows, "share double, a array<long>, b array<long>")
+    from pyspark.sql import functions as F
+
+    got = {r.share: r.n for r in frame.where(minhash._alike(F.col("a"), F.col("b"))).groupBy("share").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got[0.8] == 400 and got.get(0.5, 0) < 12
+
+
 def test_near_duplicates_find_near_copies(docs, rows):
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect() if r.doc_id is not None}
     want, links = _components(rows, 5, 80, 100)

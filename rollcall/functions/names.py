@@ -171,32 +171,39 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
-# Order matters, the first prefix or part that fits decides.
+# What a company's kind starts with, and the type it has; the first that fits decides, without any it is a business.
 UK_COMPANY_TYPES = (
-    ("charitable", "nonprofit"), ("community-interest", "nonprofit"), ("private-limited-guarant", "nonprofit"), ("private-limited", "business"),
-    ("public-limited", "business"), ("plc", "business"), ("ltd", "business"), ("llp", "business"), ("limited-partnership", "business"),
-    ("registered-society", "nonprofit"), ("industrial-and-provident", "nonprofit"), ("royal-charter", "nonprofit"), ("other", "unknown"),
+    ("charitable incorporated organisation", "nonprofit"),
+    ("scottish charitable incorporated organisation", "nonprofit"),
+    ("community interest company", "nonprofit"),
+    ("pri/ltd by guar", "nonprofit"),
+    ("pri/lbg/nsc", "nonprofit"),
+    ("registered society", "nonprofit"),
+    ("private limited company", "business"),
+    ("public limited company", "business"),
+    ("private unlimited company", "business"),
+    ("limited liability partnership", "business"),
+    ("overseas entity", "business"),
+    ("old public company", "business"),
+    ("royal charter", "business"),
+    ("other company type", "unknown"),
 )
+# Parts of an officer's role, and the type it has; the first line with a part that occurs decides, without any it is an executive.
 OFFICER_ROLES = (
-    ("executive", r"director|chief|ceo|cfo|president|chair|manager|executive"),
-    ("legal", r"solicitor|lawyer|barrister|attorney|legal"),
-    ("professional", r"accountant|secretary|engineer|consultant|surveyor|auditor"),
+    ("executive", ("director", "ceo", "cfo", "cto", "coo", "chief", "managing", "president", "chairman")),
+    ("legal", ("secretary", "solicitor", "lawyer", "legal")),
+    ("professional", ("accountant", "engineer", "architect", "doctor", "consultant")),
 )
 
 
 def uk_company_type(kind: Column) -> Column:
-    text = F.lower(F.regexp_replace(F.trim(F.coalesce(kind, F.lit(""))), r"[ _]+", "-"))
-    out = F.when(F.lit(False), "")
-    for prefix, name in UK_COMPANY_TYPES:
-        out = out.when(F.startswith(text, F.lit(prefix)), name)
-    return out.otherwise("business")
+    text = F.trim(F.lower(F.coalesce(kind, F.lit(""))))
+    return F.coalesce(*[F.when(F.startswith(text, F.lit(start)), F.lit(name)) for start, name in UK_COMPANY_TYPES], F.lit("business"))
 
 
 def officer_type(occupation: Column) -> Column:
-    text, out = F.lower(F.coalesce(occupation, F.lit(""))), F.when(F.lit(False), "")
-    for name, pattern in OFFICER_ROLES:
-        out = out.when(F.rlike(text, F.lit(pattern)), name)
-    return out.otherwise("executive")
+    text = F.lower(F.coalesce(occupation, F.lit("")))
+    return F.coalesce(*[F.when(F.rlike(text, F.lit(_any(parts))), F.lit(name)) for name, parts in OFFICER_ROLES], F.lit("executive"))
 
 
 def insider_role(is_director: Column, is_officer: Column, officer_title: Column, is_ten_percent: Column) -> Column:

@@ -47,12 +47,12 @@ def parse_officers(lines: DataFrame, file: str = "file", at: str = "at", column:
     cut = lambda start, n: F.trim(F.substring(line, start + 1, n))
     rows = lines.where(~F.startswith(line, F.lit("DDDD"))).select(
         F.col(file).alias("file"), F.col(at).alias("at"), line.alias("line"), cut(0, 8).alias("number"), F.substring(line, 9, 1).alias("kind"),
-        F.when(F.substring(line, 9, 1) == "1", F.struct(cut(0, 8).alias("number"), F.trim(F.substring_index(F.substring(line, 41, 10_000), "<", 1)).alias("name"))).alias("head"),
+        F.when(F.substring(line, 9, 1) == "1", F.struct(cut(0, 8).alias("number"), F.trim(F.substring_index(F.substr(line, F.lit(41)), "<", 1)).alias("name"))).alias("head"),
     )
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     known = rows.withColumn("head", F.last("head", ignorenulls=True).over(before)).where("kind = '2' AND length(line) > 76")
     line = F.col("line")
-    fields = F.split(F.substring(line, 77, 100_000), "<")
+    fields = F.split(F.substr(line, F.lit(77)), "<")
     field = lambda i: F.coalesce(F.trim(F.get(fields, F.lit(i))), F.lit(""))
     people = known.where(F.substring(line, 25, 1) != "Y").select(
         "number", F.when(F.col("head.number") == F.col("number"), F.col("head.name")).otherwise("").alias("company_name"), cut(12, 12).alias("person_id"), dates.compact_date(cut(32, 8)).alias("appointment_date"),

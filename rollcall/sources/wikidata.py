@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rollcall.functions import dates, names
+from rollcall.sources.classes import class_rows
 from rollcall.stage import drop_stage, staged
 
 CLAIMS = "map<string,array<struct<mainsnak:struct<datavalue:struct<value:string>>,qualifiers:map<string,array<struct<datavalue:struct<value:string>>>>>>>"
@@ -13,19 +14,14 @@ ENTITY = (
     f"sitelinks map<string,string>, claims {CLAIMS}"
 )
 # Properties that name executives, and the order in which others stand in for an employer.
-EXECUTIVE_PROPERTIES = {"P169": "chief executive officer", "P488": "chairperson", "P112": "founder", "P1037": "director", "P3320": "board member"}
+EXECUTIVE_PROPERTIES = {"P169": "chief executive officer", "P488": "chairperson", "P112": "founded by", "P1037": "director/manager", "P3320": "board member"}
 FALLBACK_PROPERTIES = ("P108", "P1830", "P54", "P102", "P241", "P264", "P1416", "P463", "P69")
 MOST_RECORDS = 5000
-# A starting set of classes; a full table is a parameter of every function that classifies.
-CLASSES = [
-    ("Q484876", "position", "executive"), ("Q11696", "position", "politician"), ("Q82955", "occupation", "politician"), ("Q1028181", "occupation", "artist"), ("Q36180", "occupation", "artist"),
-    ("Q177220", "occupation", "artist"), ("Q33999", "occupation", "artist"), ("Q937857", "occupation", "athlete"), ("Q1930187", "occupation", "journalist"), ("Q4830453", "organization", "business"),
-    ("Q43229", "organization", "nonprofit"), ("Q6256", "location", "country"), ("Q515", "location", "city"), ("Q4164871", "role", "position"), ("Q28640", "role", "profession"),
-]
 
 
-def class_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CLASSES, "qid string, kind string, type string")
+def class_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The classes that route and type items; ``path`` is a file of further ones, such as occupations."""
+    return class_rows(spark, path)
 
 
 def parse_dump(lines: DataFrame, column: str = "value") -> DataFrame:

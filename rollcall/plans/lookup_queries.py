@@ -90,11 +90,21 @@ def vec_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.sliced(queries, found).select("qid", "id", "score", "rank")
 
 
+KINDS = (
+    "Private Limited Company", " charitable incorporated organisation ", "Scottish Charitable Incorporated Organisation", "PRI/LTD BY GUAR/NSC (Private, limited by guarantee)", "PRI/LBG/NSC (short)",
+    "Royal Charter Company", "Other company type", "Community Interest Company", "Registered Society", "Limited Partnership", "Overseas Entity", "",
+)
+ROLES = ("Company Secretary", "Managing Director", "Architect", "Doctor", "Baker", "Chartered Accountant", "LEGAL COUNSEL", "Chief Engineer", "Consultant", "Vice President", "")
+
+
 def classify_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered prefix and substring rules."""
-    given = spark.createDataFrame([("Private Limited Company", "Managing Director"), ("Charitable Incorporated Organisation", "Solicitor"), ("PLC", "Chartered Accountant"), ("Other", "Baker"), ("", "")], "company string, officer string")
-    role = names.insider_role(F.col("company") == "PLC", F.col("company") != "Other", F.col("officer"), F.lit(True))
-    return given.select("company", "officer", names.uk_company_type(F.col("company")).alias("company_type"), names.officer_type(F.col("officer")).alias("officer_type"), role.alias("insider_role"))
+    """Ordered prefix and substring rules over every part, and the role text of an insider."""
+    pick = lambda values, step: F.get(F.array(*[F.lit(v) for v in values]), (F.floor(F.col("p_partkey") / step) % len(values)).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(pick(KINDS, 1), F.col("p_type")).alias("company"), F.concat_ws(" ", pick(ROLES, 1), "p_brand").alias("officer"), pick(ROLES, 1).alias("title"))
+    flag = lambda n: F.col("p_partkey") % n == 0
+    return rows.select(
+        "p_partkey", names.uk_company_type(F.col("company")).alias("company_type"), names.officer_type(F.col("officer")).alias("officer_type"), names.insider_role(flag(2), flag(3), F.col("title"), flag(5)).alias("insider_role"),
+    )
 
 
 QUERIES = {
@@ -104,9 +114,13 @@ QUERIES = {
     )
 }
 
+def _list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
 _BASE = vector_queries.ORACLE["vec_topk_canon"]
 ORACLE = {
-    "point_lookup": "SELECT p_partkey AS id, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey < 20)",
+    "point_lookup": "SELECT p_partkey AS id, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)",
     "source_lookup": """
 SELECT 'primary' AS kind, o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 1 AND o_custkey = 7 AND o_orderkey % 2 <> 0
 UNION ALL SELECT 'person', min(o_orderkey) FROM orders WHERE o_orderkey % 3 = 1 AND o_custkey = 7 HAVING count(*) > 0""",
@@ -118,7 +132,7 @@ SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_order
     "canonical_join": f"{entity_sql._ORG_CANON} SELECT s.id, s.canon_id, h.name AS canon_name FROM sized s JOIN sized h ON h.id = s.canon_id",
     "group_summary": "SELECT count(*) AS groups, count_if(n > 1)::BIGINT AS multi_record_groups FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)",
     "merge_name_vector": f"""
-WITH found AS ({_BASE}), named AS (SELECT vec_id AS qid, label AS canon_id, 1.0::DOUBLE AS score, 0 AS tier FROM embeddings WHERE vec_id < 5),
+WITH found AS ({_BASE}), named AS (SELECT vec_id AS qid, label AS canon_id, 1.0::DOUBLE AS score, 0 AS tier FROM embeddings WHERE vec_id % 100 = 0),
 both_kinds AS (SELECT * FROM named UNION ALL SELECT qid, label, score, 1 FROM found),
 once AS (SELECT *, row_number() OVER (PARTITION BY qid, canon_id ORDER BY tier, score DESC) AS nth FROM both_kinds)
 SELECT qid, canon_id::BIGINT AS canon_id, score, tier, row_number() OVER (PARTITION BY qid ORDER BY tier, score DESC, canon_id)::INT AS rank FROM once WHERE nth = 1 QUALIFY rank <= 4""",
@@ -135,10 +149,16 @@ SELECT qid::BIGINT AS qid, count(DISTINCT canon_id) AS groups, min(canon_id) AS
     "vec_cosine": """
 WITH p AS (SELECT q.vec_id AS qid, e.vec_id AS id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
     / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 5) AS score
-  FROM embeddings e, embeddings q WHERE q.vec_id < 3)
+  FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM p QUALIFY rank <= 5""",
-    "classify_types": """
-SELECT * FROM (VALUES ('Private Limited Company', 'Managing Director', 'business', 'executive', 'Managing Director'),
-  ('Charitable Incorporated Organisation', 'Solicitor', 'nonprofit', 'legal', 'Solicitor'), ('PLC', 'Chartered Accountant', 'business', 'professional', 'Director, Chartered Accountant'),
-  ('Other', 'Baker', 'unknown', 'executive', 'Investor'), ('', '', 'business', 'executive', 'Officer')) v(company, officer, company_type, officer_type, insider_role)""",
+    "classify_types": f"""
+WITH p AS (SELECT p_partkey, lower(trim({_list(KINDS)}[p_partkey % {len(KINDS)} + 1] || p_type)) AS k, {_list(ROLES)}[p_partkey % {len(ROLES)} + 1] AS title,
+                  lower({_list(ROLES)}[p_partkey % {len(ROLES)} + 1] || ' ' || p_brand) AS o FROM part)
+SELECT p_partkey,
+       CASE WHEN regexp_matches(k, '^(charitable incorporated organisation|scottish charitable incorporated organisation|community interest company|pri/ltd by guar|pri/lbg/nsc|registered society)') THEN 'nonprofit'
+            WHEN starts_with(k, 'other company type') THEN 'unknown' ELSE 'business' END AS company_type,
+       CASE WHEN regexp_matches(o, 'director|ceo|cfo|cto|coo|chief|managing|president|chairman') THEN 'executive' WHEN regexp_matches(o, 'secretary|solicitor|lawyer|legal') THEN 'legal'
+            WHEN regexp_matches(o, 'accountant|engineer|architect|doctor|consultant') THEN 'professional' ELSE 'executive' END AS officer_type,
+       coalesce(nullif(concat_ws(', ', CASE WHEN p_partkey % 2 = 0 THEN 'Director' END, CASE WHEN p_partkey % 3 = 0 THEN coalesce(nullif(title, ''), 'Officer') END), ''),
+                CASE WHEN p_partkey % 5 = 0 THEN 'Investor' ELSE 'Insider' END) AS insider_role FROM p""",
 }

@@ -53,8 +53,7 @@ def shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = shard_assignment(spark, sf_dir)
-    return index.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("rn").alias("last_rn"))
+    return vector_search.manifest(shard_assignment(spark, sf_dir))
 
 
 def matryoshka_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +98,12 @@ def _top(where: str, keep: str, k: int, pairs: str = "pairs", order: str = "scor
 
 
 ORACLE = {
-    "vec_topk_int8": _BASE % "q.id < 5" + _top("true", "qid, id, score, rank", 10),
-    "vec_topk_filtered": _BASE % "q.id < 5" + _top("label = qlabel AND id <> qid", "qid, id, label, score, rank", 10),
-    "vec_topk_canon": _BASE % "q.id < 5"
+    "vec_topk_int8": _BASE % "q.id % 100 = 0" + _top("true", "qid, id, score, rank", 10),
+    "vec_topk_filtered": _BASE % "q.id % 100 = 0" + _top("label = qlabel AND id <> qid", "qid, id, label, score, rank", 10),
+    "vec_topk_canon": _BASE % "q.id % 100 = 0"
     + ", firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, id) AS nth FROM pairs) WHERE nth = 1) "
     + _top("true", "qid, id, label, score, rank", 5, "firsts"),
-    "vec_hot_cold": _BASE % "q.id < 200 AND q.id % 20 = 7"
+    "vec_hot_cold": _BASE % "q.id % 100 = 0"
     + ", hot AS (" + _top("id < 100", "*", 5) + "), settled AS (SELECT qid FROM hot WHERE rank = 1 AND score >= 0.95), cold AS ("
     + _top("qid NOT IN (SELECT qid FROM settled)", "*", 5)
     + ") SELECT qid, id, score, rank FROM hot WHERE qid IN (SELECT qid FROM settled) UNION ALL SELECT qid, id, score, rank FROM cold",
@@ -113,7 +112,7 @@ SELECT c_custkey, rn, (CASE WHEN rn <= 100 THEN 0 ELSE 1 + (rn - 100 - 1) // 250
   SELECT c_custkey, row_number() OVER (ORDER BY CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 ELSE 3 END,
                                        c_acctbal DESC, c_custkey) AS rn FROM customer)""",
     "shard_manifest": """
-SELECT shard, count(*) AS n, max(rn) AS last_rn FROM (
+SELECT shard, count(*) AS count, shard = 0 AS hot FROM (
   SELECT rn, (CASE WHEN rn <= 100 THEN 0 ELSE 1 + (rn - 100 - 1) // 250 END)::INT AS shard FROM (SELECT row_number() OVER () AS rn FROM customer)) GROUP BY shard""",
     "matryoshka_identity": f"""
 WITH s AS (SELECT vec_id, list_transform(embedding[1:{DIMS}], lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -129,7 +128,7 @@ j AS (SELECT a.vec_id, 8 * a.x AS a, coalesce(b.x, 0) AS b, 4 * coalesce(c.x, 0)
 SELECT vec_id, round(a / l, 5) AS x0, round(b / l, 5) AS x{DIMS}, round(c / l, 5) AS x{2 * DIMS} FROM j""",
     "quantize": f"""
 SELECT vec_id, list_sum(v)::BIGINT AS total, list_min(v)::BIGINT AS least, list_max(v)::BIGINT AS most FROM (SELECT vec_id, {_QUANTIZED} AS v FROM embeddings)""",
-    "accuracy_at_k": _BASE % "q.id < 50"
+    "accuracy_at_k": _BASE % "q.id % 100 = 0"
     + ", top AS (" + _top("id <> qid", "*", 10) + """), hits AS (
   SELECT qlabel, qid, max(CASE WHEN label = qlabel AND rank = 1 THEN 1 ELSE 0 END) AS top1, max(CASE WHEN label = qlabel THEN 1 ELSE 0 END) AS topk FROM top GROUP BY 1, 2)
 SELECT qlabel, count(*) AS queries, round(avg(top1), 6) AS acc_at_1, round(avg(topk), 6) AS acc_at_k FROM hits GROUP BY qlabel""",

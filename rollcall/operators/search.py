@@ -71,6 +71,11 @@ def merged(by_name: DataFrame, by_vector: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _near(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The nearest canonical groups of each query ``(qid, q)``, by slices of queries."""
+    return vector_search.sliced(queries, lambda part: vector_search.best_of_group(vector_search.scored(index, part), "canon_id", k))
+
+
 def organization_search(index: DataFrame, orgs: DataFrame, queries: DataFrame, k: int = 20, source: str | None = None, embedder: vectors.Embedder | None = None) -> DataFrame:
     """Vector matches by canonical group, with exact aliases first where they are needed.
 
@@ -80,7 +85,7 @@ def organization_search(index: DataFrame, orgs: DataFrame, queries: DataFrame, k
     """
     where = None if source is None else F.col("source") == ("wikidata" if source == "wikipedia" else source)
     rows = index if where is None else index.where(where)
-    found = vector_search.best_of_group(vector_search.scored(rows, queries.select("qid", "q")), "canon_id", k)
+    found = _near(rows, queries.select("qid", "q"), k)
     short = F.length(F.trim("query")) <= SHORT_QUERY
     weak = found.where(F.col("rank") == 1).where(F.col("score") < ALIAS_SCORE).select("qid")
     by_name = name_lookup(orgs, queries.where(short).select("qid", "query"), embedder).unionByName(
@@ -140,7 +145,7 @@ def person_search(composite: DataFrame, identity: DataFrame | None, people: Data
     normalised name, or without any those of the nearest names, ranked by description; only
     without those do weaker composite matches count.
     """
-    near = vector_search.best_of_group(vector_search.scored(composite, queries.select("qid", "q")), "canon_id", k)
+    near = _near(composite, queries.select("qid", "q"), k)
     high = near.where((F.col("rank") == 1) & (F.col("score") > PERSON_HIGH)).select("qid")
     settled = near.join(high, "qid", "left_semi").select("qid", "canon_id", "score", "rank", F.lit("composite").alias("lookup_method"))
     open_queries = queries.join(high, "qid", "left_anti")
@@ -149,7 +154,7 @@ def person_search(composite: DataFrame, identity: DataFrame | None, people: Data
     rest = open_queries.join(named, "qid", "left_anti")
     candidates = by_name.select("qid", "canon_id", F.lit("name").alias("lookup_method"))
     if identity is not None and embedder is not None:
-        close = vector_search.best_of_group(vector_search.scored(identity, rest.select("qid", F.col("iq").alias("q"))), "canon_id", k)
+        close = _near(identity, rest.select("qid", F.col("iq").alias("q")), k)
         candidates = candidates.unionByName(close.select("qid", "canon_id", F.lit("identity").alias("lookup_method")))
     if embedder is not None:
         ranked = disambiguated(candidates.join(open_queries.select("qid", "query", "description"), "qid").drop("lookup_method"), people, embedder)

@@ -30,7 +30,12 @@ def build_index(df: DataFrame, id_col: str, vector: Column, keep: list[str] | No
 
 
 def scored(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Similarity of every pair of a query ``(qid, q)`` and an index row, rounded to six places so that ties are ties everywhere."""
+    """Similarity of every pair of a query ``(qid, q)`` and an index row, rounded to six places so that ties are ties everywhere.
+
+    The queries are broadcast; more than ``MOST_QUERIES`` are an error, as ``sliced`` works them off in parts.
+    """
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries at once")
     known = queries.select(*[c for c in queries.columns if c != "q"], "q", vectors.int_dot(F.col("q"), F.col("q")).cast("double").alias("qq"))
     pairs = index.crossJoin(F.broadcast(known))
     lengths = F.col("vv") * F.col("qq")

@@ -49,36 +49,34 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        """An empty table: hashes and entries by slot; of each entry its bytes and ids as places in two pools."""
+        """An empty table: upper halves of hashes and entries by slot; of each entry its bytes and ids as places in two pools."""
         self.known = 0
-        self.keys = np.zeros(SLOTS, np.uint64)
+        self.tags = np.zeros(SLOTS, np.uint32)
         self.entry = np.full(SLOTS, -1, np.int32)
-        self.text_at, self.text_size, self.at, self.size = (np.zeros(MOST_KNOWN, kind) for kind in (np.int64, np.int16, np.int64, np.int16))
+        self.text_at, self.text_size, self.at, self.size = (np.zeros(MOST_KNOWN, kind) for kind in (np.int32, np.int16, np.int32, np.int16))
         self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
     def _find(self, keys: np.ndarray, block: kernel.Block, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Entries of pieces, -1 for unknown ones, -2 for those whose hash another piece has."""
-        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
-        out = np.where(self.keys[slot] == keys, self.entry[slot], -1)
-        todo = np.flatnonzero((self.entry[slot] >= 0) & (self.keys[slot] != keys))
+        """Entries of pieces, -1 for unknown ones, -2 for those whose place another piece of a like hash has."""
+        slot, tags = (keys & np.uint64(SLOTS - 1)).astype(np.int64), (keys >> np.uint64(32)).astype(np.uint32)
+        out = np.where(self.tags[slot] == tags, self.entry[slot], -1)
+        todo = np.flatnonzero((self.entry[slot] >= 0) & (self.tags[slot] != tags))
         while todo.size:
             slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
-            there, same = self.entry[slot[todo]] >= 0, self.keys[slot[todo]] == keys[todo]
+            there, same = self.entry[slot[todo]] >= 0, self.tags[slot[todo]] == tags[todo]
             out[todo[there & same]] = self.entry[slot[todo[there & same]]]
             todo = todo[there & ~same]
         found = np.flatnonzero(out >= 0)
-        # Hashes of pieces of at most eight bytes differ if the pieces do and are of one length; longer ones are compared.
-        other = found[self.text_size[out[found]] != size[found]]
-        long = found[(self.text_size[out[found]] == size[found]) & (size[found] > 8)]
-        if long.size:
-            mine, theirs, at = kernel.chunk_view(block.data), np.ndarray((len(self.text) - 7,), "<u8", self.text, 0, (1,)), 0
-            while long.size:
-                left = size[long] - at
-                low = kernel.LOW[np.minimum(left, 8)]
-                equal = (mine[start[long] + at] ^ theirs[self.text_at[out[long]] + at]) & low == 0
-                other = np.concatenate([other, long[~equal]])
-                long, at = long[equal & (left > 8)], at + 8
+        equal_size = self.text_size[out[found]] == size[found]
+        other, todo = found[~equal_size], found[equal_size]
+        mine, theirs, at = kernel.chunk_view(block.data), np.ndarray((len(self.text) - 7,), "<u8", self.text, 0, (1,)), 0
+        while todo.size:  # eight bytes a round
+            left = size[todo] - at
+            low = kernel.LOW[np.minimum(left, 8)]
+            equal = (mine[start[todo] + at] ^ theirs[self.text_at[out[todo]].astype(np.int64) + at]) & low == 0
+            other = np.concatenate([other, todo[~equal]])
+            todo, at = todo[equal & (left > 8)], at + 8
         out[other] = -2
         return out
 
@@ -140,7 +138,7 @@ class Encoder:
             free = todo[self.entry[slot[todo]] < 0]
             _, first = np.unique(slot[free], return_index=True)
             put = free[first]
-            self.keys[slot[put]], self.entry[slot[put]] = keys[put], self.known + put
+            self.tags[slot[put]], self.entry[slot[put]] = keys[put] >> np.uint64(32), self.known + put
             todo = np.setdiff1d(todo, put, assume_unique=True)
             slot[todo] = np.where(self.entry[slot[todo]] >= 0, (slot[todo] + 1) & (SLOTS - 1), slot[todo])
         self.known += len(keys)
@@ -186,7 +184,7 @@ class Encoder:
         if rest.size:
             more, size[rest] = self._library(block, start[rest], end[rest])
         upto = np.concatenate([[0], np.cumsum(size)])
-        at = np.where(known, self.at[entry], self.used) - upto[:-1]
+        at = np.where(known, self.at[entry].astype(np.int64), self.used) - upto[:-1]
         if rest.size:  # their ids stand behind the pool's
             at[rest] = self.used + np.cumsum(size[rest]) - size[rest] - upto[rest]
             pool = np.concatenate([self.pool[: self.used], more])

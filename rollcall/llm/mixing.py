@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rollcall.llm.columns import own_prefix
 from rollcall.stage import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -112,10 +113,11 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without an id share a hash and are taken together.  An empty table gives no rows.
     """
     plan = mix_plan(staged(sizes(docs, id_col, text_col, source_col), "sizes"))
-    plan = plan.select(*[F.col(c).alias(f"__mix_{c}") for c in ("plan_source", "epochs", "prefix")])
-    taken = F.col("__mix_epochs") + F.when(unit_hash(F.col(id_col)) < F.col("__mix_prefix"), 1).otherwise(0)
-    rows = docs.join(plan, F.col(source_col).eqNullSafe(F.col("__mix_plan_source"))).withColumn("__mix_taken", taken)
-    copies = rows.where("__mix_taken > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_taken"))))
+    own = own_prefix(docs.columns)
+    plan = plan.select(*[F.col(c).alias(f"{own}{c}") for c in ("plan_source", "epochs", "prefix")])
+    taken = F.col(f"{own}epochs") + F.when(unit_hash(F.col(id_col)) < F.col(f"{own}prefix"), 1).otherwise(0)
+    rows = docs.join(plan, F.col(source_col).eqNullSafe(F.col(f"{own}plan_source"))).withColumn(f"{own}taken", taken)
+    copies = rows.where(F.col(f"{own}taken") > 0).withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{own}taken"))))
     return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollcall.llm import kernel, sketch
+from rollcall.llm.columns import own_prefix
 from rollcall.operators.components import connected_components
 from rollcall.stage import bucketed, drop_stage, input_bytes, staged
 
@@ -300,18 +301,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the order of their texts.  The texts are shuffled once, into a table bucketed by id; the
     candidates' texts and the rows that stay are both taken from it without another shuffle.
     """
+    own = own_prefix(docs.columns)
+    copy, again_id, nth = f"{own}copy", f"{own}repeated", f"{own}nth"
     docs = bucketed(docs, id_col)
     found = staged(NgramJoin(docs, id_col, text_col, n, num, den, is_bucketed=True).components().where("n_shingles > 0 AND doc_id IS NOT NULL"), "ngram-found")
-    copies = found.where("component_id < doc_id").select(F.col("doc_id").alias("__copy")).distinct()
-    kept = docs.join(copies, F.col(id_col) == F.col("__copy"), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__repeated"))
+    copies = found.where("component_id < doc_id").select(F.col("doc_id").alias(copy)).distinct()
+    kept = docs.join(copies, F.col(f"`{id_col}`") == F.col(copy), "left_anti")
+    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again_id))
     if not repeated.take(1):
         return kept
     repeated = staged(repeated, "ngram-repeated")
-    again = kept.join(repeated, F.col(id_col) == F.col("__repeated"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.length(F.trim(F.coalesce(text_col, F.lit("")))) == 0, text_col))
-    once = again.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return kept.join(repeated, F.col(id_col) == F.col("__repeated"), "left_anti").unionByName(once)
+    same = F.col(f"`{id_col}`") == F.col(again_id)
+    order = F.row_number().over(Window.partitionBy(id_col).orderBy(F.length(F.trim(F.coalesce(text_col, F.lit("")))) == 0, text_col))
+    once = kept.join(repeated, same, "left_semi").withColumn(nth, order).where(F.col(nth) == 1).drop(nth)
+    return kept.join(repeated, same, "left_anti").unionByName(once)
 
 
 #: The same components in DuckDB SQL, from all pairs that share a shingle.

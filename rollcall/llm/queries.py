@@ -18,10 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose lower-cased four-word shingles have a Jaccard similarity of 0.85 or more."""
     return ngram_join.NgramJoin(_table(spark, sf_dir, "documents")).components()
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without 50-word passages that start in one of a smaller id."""
     return substring.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
@@ -33,39 +35,47 @@ def vocabulary(name: str) -> str:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of all documents' ids, read back from the compressed shards."""
     shards = repair.write_shards(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return repair.read_shards(shards)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts, the base rule and the trained verdict for each document."""
     docs = _table(spark, sf_dir, "documents")
     return quality.QualityModel(docs, _table(spark, sf_dir, "labels")).score(docs)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of 2,048 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text and its edited text, their likeness, and the class of verified near-duplicates."""
     return minhash.fingerprint_and_link(_table(spark, sf_dir, "documents"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document, and its source's size and target."""
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction for each document, and the number of significant passages."""
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.ToxicityModel(docs, _table(spark, sf_dir, "labels")).score(docs)
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and confirmed secrets of each document."""
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the pages' archives, read back from them."""
     records = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

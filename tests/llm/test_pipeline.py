@@ -79,3 +79,24 @@ def test_run_equals_stages(spark, folder):
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert rows and Counter(map(key, rows)) == Counter(map(key, again))
     assert all(0 <= r.ids_crc32 < 1 << 32 for r in rows) and zlib.crc32(b"") == 0
+
+
+def _write(spark, path, rows, labels):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id long, __copy string, label int").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, _write(spark, tmp_path, [], [])).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, a very long text and columns with clashing names."""
+    long = " ".join(f"w{k % 977}x{k}" for k in range(60_000))
+    rows = [(1, "one two three four five six", "en", "a", 6, 1, "x", 0)] * 2 + [(None, None, None, None, None, None, None, None), (None, "alone without an id", "en", None, 1, 2, "y", 1), (2, "", "en", "a", 0, 3, "z", 0), (3, long, "en", "b", 9, 4, "w", 1), (3, long, "en", "b", 9, 4, "w", 1)]
+    folder = _write(spark, tmp_path, rows, [(1, 1, 0), (1, 0, 1), (None, 1, 1), (3, None, 0)])
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in got} <= {None, 1, 2, 3} and all(0 < r.length <= 2048 for r in got)
+    starts = sorted((r.start, r.length) for r in got if r.doc_id == 3 and r.piece >= 0)
+    assert starts and max(s + n for s, n in starts) > 60_000

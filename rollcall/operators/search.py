@@ -73,7 +73,7 @@ def merged(by_name: DataFrame, by_vector: DataFrame, k: int) -> DataFrame:
 
 def _near(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The nearest canonical groups of each query ``(qid, q)``, by slices of queries."""
-    return vector_search.sliced(queries, lambda part: vector_search.best_of_group(vector_search.scored(index, part), "canon_id", k))
+    return vector_search.search_groups(index, queries, "canon_id", k)
 
 
 def organization_search(index: DataFrame, orgs: DataFrame, queries: DataFrame, k: int = 20, source: str | None = None, embedder: vectors.Embedder | None = None) -> DataFrame:

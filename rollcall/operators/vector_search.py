@@ -1,8 +1,7 @@
 """Quantised cosine search: exact top-k, filters, canonical groups, popularity shards.
 
-Query vectors come in a small frame and the index is scanned once for all of them.  The
-queries are cross-joined to the index only after a check that they are few; a larger set
-is worked off in slices of that size.
+Query vectors come in a frame and the index is scanned once for all of them, block by block;
+a set whose vectors are too many bytes is worked off in slices.
 """
 
 from __future__ import annotations
@@ -13,9 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollcall.functions import vectors
+from rollcall.operators.nearest import candidates
 
-#: Queries that are broadcast at once; each is at most a few kilobytes.
-MOST_QUERIES = 1024
+#: Queries that one scan takes to the workers; a vector of 768 bytes makes that 12 MB.
+MOST_QUERIES = 16_384
 HOT_SIZE, COLD_SIZE = 3_000_000, 10_000_000
 
 
@@ -29,22 +29,8 @@ def build_index(df: DataFrame, id_col: str, vector: Column, keep: list[str] | No
     return with_norms(df.select(F.col(id_col).alias("id"), vectors.quantized(vector).alias("v"), *(keep or [])))
 
 
-def scored(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Similarity of every pair of a query ``(qid, q)`` and an index row, rounded to six places so that ties are ties everywhere.
-
-    The queries are broadcast; more than ``MOST_QUERIES`` are an error, as ``sliced`` works them off in parts.
-    """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once")
-    known = queries.select(*[c for c in queries.columns if c != "q"], "q", vectors.int_dot(F.col("q"), F.col("q")).cast("double").alias("qq"))
-    pairs = index.crossJoin(F.broadcast(known))
-    lengths = F.col("vv") * F.col("qq")
-    similarity = F.when(lengths > 0, vectors.int_dot(F.col("v"), F.col("q")) / F.sqrt(lengths)).otherwise(0.0)
-    return pairs.withColumn("score", F.round(similarity, 6)).drop("v", "q", "vv", "qq")
-
-
 def slices(queries: DataFrame, most: int = MOST_QUERIES) -> list[DataFrame]:
-    """The queries in frames small enough to broadcast."""
+    """The queries in frames small enough for one scan."""
     n = queries.count()
     if n <= most:
         return [queries]
@@ -63,10 +49,15 @@ def sliced(queries: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFr
     return reduce(DataFrame.unionByName, [find(part) for part in slices(queries)])
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """Exact top-k of each query; ``where`` restricts the index before ranking."""
+def search(index: DataFrame, queries: DataFrame, k: int, where: Column | None = None, differ: bool = False, same: tuple[str, str] | None = None) -> DataFrame:
+    """Exact top-k of each query; ``where`` restricts the index before ranking, ``differ`` and ``same`` the pairs."""
     rows = index if where is None else index.where(where)
-    return sliced(queries, lambda part: top_k(scored(rows, part), k))
+    return sliced(queries, lambda part: top_k(candidates(rows, part, k, differ=differ, same=same), k))
+
+
+def search_groups(index: DataFrame, queries: DataFrame, canon: str, k: int) -> DataFrame:
+    """Exact top-k canonical groups of each query, each by its best row."""
+    return sliced(queries, lambda part: best_of_group(candidates(index, part, k, group=canon), canon, k))
 
 
 def best_of_group(pairs: DataFrame, canon: str, k: int) -> DataFrame:

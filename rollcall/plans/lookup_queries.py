@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollcall.functions import names
-from rollcall.operators import canonicalize, jobs, search, vector_search
+from rollcall.operators import canonicalize, jobs, nearest, search, vector_search
 from rollcall.plans import entity_queries, entity_sql, vector_queries
 from rollcall.plans.tables import table
 
@@ -76,18 +76,10 @@ def person_name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vec_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Float cosine and exact top-k without quantisation."""
-    from rollcall.functions import vectors
-
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", vectors.norm(F.col("embedding")).alias("length"))
-    queries = e.where(F.col("vec_id") % vector_queries.QUERY_STEP == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("length").alias("qlength"))
-    lengths = F.col("length") * F.col("qlength")
-    similarity = F.when(lengths > 0, vectors.dot(F.col("embedding"), F.col("q")) / lengths).otherwise(0.0)
-
-    def found(part: DataFrame) -> DataFrame:
-        pairs = e.crossJoin(F.broadcast(part)).select("qid", F.col("vec_id").alias("id"), F.round(similarity, 5).alias("score"))
-        return vector_search.top_k(pairs, 5)
-
-    return vector_search.sliced(queries, found).select("qid", "id", "score", "rank")
+    index = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    queries = index.where(F.col("id") % vector_queries.QUERY_STEP == 0).select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    found = vector_search.sliced(queries, lambda part: vector_search.top_k(nearest.candidates(index, part, 5, places=5), 5))
+    return found.select("qid", "id", "score", "rank")
 
 
 KINDS = (

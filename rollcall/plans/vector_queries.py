@@ -30,13 +30,13 @@ def vec_topk_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vec_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    found = vector_search.sliced(_queries(index), lambda part: vector_search.top_k(vector_search.scored(index, part).where("label = qlabel AND id <> qid"), 10))
+    found = vector_search.search(index, _queries(index), 10, differ=True, same=("label", "qlabel"))
     return found.select("qid", "id", "label", "score", "rank")
 
 
 def vec_topk_canon(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    found = vector_search.sliced(_queries(index), lambda part: vector_search.best_of_group(vector_search.scored(index, part), "label", 5))
+    found = vector_search.search_groups(index, _queries(index), "label", 5)
     return found.select("qid", "id", "label", "score", "rank")
 
 
@@ -77,7 +77,7 @@ def quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accuracy_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    results = vector_search.sliced(_queries(index), lambda part: vector_search.top_k(vector_search.scored(index, part).where("id <> qid"), 10))
+    results = vector_search.search(index, _queries(index), 10, differ=True)
     found = stats.accuracy(results, F.col("label") == F.col("qlabel"), 10, ["qlabel"])
     return found.select("qlabel", "queries", F.round("acc_at_1", 6).alias("acc_at_1"), F.round("acc_at_k", 6).alias("acc_at_k"))
 

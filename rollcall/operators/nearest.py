@@ -25,7 +25,7 @@ PLACES_MARGIN = 2.0
 MISSING = -2.0  # below every cosine: vectors of different lengths have no similarity
 
 
-def _matrix(column: pa.Array, whole: bool) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def _matrix(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Squared lengths, the vectors of each dimension count, and the counts; vectors that are null or hold a null have length 0."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -41,26 +41,16 @@ def _matrix(column: pa.Array, whole: bool) -> tuple[np.ndarray, list[np.ndarray]
     for d in dims:
         at = np.flatnonzero(counts == d)
         rows = values[starts[at][:, None] + np.arange(d)]
-        squares[at] = np.where(whole_row[at], _dots(rows, rows, whole, paired=True), 0.0)
+        squares[at] = np.where(whole_row[at], _dots(rows, rows), 0.0)
         parts.append((int(d), at, rows))
     return squares, parts, counts
 
 
-def _dots(one: np.ndarray, other: np.ndarray, whole: bool, paired: bool = False) -> np.ndarray:
-    """Products of each row with each row, or ``paired`` row by row.
-
-    Sums of whole numbers are exact in any order; others are added in the order of the dimensions.
-    """
-    if paired:
-        total = np.zeros(len(one))
-        for d in range(one.shape[1]):
-            total += one[:, d] * other[:, d]
-        return total
-    if whole:
-        return one @ other.T
-    total = np.zeros((len(one), len(other)))
+def _dots(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Products row by row, added in the order of the dimensions."""
+    total = np.zeros(len(one))
     for d in range(one.shape[1]):
-        total += one[:, d, None] * other[None, :, d]
+        total += one[:, d] * other[:, d]
     return total
 
 
@@ -96,7 +86,7 @@ class _Scan:
 
     def __init__(self, queries: pa.Table, rule: Rule):
         self.rule, self.table = rule, queries.drop_columns(["q"])
-        self.qq, self.parts, self.dims = _matrix(queries.column("q"), rule.whole)
+        self.qq, self.parts, self.dims = _matrix(queries.column("q"))
         self.least = np.full(len(queries), -np.inf)
         self.qid, self.known = _numbers(queries.column("qid").combine_chunks())
         if rule.same:
@@ -105,7 +95,7 @@ class _Scan:
     def block(self, rows: pa.Table) -> pa.Table:
         """Candidates among ``rows``: whatever may be among the best ``k`` of a query after rounding, ties included."""
         rule, n = self.rule, len(rows)
-        vv, parts, dims = _matrix(rows.column("v"), rule.whole)
+        vv, parts, dims = _matrix(rows.column("v"))
         ids, known = _numbers(rows.column("id").combine_chunks())
         groups = None
         if rule.group:
@@ -121,7 +111,7 @@ class _Scan:
                 mine = at[(at >= start) & (at < tile.stop)]
                 for e, where, others in parts:
                     if d == e and len(mine):
-                        dots[np.ix_(mine - start, where)] = _dots(vectors[np.searchsorted(at, mine)], others, rule.whole)
+                        dots[np.ix_(mine - start, where)] = vectors[np.searchsorted(at, mine)] @ others.T
             score = _similarity(dots, self.qq[tile], vv, rule.whole)
             apart = (self.dims[tile, None] != dims[None, :]) & (self.qq[tile, None] * vv[None, :] > 0)
             key = np.where(apart, MISSING, np.where(np.isnan(score), np.inf, score))  # a NaN is above all numbers
@@ -135,12 +125,28 @@ class _Scan:
         who = np.concatenate([np.full(len(at), q) for q, at, _ in found]) if found else np.zeros(0, np.int64)
         at = np.concatenate([at for _, at, _ in found]) if found else np.zeros(0, np.int64)
         raw = np.concatenate([key for *_, key in found]) if found else np.zeros(0)
+        if not rule.whole:
+            raw = self._in_order(who, at, raw, vv, parts)
         out = rows.drop_columns(["v"]).take(pa.array(at, pa.int64()))
         for name in self.table.column_names:
             out = out.append_column(name, self.table.column(name).take(pa.array(who, pa.int64())))
         raw = np.where(np.isposinf(raw), np.nan, raw)
         return out.append_column("raw", pa.array(raw, pa.float64(), mask=raw == MISSING))
 
+    def _in_order(self, who: np.ndarray, at: np.ndarray, raw: np.ndarray, vv: np.ndarray, parts: list) -> np.ndarray:
+        """Similarities of the chosen pairs from sums in the order of the dimensions: a matrix product of fractions may add in another."""
+        out = raw.copy()
+        for d, mine, vectors in self.parts:
+            for e, where, others in parts:
+                if d == e:
+                    pair = np.flatnonzero(np.isin(who, mine) & np.isin(at, where))
+                    dots = _dots(vectors[np.searchsorted(mine, who[pair])], others[np.searchsorted(where, at[pair])])
+                    lengths = np.sqrt(self.qq[who[pair]]) * np.sqrt(vv[at[pair]])
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        exact = np.where((lengths > 0) | np.isnan(lengths), dots / lengths, 0.0)
+                    out[pair] = np.where(np.isnan(exact), np.inf, exact)
+        return out
+
     def _best(self, q: int, key: np.ndarray, ids: np.ndarray, known: np.ndarray, groups: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         k, margin = self.rule.k, self.rule.margin
         at = np.flatnonzero(key >= self.least[q] - margin if np.isfinite(self.least[q]) else key > -np.inf)

@@ -84,3 +84,19 @@ def test_no_rows_and_no_queries(spark):
     assert vector_search.search(frame.where("id > 1"), asked, 3).count() == 0
     assert vector_search.search(frame, asked.where("qid > 1"), 3).count() == 0
     assert [tuple(r) for r in vector_search.search(frame, asked, 3).select("qid", "id", "score", "rank").collect()] == [(1, 1, 1.0, 1)]
+
+
+def test_fractions(spark):
+    """Equal vectors of fractions stand in the order of ids; NaN is above all numbers, as in Spark."""
+    rng = random.Random(2)
+    kinds = [[rng.gauss(0, 1) for _ in range(9)] for _ in range(12)]
+    rows = [(i, rng.choice(kinds)) for i in range(200)] + [(500, [math.nan] * 9)]
+    frame = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    asked = frame.where("id % 20 = 0 AND id < 500").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    found = vector_search.top_k(nearest.candidates(frame, asked, 4, places=5), 4)
+    got = sorted((r.qid, r["rank"], r.id) for r in found.collect())
+    want = []
+    for qid, q in rows[:200:20]:
+        pairs = sorted((-round(sum(x * y for x, y in zip(q, v)) / math.sqrt(sum(x * x for x in q) * sum(x * x for x in v)), 5), i) for i, v in rows[:200])
+        want += [(qid, 1, 500)] + [(qid, rank, i) for rank, (_, i) in enumerate(pairs[:3], 2)]
+    assert got == want

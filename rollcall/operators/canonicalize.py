@@ -65,10 +65,25 @@ def overlap_edges(people: DataFrame) -> DataFrame:
     return linked.where("same").select(F.col("before").alias("src"), F.col("id").alias("dst"))
 
 
+def _name_and_org() -> Column:
+    return F.when(_text(F.col("name_normalized")).isNotNull() & F.col("known_for_org_id").isNotNull(), F.struct("name_normalized", "known_for_org_id"))
+
+
 def person_edges(people: DataFrame) -> DataFrame:
     """Edges by entity id, by normalised name with organisation, and by name with overlapping periods."""
-    name = F.when(_text(F.col("name_normalized")).isNotNull() & F.col("known_for_org_id").isNotNull(), F.struct("name_normalized", "known_for_org_id"))
-    return key_edges(people, "id", F.col("qid")).union(key_edges(people, "id", name)).union(overlap_edges(people)).distinct()
+    return key_edges(people, "id", F.col("qid")).union(key_edges(people, "id", _name_and_org())).union(overlap_edges(people)).distinct()
+
+
+def person_merges(people: DataFrame) -> DataFrame:
+    """``kind, merges``: by entity id and by name with organisation the rows beyond each key's first, by date the groups that fall together beyond those.
+
+    The number by date is the drop in the number of components, so it doesn't depend on an order.
+    """
+    joined = lambda labels: labels.agg(F.count_if(F.col("id") != F.col("component")).alias("merges"))  # noqa: E731  components fewer than vertices
+    keyed = connected_components(key_edges(people, "id", F.col("qid")).union(key_edges(people, "id", _name_and_org())))
+    signed = joined(connected_components(person_edges(people))).unionAll(joined(keyed).select(-F.col("merges")))
+    by_key = [match_counts(people, key).select(F.lit(kind).alias("kind"), F.col("matches").alias("merges")) for kind, key in (("qid", F.col("qid")), ("org", _name_and_org()))]
+    return by_key[0].unionAll(by_key[1]).unionAll(signed.agg(F.sum("merges").alias("merges")).select(F.lit("date").alias("kind"), "merges"))
 
 
 def grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:

@@ -169,6 +169,12 @@ def person_search(composite: DataFrame, identity: DataFrame | None, people: Data
     return settled.unionByName(found).unionByName(left.select("qid", "canon_id", "score", "rank", F.lit("composite").alias("lookup_method")))
 
 
+def same_name(table: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows whose name equals the query's text without regard to case: ``qid`` and the row's columns.  Null equals nothing."""
+    asked = queries.select("qid", F.lower("query").alias("__query"))
+    return table.join(asked, F.lower("name") == F.col("__query")).drop("__query")
+
+
 def resolve_regions(texts: DataFrame, column: str, locations: DataFrame, table: DataFrame) -> DataFrame:
     """Each text with the id of the location it names: by its own normal form, or by the country it normalises to."""
     own = locations.groupBy(F.col("name_normalized").alias("__name")).agg(F.min("id").alias("__by_name"))

@@ -30,6 +30,11 @@ def summary(facts: DataFrame) -> DataFrame:
     return facts.agg(F.count(F.lit(1)).alias("total"), F.count("canon_id").alias("canonicalized"), F.countDistinct("canon_id").alias("groups"))
 
 
+def sample_rows(rows: DataFrame, order: list[str], n: int = 20) -> DataFrame:
+    """The first rows in an order, for a report."""
+    return rows.orderBy(*order).limit(n)
+
+
 def accuracy(results: DataFrame, hit: Column, k: int, by: list[str]) -> DataFrame:
     """Share of queries with a hit at rank 1 and within k, by group; ``results`` has ``qid, rank``."""
     per_query = results.groupBy(*by, "qid").agg(

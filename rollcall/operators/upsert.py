@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rollcall.schema import KEYS
 from rollcall.stage import staged
 
 _ABSENT = "\u0000"
@@ -66,6 +67,45 @@ def get_or_create(table: DataFrame, names: DataFrame, name: str, source_id: int)
     return table.unionByName(numbered(fresh, ["name_normalized"], highest), allowMissingColumns=True)
 
 
+def insert_locations(table: DataFrame, incoming: DataFrame, sequence: str) -> DataFrame:
+    """The incoming locations that are inserted, in the order of ``sequence``.
+
+    A row with an identifier is known if a row has that identifier in any case, a row without
+    one if a row has its normalised name; the table's names and identifiers are looked up
+    alike.  An empty identifier counts as none.  Of rows without a name or identifier none goes in.
+    """
+    name, identifier = F.lower(F.trim("name")), F.lower(F.nullif(F.col("source_identifier"), F.lit("")))
+    known = table.select(F.explode(F.array(name, identifier)).alias("__key")).where("__key IS NOT NULL").distinct()
+    first = Window.partitionBy("__key").orderBy(F.col(sequence).asc_nulls_last())
+
+    def fresh(rows: DataFrame, key: Column) -> DataFrame:
+        keyed = rows.withColumn("__key", key).where("__key IS NOT NULL")
+        return keyed.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank").join(known, "__key", "left_anti")
+
+    identified = fresh(incoming.where(identifier.isNotNull()), identifier).drop("__key")
+    named = fresh(incoming.where(identifier.isNull()), name)
+    earlier = identified.groupBy(name.alias("__key")).agg(F.min(sequence).alias("__first"))
+    unknown = named.join(earlier, "__key", "left").where(F.col("__first").isNull() | (F.col("__first") > F.col(sequence)))
+    return identified.unionByName(unknown.drop("__key", "__first"))
+
+
+def upsert_people(people: DataFrame, roles: DataFrame, incoming: DataFrame, sequence: str) -> tuple[DataFrame, DataFrame]:
+    """The next versions of people and roles; ``incoming`` has people's columns and ``known_for_role``, a role's text.
+
+    Roles that a source lacks are made, the first by ``sequence`` giving the name, and people refer to them.  A null or blank
+    text names no role and leaves ``known_for_role_id`` as it is.
+    """
+    role = F.nullif(F.lower(F.trim("known_for_role")), F.lit(""))
+    wanted = incoming.where(role.isNotNull()).select(F.col("known_for_role").alias("name"), role.alias("name_normalized"), "source_id", F.col(sequence).alias("__seq"))
+    fresh = insert_ignore(roles, wanted, KEYS["roles"], "__seq").drop("__seq")
+    highest = roles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    both = roles.unionByName(numbered(fresh, KEYS["roles"], highest), allowMissingColumns=True)
+    lookup = both.groupBy(F.col("name_normalized").alias("__name"), F.col("source_id").alias("__source")).agg(F.min("id").alias("__role"))
+    told = incoming.withColumn("__own", role).join(lookup, (F.col("__own") == F.col("__name")) & F.col("source_id").eqNullSafe(F.col("__source")), "left")
+    resolved = told.withColumn("known_for_role_id", F.coalesce("__role", "known_for_role_id")).drop("__own", "__name", "__source", "__role", "known_for_role")
+    return upsert(people, resolved, KEYS["people"], sequence), both
+
+
 def missing_keys(needed: DataFrame, column: str, existing: DataFrame, existing_column: str) -> DataFrame:
     """Distinct values that are referred to but do not exist."""
     return needed.select(column).where(F.col(column).isNotNull()).distinct().join(

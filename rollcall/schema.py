@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Ids and names that stored data refers to.
 SOURCE_TYPES = {
@@ -38,6 +38,29 @@ DEFAULT_SOURCE, DEFAULT_ORGANIZATION_TYPE, DEFAULT_PERSON_TYPE, DEFAULT_LOCATION
 SOURCE_SYNONYMS = {"wikipedia": "wikidata"}
 
 
+def _ids(name: Column, ids: dict[str, int], default: int) -> Column:
+    """The id of a name; null and names that are not known give the default."""
+    known = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, name), F.lit(default)).cast("long")
+
+
+def source_id(name: Column) -> Column:
+    ids = {v: k for k, v in SOURCE_TYPES.items()}
+    return _ids(name, ids | {k: ids[v] for k, v in SOURCE_SYNONYMS.items()}, DEFAULT_SOURCE)
+
+
+def organization_type_id(name: Column) -> Column:
+    return _ids(name, {v: k for k, v in ORGANIZATION_TYPES.items()}, DEFAULT_ORGANIZATION_TYPE)
+
+
+def person_type_id(name: Column) -> Column:
+    return _ids(name, {v: k for k, v in PEOPLE_TYPES.items()}, DEFAULT_PERSON_TYPE)
+
+
+def location_type_id(name: Column) -> Column:
+    return _ids(name, {v[0]: k for k, v in LOCATION_TYPES.items()}, DEFAULT_LOCATION_TYPE)
+
+
 def _fields(text: str) -> T.StructType:
     return T._parse_datatype_string(text)  # type: ignore[return-value]
 

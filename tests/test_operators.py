@@ -119,3 +119,44 @@ def test_name_lookup_prefers_blend(spark):
     assert search.name_lookup(orgs, asked).first().canon_id == 1
     assert search.name_lookup(orgs, asked, vectors.HashedEmbedder(64)).count() == 1
     assert search.name_lookup(orgs, asked, aliases_only=True, single_only=True).count() == 0
+
+
+def test_locations_are_inserted_as_one_by_one(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["Paris ", "paris", "Rome", "Bonn", None]), rng.choice([None, None, "", "Q1", "q1", "Q2", "Q3"])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "seq int, name string, source_identifier string")
+    for start in (0, 3, 30):
+        seen, want = set(), []
+        for seq, name, identifier in rows:
+            key = identifier.lower() if identifier else name.strip().lower() if name else None
+            if seq >= start and (key is None or key in seen):
+                continue
+            seen |= {x for x in (name and name.strip().lower(), identifier and identifier.lower()) if x}
+            if seq >= start:
+                want.append(seq)
+        got = upsert.insert_locations(frame.where(f"seq < {start}"), frame.where(f"seq >= {start}"), "seq")
+        assert sorted(r.seq for r in got.collect()) == want
+
+
+def test_people_get_roles_that_a_source_lacks(spark):
+    from rollcall import schema
+
+    tables = schema.empty_database(spark)
+    fields = "id long, source_identifier string, source_id long, known_for_role string, known_for_role_id long, known_for_org_id long, from_date string"
+    records = [(1, "a", 4, "Chair ", None, None, None), (2, "a", 4, "chair", None, None, None), (3, "b", 2, "chair", None, None, None), (4, "c", 4, " ", 9, None, None), (5, None, None, "Clerk", None, None, None)]
+    people, roles = upsert.upsert_people(tables["people"], tables["roles"], spark.createDataFrame(records, fields), "id")
+    known = {(r.name_normalized, r.source_id): r.id for r in roles.collect()}
+    assert set(known) == {("chair", 4), ("chair", 2), ("clerk", None)} and len(set(known.values())) == 3
+    assert sorted((r.id, r.known_for_role_id) for r in people.collect()) == [(2, known["chair", 4]), (3, known["chair", 2]), (4, 9), (5, known["clerk", None])]
+    again, same = upsert.upsert_people(people, roles, spark.createDataFrame(records[:0], fields), "id")
+    assert again.count() == 4 and same.count() == 3
+
+
+def test_person_merges(spark):
+    people = spark.createDataFrame(
+        [(1, 5, "a", 1, "2020", "2021"), (2, 5, "a", 1, "2020", None), (3, None, "a", None, "2021", None), (4, None, "b", None, "2020", None), (5, None, "b", None, "2019", "2019")],
+        "id long, qid long, name_normalized string, known_for_org_id long, from_date string, to_date string",
+    )
+    count = lambda rows: {r.kind: r.merges for r in canonicalize.person_merges(rows).collect()}
+    assert count(people) == {"qid": 1, "org": 1, "date": 1}
+    assert count(people.limit(0)) == {"qid": 0, "org": 0, "date": 0}

@@ -6,6 +6,8 @@ gives n - 1 edges; the closure is the components of all edges.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollcall.functions import dates
@@ -18,9 +20,14 @@ PERSON_PRIORITY = {"wikidata": 1, "sec_edgar": 2, "companies_house": 3}
 LOWEST_PRIORITY = 99
 
 
-def key_edges(rows: DataFrame, id_col: str, key: Column) -> DataFrame:
-    """Star edges: every row that has the key, to the smallest id that has it."""
-    keyed = rows.select(F.col(id_col).alias("dst"), key.alias("key")).where("key IS NOT NULL")
+def key_edges(rows: DataFrame, id_col: str, *keys: list[Column]) -> DataFrame:
+    """Star edges: every row that has a key, to the smallest id that has it.
+
+    A key is a list of columns, none of which is null in a row that has it.  All kinds of keys go through one scan and one
+    grouped minimum.
+    """
+    parts = [F.when(F.forall(parts, lambda x: x.isNotNull()), F.struct(F.lit(i).alias("kind"), parts.alias("parts"))) for i, parts in enumerate(F.array(*[c.cast("string") for c in key]) for key in keys)]
+    keyed = rows.select(F.col(id_col).alias("dst"), F.explode(F.array_compact(F.array(*parts))).alias("key"))
     least = keyed.groupBy("key").agg(F.min("dst").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return keyed.join(least, "key").where("src <> dst").select("src", "dst")
 
@@ -41,12 +48,9 @@ def organization_edges(orgs: DataFrame) -> DataFrame:
     """
     lei = F.when(F.col("source") == "gleif", F.col("source_identifier")).otherwise(F.get_json_object("record", "$.lei"))
     cik = F.when(F.col("source") == "sec_edgar", F.col("source_identifier")).otherwise(F.get_json_object("record", "$.cik"))
-    name = F.when(_text(F.col("name_normalized")).isNotNull(), F.struct("name_normalized", F.coalesce("region", F.lit(""))))
-    keys = [F.upper(_text(lei)), F.upper(_text(F.get_json_object("record", "$.ticker"))), zero_filled(_text(cik))]
-    edges = key_edges(orgs, "id", name)
-    for key in keys:
-        edges = edges.union(key_edges(orgs, "id", key))
-    return edges.distinct()
+    name = F.when(_text(F.col("name_normalized")).isNotNull(), F.col("name_normalized"))
+    ticker = F.get_json_object("record", "$.ticker")
+    return key_edges(orgs, "id", [name, F.coalesce("region", F.lit(""))], [F.upper(_text(lei))], [F.upper(_text(ticker))], [zero_filled(_text(cik))])
 
 
 def overlap_edges(people: DataFrame) -> DataFrame:
@@ -65,13 +69,14 @@ def overlap_edges(people: DataFrame) -> DataFrame:
     return linked.where("same").select(F.col("before").alias("src"), F.col("id").alias("dst"))
 
 
-def _name_and_org() -> Column:
-    return F.when(_text(F.col("name_normalized")).isNotNull() & F.col("known_for_org_id").isNotNull(), F.struct("name_normalized", "known_for_org_id"))
+def _person_keys() -> list[list[Column]]:
+    """The entity id, and the normalised name with the organisation."""
+    return [[F.col("qid")], [F.when(_text(F.col("name_normalized")).isNotNull(), F.col("name_normalized")), F.col("known_for_org_id")]]
 
 
 def person_edges(people: DataFrame) -> DataFrame:
     """Edges by entity id, by normalised name with organisation, and by name with overlapping periods."""
-    return key_edges(people, "id", F.col("qid")).union(key_edges(people, "id", _name_and_org())).union(overlap_edges(people)).distinct()
+    return key_edges(people, "id", *_person_keys()).union(overlap_edges(people))
 
 
 def person_merges(people: DataFrame) -> DataFrame:
@@ -80,9 +85,11 @@ def person_merges(people: DataFrame) -> DataFrame:
     The number by date is the drop in the number of components, so it doesn't depend on an order.
     """
     joined = lambda labels: labels.agg(F.count_if(F.col("id") != F.col("component")).alias("merges"))  # noqa: E731  components fewer than vertices
-    keyed = connected_components(key_edges(people, "id", F.col("qid")).union(key_edges(people, "id", _name_and_org())))
+    keys = _person_keys()
+    keyed = connected_components(key_edges(people, "id", *keys))
     signed = joined(connected_components(person_edges(people))).unionAll(joined(keyed).select(-F.col("merges")))
-    by_key = [match_counts(people, key).select(F.lit(kind).alias("kind"), F.col("matches").alias("merges")) for kind, key in (("qid", F.col("qid")), ("org", _name_and_org()))]
+    every = lambda key: F.when(reduce(lambda x, y: x & y, (c.isNotNull() for c in key)), F.struct(*key))
+    by_key = [match_counts(people, every(key)).select(F.lit(kind).alias("kind"), F.col("matches").alias("merges")) for kind, key in zip(("qid", "org"), keys)]
     return by_key[0].unionAll(by_key[1]).unionAll(signed.agg(F.sum("merges").alias("merges")).select(F.lit("date").alias("kind"), "merges"))
 
 

@@ -10,6 +10,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from rollcall.session import ship_package
+
+
+#: Bytes of lines in a batch.
+BATCH_BYTES = 4 << 20
+
 
 def _members(pattern: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -23,6 +29,43 @@ def _members(pattern: str) -> Callable:
     return run
 
 
+def _lines(pattern: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
+                    for name in archive.namelist():
+                        if fnmatch.fnmatch(name.rsplit("/", 1)[-1], pattern):
+                            yield from _line_batches(archive, f"{path}!{name}", name)
+
+    return run
+
+
+def _line_batches(archive: zipfile.ZipFile, file: str, name: str) -> Iterator[pa.RecordBatch]:
+    """A member's lines as they are inflated, ``BATCH_BYTES`` at once."""
+    with archive.open(name) as member:
+        at, size, held = 0, 0, []
+        for raw in member:
+            line = raw.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
+            held.append(line)
+            size += len(raw)
+            if size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(held)), pa.array(range(at, at + len(held)), pa.int64()), pa.array(held)], ["file", "at", "value"])
+                at, size, held = at + len(held), 0, []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(held)), pa.array(range(at, at + len(held)), pa.int64()), pa.array(held)], ["file", "at", "value"])
+
+
+def zip_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``file, at, value``: the lines of the archives' members whose name fits, in their order from 0.
+
+    A member is never whole in memory, only its archive is, compressed (2 GB at most, Spark's limit for a binary file).
+    """
+    ship_package(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(_lines(pattern), "file string, at long, value string")
+
+
 def zip_members(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``path, member, value`` of the archives' members whose name fits; one member is in memory at a time."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")

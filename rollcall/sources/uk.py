@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rollcall.functions import dates, names
-from rollcall.sources.archives import zip_members
+from rollcall.sources.archives import zip_lines
 from rollcall.sources.records import company, person, text
 
 ACTIVE = "^(active|open|live)"
@@ -73,6 +73,4 @@ def parse_officers(lines: DataFrame, file: str = "file", at: str = "at", column:
 
 def read_officers(spark: SparkSession, path: str, current_only: bool = False) -> DataFrame:
     """Officers of the ``.dat`` members of archives; each member is a file of its own."""
-    members = zip_members(spark, path, "*.dat")
-    lines = members.select(F.concat_ws("!", "path", "member").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
-    return parse_officers(lines, current_only=current_only)
+    return parse_officers(zip_lines(spark, path, "*.dat"), current_only=current_only)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollcall.llm import minhash, mixing, ngram_join, packing, quality, repair, secrets, substring, toxicity, warc
+from rollcall.llm import gridjoin, minhash, mixing, negatives, ngram_join, packing, quality, repair, resample, secrets, substring, toxicity, warc
 from rollcall.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and the draw of documents towards the benchmark's distribution of words."""
+    scores = resample.importance_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return scores.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of vectors of one label at a cosine of 0.98 or more."""
+    return gridjoin.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for the positives of every anchor, a row whose id is divisible by 100."""
+    rows = negatives.contract_rows(_table(spark, sf_dir, "embeddings"))
+    return negatives.HardNegatives(rows).mine(F.col("id") % 100 == 0)
+
+
 def _prepared(query: Query) -> Query:
     """The query in a session that is ready for it."""
 
@@ -103,6 +120,9 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_secret_scan": op9_secret_scan,
         "op10_warc": op10_warc,
+        "op11_importance": op11_importance,
+        "op12_near_vectors": op12_near_vectors,
+        "op13_hard_negatives": op13_hard_negatives,
     }
     return {name: _prepared(query) for name, query in named.items()}
 
@@ -113,4 +133,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring_dedup": substring.REPEATS_SQL,
         "op7_mix_sources": mixing.MIX_SQL,
         "op10_warc": warc.RECORDS_SQL,
+        "op11_importance": resample.SCORES_SQL,
+        "op12_near_vectors": gridjoin.LINKS_SQL,
+        "op13_hard_negatives": negatives.NEGATIVES_SQL,
     }

@@ -175,7 +175,7 @@ def _keyed(kind: str, grid: Grid) -> Callable:
 BLOCK_SCHEMA = "part int, nth long, label string, width int, low array<double>, high array<double>, reps binary, sizes binary, digests binary, vectors binary"
 
 
-def _blocks(kind: str, grid: Grid) -> Callable:
+def _blocks(kind: str, grid: Grid, most: int) -> Callable:
     """Blocks of the sorted sequence, each of one label and length, with their boxes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def _blocks(kind: str, grid: Grid) -> Callable:
 
         for batch in batches:
             for label, width, rep, size, digest, vector in zip(*[c.to_pylist() for c in batch.columns]):
-                if held and (of != (label, width) or len(held) == BLOCK):
+                if held and (of != (label, width) or len(held) == most):
                     yield block()
                     nth, held = nth + 1, []
                 of = (label, width)
@@ -207,7 +207,7 @@ def _blocks(kind: str, grid: Grid) -> Callable:
 class _Side:
     """A block in a task: its vectors, in leaves with boxes."""
 
-    def __init__(self, kind: str, grid: Grid, width: int, reps: bytes, sizes: bytes, digests: bytes, vectors: bytes):
+    def __init__(self, kind: str, grid: Grid, reps: bytes, sizes: bytes, digests: bytes, vectors: bytes):
         self.reps, self.sizes = np.frombuffer(reps, "<i8"), np.frombuffer(sizes, "<i8").astype(np.float64)
         self.digests = [digests[i : i + 16] for i in range(0, len(digests), 16)]
         self.raw = np.frombuffer(vectors, kind).reshape(len(self.reps), -1).astype(np.float64)
@@ -264,9 +264,9 @@ LINK_SCHEMA = "rep long, digest binary, links long, root long"
 def _join_blocks(kind: str, grid: Grid) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, width, *sides in zip(*[c.to_pylist() for c in batch.columns]):
-                a = _Side(kind, grid, width, *sides[:4])
-                b = a if i == j else _Side(kind, grid, width, *sides[4:])
+            for i, j, *sides in zip(*[c.to_pylist() for c in batch.columns]):
+                a = _Side(kind, grid, *sides[:4])
+                b = a if i == j else _Side(kind, grid, *sides[4:])
                 links_a, links_b, roots = _join_sides(a, b, i == j, grid)
                 links = links_a if i == j else np.concatenate([links_a, links_b])
                 reps = a.reps if i == j else np.concatenate([a.reps, b.reps])
@@ -317,7 +317,7 @@ def _sequence(blocks: DataFrame) -> DataFrame:
     return blocks.join(F.broadcast(offsets), "part").withColumn("seq", F.col("before") + F.col("nth"))
 
 
-def near_duplicates(rows: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label") -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row: links to other rows of the same label at a cosine of ``threshold`` or more.
 
     A vector that is null, empty, zero, or has a null or non-finite component, a row without a
@@ -336,17 +336,17 @@ def near_duplicates(rows: DataFrame, threshold: float, id_col: str = "vec_id", v
     keyed = staged(classes.mapInArrow(_keyed(kind, grid), "label string, digest binary, rep long, size long, vector binary, width int, cells long"), "grid-cells")
     order = ["label", "width", "cells", "rep", "digest"]  # ids part a full cell between ranges
     laid = keyed.repartitionByRange(task_count(keyed), *order).sortWithinPartitions(*order)
-    blocks = staged(laid.select("label", "width", "rep", "size", "digest", "vector").mapInArrow(_blocks(kind, grid), BLOCK_SCHEMA), "grid-blocks")
+    blocks = staged(laid.select("label", "width", "rep", "size", "digest", "vector").mapInArrow(_blocks(kind, grid, block), BLOCK_SCHEMA), "grid-blocks")
     drop_stage(keyed)
     placed = _sequence(blocks)
     boxes = staged(placed.select("seq", "label", "width", "low", "high"), "grid-boxes")
     pairs = near_pairs(boxes, boxes.count(), grid)
-    side = lambda s, key: placed.select(F.col("seq").alias(key), F.col("width").alias(f"width_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("reps", "sizes", "digests", "vectors")])
+    side = lambda s, key: placed.select(F.col("seq").alias(key), *[F.col(c).alias(f"{c}_{s}") for c in ("reps", "sizes", "digests", "vectors")])
     none = F.lit(None).cast("binary")  # a block that meets itself travels once
     met = pairs.where("i < j").join(side("a", "i"), "i").join(side("b", "j"), "j")
-    met = met.unionByName(pairs.where("i = j").join(side("a", "i"), "i").select("*", F.col("width_a").alias("width_b"), *[none.alias(f"{c}_b") for c in ("reps", "sizes", "digests", "vectors")]))
+    met = met.unionByName(pairs.where("i = j").join(side("a", "i"), "i").select("*", *[none.alias(f"{c}_b") for c in ("reps", "sizes", "digests", "vectors")]))
     columns = [f"{c}_{s}" for s in "ab" for c in ("reps", "sizes", "digests", "vectors")]
-    found = staged(met.select("i", "j", F.col("width_a").alias("width"), *columns).mapInArrow(_join_blocks(kind, grid), LINK_SCHEMA), "grid-links")
+    found = staged(met.select("i", "j", *columns).mapInArrow(_join_blocks(kind, grid), LINK_SCHEMA), "grid-links")
     drop_stage(blocks, boxes, pairs)
     links = found.groupBy("rep", "digest").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select("rep", "root"), "rep", "root")

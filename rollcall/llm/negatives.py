@@ -39,29 +39,25 @@ def integers(flat: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(256 * flat), -MOST, MOST).astype(np.int32)
 
 
-def _usable(kind: str) -> Callable:
+def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with an id, a label and finite components, as integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, labels, vectors = batch.columns
-            size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
-            flat = pc.fill_null(vectors.flatten().cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
-            bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
-            end = np.cumsum(size)
-            keep = (bad[end] == bad[end - size]) & pc.and_(pc.and_(ids.is_valid(), labels.is_valid()), vectors.is_valid()).to_numpy(zero_copy_only=False)
-            raw = integers(np.where(np.isfinite(flat), flat, 0))
-            data = [raw[e - n : e].tobytes() for e, n in zip(end[keep], size[keep])]
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([ids.filter(mask), labels.filter(mask), pa.array(size[keep], pa.int32()), pa.array(data, pa.binary())], ["id", "label", "dims", "vector"])
-
-    return run
+    for batch in batches:
+        ids, labels, vectors = batch.columns
+        size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        flat = pc.fill_null(vectors.flatten().cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+        bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+        end = np.cumsum(size)
+        keep = (bad[end] == bad[end - size]) & pc.and_(pc.and_(ids.is_valid(), labels.is_valid()), vectors.is_valid()).to_numpy(zero_copy_only=False)
+        raw = integers(np.where(np.isfinite(flat), flat, 0))
+        data = [raw[e - n : e].tobytes() for e, n in zip(end[keep], size[keep])]
+        mask = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([ids.filter(mask), labels.filter(mask), pa.array(size[keep], pa.int32()), pa.array(data, pa.binary())], ["id", "label", "dims", "vector"])
 
 
 def usable_rows(rows: DataFrame, id_col: str, label_col: str, vector_col: str) -> DataFrame:
     """``id, label, dims, vector`` (32-bit integers in a binary column) of the rows that take part."""
     taken = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("vector"))
-    return taken.mapInArrow(_usable(""), "id long, label long, dims int, vector binary")
+    return taken.mapInArrow(_usable, "id long, label long, dims int, vector binary")
 
 
 def _stacked(raw: list[bytes], dims: int) -> np.ndarray:
@@ -84,7 +80,7 @@ def codebooks(sample: np.ndarray) -> np.ndarray:
             for d in range(PART):
                 centres[:, d] = np.where(n > 0, np.bincount(of, points[:, d], CENTRES) / np.maximum(n, 1), centres[:, d])
         books.append(centres)
-    return np.stack(books) if books else np.zeros((0, CENTRES, PART), np.float32)
+    return np.stack(books)
 
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -106,7 +102,7 @@ def encoded(vectors: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndar
 INDEX_SCHEMA = "ids binary, labels binary, vectors binary, codes binary, rest binary, longest double"
 
 
-def _index_blocks(dims: int, shared) -> Callable:
+def _index_blocks(dims: int, shared, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, held = shared.value, []
 
@@ -122,7 +118,7 @@ def _index_blocks(dims: int, shared) -> Callable:
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 held.append(row)
-                if len(held) == BLOCK:
+                if len(held) == most:
                     yield block()
                     held = []
         if held:
@@ -264,27 +260,28 @@ class HardNegatives:
     every row is indexed, and the sample does not change any result.
     """
 
-    def __init__(self, rows: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding"):
+    def __init__(self, rows: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", block: int = BLOCK, slice_bytes: int = SLICE_BYTES):
+        self.slice_bytes = slice_bytes
         self.spark = rows.sparkSession
         self.rows = staged(usable_rows(rows, id_col, label_col, vector_col), "negatives-rows")
-        self.dims = self.rows.agg(F.max("dims")).first()[0] or 0
+        self.dims = max(self.rows.agg(F.max("dims")).first()[0] or 0, 1)
         sample = self.rows.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).select("vector").collect()
         books = codebooks(_stacked([r.vector for r in sample], self.dims)) if sample else np.zeros((0, CENTRES, PART), np.float32)
         self.books = self.spark.sparkContext.broadcast(books)
         # Blocks of mixed rows: a scan's tasks get as many of any label.
         dealt = self.rows.select("id", "label", "vector").repartition(task_count(self.rows))
-        self.index = staged(dealt.mapInArrow(_index_blocks(self.dims, self.books), INDEX_SCHEMA), "negatives-index")
+        self.index = staged(dealt.mapInArrow(_index_blocks(self.dims, self.books, block), INDEX_SCHEMA), "negatives-index")
 
     def _slices(self, anchors: DataFrame, bytes_each: int) -> Iterator[list]:
-        """The anchors in groups of at most ``SLICE_BYTES``, by a hash of the id."""
-        parts = max(1, -(-anchors.count() * bytes_each * 2 // SLICE_BYTES))
-        for part in range(parts):
-            rows = anchors if parts == 1 else anchors.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-            found = sorted(rows.collect(), key=lambda r: r.id)
-            if len(found) * bytes_each > SLICE_BYTES:
-                raise ValueError(f"more than {SLICE_BYTES} bytes of anchors in a slice")
-            if found:
-                yield found
+        """The anchors in groups of at most ``slice_bytes``, each sorted by id; the driver holds one at a time."""
+        held: list = []
+        for row in anchors.toLocalIterator():
+            held.append(row)
+            if (len(held) + 1) * bytes_each > self.slice_bytes:
+                yield sorted(held, key=lambda r: r.id)
+                held = []
+        if held:
+            yield sorted(held, key=lambda r: r.id)
 
     def mine(self, anchors, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> DataFrame:
         """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``.

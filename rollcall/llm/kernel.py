@@ -3,13 +3,17 @@
 Words are the maximal runs of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 are
 exactly the runs matched by ``[^\\x20\\x09-\\x0D]+``.  Hashes are 64 bits wide and depend on
 content alone, so every executor gives equal words equal names.  A span is hashed in
-chunks of eight bytes, each followed by a mixing step, so no sum of powers can cancel; a
-span of more than ``LONG`` bytes has a cryptographic digest instead.
+chunks of eight bytes, each followed by a mixing step; a span of more than ``LONG`` bytes
+has a cryptographic digest instead.  Whoever knows these fixed hashes can construct texts
+that collide, so they only propose.  What decides is hashed under a ``Key`` drawn for each
+run: sums of 32-bit parts times secret numbers, in two independent halves, under which any
+two different spans or runs of words collide with a probability of 2**-64.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,6 +142,82 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
+_HALF = np.uint64(32)
+_LOW_HALF = np.uint64((1 << 32) - 1)
+
+
+@dataclass(frozen=True)
+class Key:
+    """Secret numbers of one run, two rows for the halves of a hash: for the parts of a span and its length, and for those of a run of words."""
+
+    spans: np.ndarray
+    runs: np.ndarray
+    secret: bytes
+
+
+def fresh_key(n: int) -> Key:
+    """A key for spans and for runs of up to ``n`` words; it travels to the tasks with the functions that use it."""
+    rng = np.random.Generator(np.random.PCG64(secrets.randbits(128)))
+    draw = lambda size: rng.integers(0, 1 << 64, (2, size), np.uint64)
+    return Key(draw(LONG // 4 + 2), draw(2 * n + 2), secrets.token_bytes(32))
+
+
+def _joined_halves(sums: list[np.ndarray]) -> np.ndarray:
+    return (sums[0] & ~_LOW_HALF) | (sums[1] >> _HALF)
+
+
+def keyed_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: Key) -> np.ndarray:
+    """64-bit hashes of the byte spans under ``key``."""
+    size, chunks = end - start, chunk_view(data)
+    sums = [k[-1] + size.astype(np.uint64) * k[-2] for k in key.spans]
+    part = chunks[start] & LOW[np.minimum(size, 8)]
+    for s, k in zip(sums, key.spans):
+        s += (part & _LOW_HALF) * k[0] + (part >> _HALF) * k[1]
+    todo, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while todo.size:
+        left = size[todo] - at
+        part = chunks[start[todo] + at] & LOW[np.minimum(left, 8)]
+        for s, k in zip(sums, key.spans):
+            s[todo] += (part & _LOW_HALF) * k[at // 4] + (part >> _HALF) * k[at // 4 + 1]
+        todo, at = todo[left > 8], at + 8
+    out = _joined_halves(sums)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=key.secret).digest(), "little")
+    return out
+
+
+def keyed_grams(hashes: np.ndarray, n: int, key: Key) -> np.ndarray:
+    """Hash under ``key`` of each run of n entries of ``hashes``; the i-th result starts at the i-th entry."""
+    if len(hashes) < n:
+        return np.zeros(0, np.uint64)
+    size = len(hashes) - n + 1
+    low, high = hashes & _LOW_HALF, hashes >> _HALF
+    sums = [np.full(size, n, np.uint64) * k[-2] + k[-1] for k in key.runs]
+    for s, k in zip(sums, key.runs):
+        for j in range(n):
+            s += low[j : j + size] * k[2 * j]
+            s += high[j : j + size] * k[2 * j + 1]
+    return _joined_halves(sums)
+
+
+def exact_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each byte span: equal for equal bytes and for no others.
+
+    Spans of equal hashes are compared byte by byte; where two differ, all spans are told apart by their bytes.
+    """
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    size, chunks, rep = end - start, chunk_view(data), first[which]
+    same, todo, at = bool((size[rep] == size).all()), np.arange(len(start)), 0
+    while same and todo.size:
+        left = size[todo] - at
+        same = not ((chunks[start[todo] + at] ^ chunks[start[rep[todo]] + at]) & LOW[np.minimum(left, 8)]).any()
+        todo, at = todo[left > 8], at + 8
+    if same:
+        return which
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(data[s:e].tobytes(), len(known)) for s, e in zip(start.tolist(), end.tolist())], np.int64)
+
+
 def lowered(block: Block) -> Block:
     """The block with A-Z in lower case and all other characters as they are."""
     return Block(block.row0, LOWER[block.data], block.offsets)
@@ -155,22 +235,23 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total + np.uint64(n))
 
 
-def shingle_sets(block: Block, n: int, lower: bool) -> Iterator[np.ndarray]:
-    """Of each text, its distinct n-word shingles as sorted hashes.
+def shingle_sets(block: Block, n: int, lower: bool, key: Key | None = None) -> Iterator[np.ndarray]:
+    """Of each text, its distinct n-word shingles as sorted hashes, fixed ones or under ``key``.
 
     A text of fewer words gives its whole sequence as one shingle, one without words an empty set.
     """
     if lower:
         block = lowered(block)
     found = words(block)
-    hashes = span_hashes(block.data, found.start, found.end)
-    runs = grams(hashes, n)
+    hashes = keyed_hashes(block.data, found.start, found.end, key) if key else span_hashes(block.data, found.start, found.end)
+    of_run = (lambda part, size: keyed_grams(part, size, key)) if key else grams
+    runs = of_run(hashes, n)
     for i in range(len(block)):
         lo, hi = found.first[i], found.first[i + 1]
         if hi - lo >= n:
             yield np.unique(runs[lo : hi - n + 1])
         elif hi > lo:
-            yield grams(hashes[lo:hi], int(hi - lo))
+            yield of_run(hashes[lo:hi], int(hi - lo))
         else:
             yield np.zeros(0, np.uint64)
 

@@ -58,8 +58,8 @@ def fingerprint(row: np.ndarray) -> str:
     return _digits(row).tobytes().hex()
 
 
-def _sets(texts: list[bytes]) -> list[np.ndarray]:
-    return [s for block in kernel.blocks(pa.array(texts, pa.large_binary())) for s in kernel.shingle_sets(block, SHINGLE_WORDS, False)]
+def _sets(texts: list[bytes], key: kernel.Key | None = None) -> list[np.ndarray]:
+    return [s for block in kernel.blocks(pa.array(texts, pa.large_binary())) for s in kernel.shingle_sets(block, SHINGLE_WORDS, False, key)]
 
 
 def edited_text(text: str, following: str) -> str:
@@ -193,20 +193,23 @@ def _alike(one: Column, other: Column) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(differ(w)) for w in range(words))) <= MOST_DIFFERENT
 
 
-def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in kernel.blocks(batch.column(1)):
-            sets = list(kernel.shingle_sets(block, SHINGLE_WORDS, False))
-            rows = signatures(sets)
-            bands = np.stack([kernel.mix(np.bitwise_xor.reduce(kernel.mix(part.astype(np.uint64) + np.arange(part.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), axis=1) + np.uint64(i)) for i, part in enumerate(np.split(rows, BANDS, axis=1))], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(block.row0, len(block)), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array(list(_planes(rows)), pa.list_(pa.int64())),
-                ],
-                ["doc_id", "n_shingles", "digest", "bands", "bits"],
-            )
+def _signature_rows(key: kernel.Key) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in kernel.blocks(batch.column(1)):
+                sets = list(kernel.shingle_sets(block, SHINGLE_WORDS, False, key))
+                rows = signatures(sets)
+                bands = np.stack([kernel.mix(np.bitwise_xor.reduce(kernel.mix(part.astype(np.uint64) + np.arange(part.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), axis=1) + np.uint64(i)) for i, part in enumerate(np.split(rows, BANDS, axis=1))], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(block.row0, len(block)), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array(list(_planes(rows)), pa.list_(pa.int64())),
+                    ],
+                    ["doc_id", "n_shingles", "digest", "bands", "bits"],
+                )
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
@@ -220,7 +223,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows without an id.  Other columns are not read; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(texts.mapInArrow(_signature_rows, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "minhash-signed")
+    key = kernel.fresh_key(SHINGLE_WORDS)  # of this run's links; fingerprints stay the same from run to run
+    signed = staged(texts.mapInArrow(_signature_rows(key), "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "minhash-signed")
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", "bits", F.col("n_shingles").cast("int").alias("n"))).alias("own")).select("digest", "rep", "own.*")
     classes = staged(classes, "minhash-classes")
     members = staged(signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")), "minhash-members")
@@ -247,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = pairs.join(kept.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
             kept.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
         )
-        links = staged(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify(num, den), "a long, b long").distinct(), "minhash-links")
+        links = staged(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify(num, den, key), "a long, b long").distinct(), "minhash-links")
         drop_stage(pairs, ids, kept)
         return links
 
@@ -276,15 +280,15 @@ def _apart(shared: DataFrame, labels: DataFrame, fits: Callable) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verify(num: int, den: int) -> Callable:
+def _verify(num: int, den: int, key: kernel.Key) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, None
         for batch in batches:
             keep = []
             for text_a, text_b in zip(batch.column(2), batch.column(3)):
                 if hub is None or text_a != hub:  # rows come sorted by a
-                    hub, hub_set = text_a, _sets([text_a.as_py().encode()])[0]
-                other = _sets([text_b.as_py().encode()])[0]
+                    hub, hub_set = text_a, _sets([text_a.as_py().encode()], key)[0]
+                other = _sets([text_b.as_py().encode()], key)[0]
                 both = np.intersect1d(hub_set, other, assume_unique=True).size
                 keep.append(den * both >= num * (len(hub_set) + len(other) - both))
             keep = pa.array(keep, pa.bool_())

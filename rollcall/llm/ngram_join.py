@@ -64,25 +64,25 @@ def hash_prefix(tokens: np.ndarray, order: int, length: int) -> np.ndarray:
     return ((first >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)
 
 
-def _counter(n: int, lower: bool, counters: int) -> Callable:
+def _counter(n: int, lower: bool, counters: int, key: kernel.Key) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(counters, np.uint32)
         for batch in batches:
             for block in kernel.blocks(batch.column(0), 8 * kernel.BLOCK_BYTES):
-                for tokens in kernel.shingle_sets(block, n, lower):
+                for tokens in kernel.shingle_sets(block, n, lower, key):
                     np.add.at(counts, (kernel.mix(tokens ^ RARE_SEED) & np.uint64(counters - 1)).astype(np.int64), np.uint32(1))
         yield from sketch.chunk_rows(counts)
 
     return count
 
 
-def _fingerprints(n: int, lower: bool, num: int, den: int, shared) -> Callable:
+def _fingerprints(n: int, lower: bool, num: int, den: int, key: kernel.Key, shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         for batch in batches:
             for block in kernel.blocks(batch.column(1)):
                 sizes, digests, parts, ends = [], [], [], [0]
-                for tokens in kernel.shingle_sets(block, n, lower):
+                for tokens in kernel.shingle_sets(block, n, lower, key):
                     sizes.append(len(tokens))
                     digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                     length = prefix_length(len(tokens), num, den)
@@ -101,14 +101,14 @@ def _fingerprints(n: int, lower: bool, num: int, den: int, shared) -> Callable:
     return run
 
 
-def _order_prefixes(n: int, lower: bool, num: int, den: int) -> Callable:
+def _order_prefixes(n: int, lower: bool, num: int, den: int, key: kernel.Key) -> Callable:
     """``doc_id``, set size and the prefix under each hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in kernel.blocks(batch.column(1)):
                 sizes, parts, ends = [], [[np.zeros(0, np.int32)] for _ in SEEDS], [0]
-                for tokens in kernel.shingle_sets(block, n, lower):
+                for tokens in kernel.shingle_sets(block, n, lower, key):
                     sizes.append(len(tokens))
                     length = prefix_length(len(tokens), num, den)
                     for order, own in enumerate(parts):
@@ -121,9 +121,9 @@ def _order_prefixes(n: int, lower: bool, num: int, den: int) -> Callable:
     return run
 
 
-def _verifier(n: int, lower: bool, num: int, den: int) -> Callable:
+def _verifier(n: int, lower: bool, num: int, den: int, key: kernel.Key) -> Callable:
     def one(text: pa.Scalar) -> np.ndarray:
-        return next(kernel.shingle_sets(next(kernel.blocks(pa.array([text.as_py()], pa.string()))), n, lower))
+        return next(kernel.shingle_sets(next(kernel.blocks(pa.array([text.as_py()], pa.string()))), n, lower, key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_text, hub_set = None, None, None
@@ -180,8 +180,9 @@ class NgramJoin:
         self.spark = docs.sparkSession
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.n, self.num, self.den, self.lower = n, num, den, lower
+        self.key = kernel.fresh_key(n)  # so that no text can be written to collide with another
         counters = 1 << int(np.clip(input_bytes(docs) >> 10, LEAST_COUNTERS, MOST_COUNTERS) - 1).bit_length()
-        counts = sketch.collect_counts(texts.select("text"), _counter(n, lower, counters), counters)
+        counts = sketch.collect_counts(texts.select("text"), _counter(n, lower, counters, self.key), counters)
         self.levels = self.spark.sparkContext.broadcast(quantised(counts))
         self.own = None if is_bucketed else bucketed(texts, "doc_id")
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) if is_bucketed else self.own
@@ -190,7 +191,7 @@ class NgramJoin:
         """``members`` (doc_id, n_shingles, digest) of all rows; ``classes`` (rep, n, digest, prefix) of distinct sets."""
         schema = "doc_id long, n_shingles int, digest binary, prefix array<long>"
         rows = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.members = staged(rows.mapInArrow(_fingerprints(self.n, self.lower, self.num, self.den, self.levels), schema), "ngram-members")
+        self.members = staged(rows.mapInArrow(_fingerprints(self.n, self.lower, self.num, self.den, self.key, self.levels), schema), "ngram-members")
         linked = self.members.where("n_shingles > 0 AND doc_id IS NOT NULL")
         self.classes = staged(
             linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")),
@@ -218,7 +219,7 @@ class NgramJoin:
     def filtered(self, pairs: DataFrame) -> DataFrame:
         """``(a, b, pass1, pass2)``: whether each pair passes the filters of the hash orders."""
         rows = self._of_pairs(pairs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        prefixes = staged(rows.mapInArrow(_order_prefixes(self.n, self.lower, self.num, self.den), "doc_id long, n int, order1 array<int>, order2 array<int>"), "ngram-orders")
+        prefixes = staged(rows.mapInArrow(_order_prefixes(self.n, self.lower, self.num, self.den, self.key), "doc_id long, n int, order1 array<int>, order2 array<int>"), "ngram-orders")
         for end in ("b", "a"):
             pairs = pairs.join(prefixes.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "order1", "order2")]), end)
         return pairs.select("a", "b", *[_passes(f"order{k}", self.num, self.den).alias(f"pass{k}") for k in (1, 2)])
@@ -231,7 +232,7 @@ class NgramJoin:
         b = texts.select(F.col("doc_id").cast("long").alias("b"), F.col("text").alias("text_b"))
         a = texts.select(F.col("doc_id").cast("long").alias("a"), F.col("text").alias("text_a"))
         rows = passed.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-        links = staged(rows.mapInArrow(_verifier(self.n, self.lower, self.num, self.den), "a long, b long").distinct(), "ngram-links")
+        links = staged(rows.mapInArrow(_verifier(self.n, self.lower, self.num, self.den, self.key), "a long, b long").distinct(), "ngram-links")
         drop_stage(pairs, passed, texts)
         return links
 

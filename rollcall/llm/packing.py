@@ -108,14 +108,14 @@ def slots_of(groups: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.nd
     return {"key": table[:, 0], "n": table[:, 1], "sequence": table[:, 2], "offset": table[:, 3]}
 
 
-def _cut(path: str, end_id: int, capacity: int) -> Callable:
+def _cut(path: str, end_id: int, capacity: int, special_text: bool) -> Callable:
     """Pieces of each text with the rank of each among its partition's pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        encoder = tokens.encoder(path, False)
+        encoder = tokens.encoder(path, False, special_text)
         for batch in batches:
             for block in kernel.blocks(batch.column(1), tokens.BLOCK_BYTES):
                 ids, places = tokens.with_end(*encoder.encode(block), end_id)
@@ -155,17 +155,18 @@ def _place(shared) -> Callable:
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, special_text: bool = False) -> DataFrame:
     """Places of all documents' tokens in sequences of at most ``capacity``, one row per piece.
 
     ``tokenizer`` is the path of a vocabulary file for the tokenizers library, of the kind
-    that drops white space.  A null text is empty and has just the end id.  Only documents
+    that drops white space.  Strings of its special tokens in a text become these tokens, as in
+    the library, or ordinary text with ``special_text``.  A null text is empty and has just the end id.  Only documents
     longer than ``capacity`` are cut.  Rows with equal or null ids are packed each by
     itself.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = staged(texts.mapInArrow(_cut(tokenizer, end_id, capacity), PIECE_SCHEMA), "pieces")
+    pieces = staged(texts.mapInArrow(_cut(tokenizer, end_id, capacity, special_text), PIECE_SCHEMA), "pieces")
     counts = staged(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row for each length

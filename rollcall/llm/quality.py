@@ -53,7 +53,7 @@ def base_counts(block: kernel.Block, found: kernel.Words, hashes: np.ndarray) ->
     symbols = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
     return {
         "n_words": found.counts, "word_chars": np.diff(points[offsets]), "n_symbols": np.diff(symbols[offsets]),
-        "n_dup_lines": _duplicate_lines(block), "n_repeat_words": _repeated_words(found, hashes),
+        "n_dup_lines": _duplicate_lines(block), "n_repeat_words": _repeated_words(block, found, hashes),
     }
 
 
@@ -67,16 +67,30 @@ def _duplicate_lines(block: kernel.Block) -> np.ndarray:
     owner = lines.owner()[worded]
     distinct = np.unique(np.stack([owner.astype(np.uint64), hashes[worded]], axis=1), axis=0)[:, 0] if len(owner) else owner
     n = len(block)
-    return np.bincount(owner, minlength=n) - np.bincount(distinct.astype(np.int64), minlength=n)
+    out = np.bincount(owner, minlength=n) - np.bincount(distinct.astype(np.int64), minlength=n)
+    start, end = lines.start[worded], lines.end[worded]
+    for i in np.flatnonzero(out).tolist():  # equal hashes propose, bytes decide
+        own = slice(*np.searchsorted(owner, [i, i + 1]))
+        ids = kernel.exact_ids(block.data, start[own], end[own], hashes[worded][own])
+        out[i] = len(ids) - len(np.unique(ids))
+    return out
+
+
+def _window_ids(ids: np.ndarray) -> np.ndarray:
+    """A number for each three-word window: equal for equal runs of ``ids``, which are exact, and for no others."""
+    pairs = np.unique(ids[:-1] * (ids.max() + 1) + ids[1:], return_inverse=True)[1]
+    return np.unique(pairs[:-1] * (ids.max() + 1) + ids[2:], return_inverse=True)[1]
 
 
-def _repeated_words(found: kernel.Words, hashes: np.ndarray) -> np.ndarray:
+def _repeated_words(block: kernel.Block, found: kernel.Words, hashes: np.ndarray) -> np.ndarray:
     runs, out = kernel.grams(hashes, 3), np.zeros(len(found.first) - 1, np.int64)
     for i, (lo, hi) in enumerate(zip(found.first[:-1].tolist(), found.first[1:].tolist())):
         if hi - lo > 3:
             _, which, count = np.unique(runs[lo : hi - 2], return_inverse=True, return_counts=True)
             again = count[which] > 1
-            if again.any():
+            if again.any():  # equal hashes propose, bytes decide
+                windows = _window_ids(kernel.exact_ids(block.data, found.start[lo:hi], found.end[lo:hi], hashes[lo:hi]))
+                again = np.bincount(windows)[windows] > 1
                 covered = np.zeros(hi - lo, bool)
                 for j in range(3):
                     covered[j : hi - lo - 2 + j] |= again

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rollcall.llm import kernel, tokens
-from rollcall.stage import staged
+from rollcall.stage import staged, task_count
 
 MAGIC = b"RPG1"
 END_ID = 2
@@ -195,12 +195,12 @@ class Shard:
         return self.expand(own[lo:hi])[skip : skip + stop - start]
 
 
-def _write(path: str, end_id: int) -> Callable:
+def _write(path: str, end_id: int, special_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, nth, done, held = TaskContext.get().partitionId(), 0, 0, 0
-        encoder = tokens.encoder(path, True)
+        encoder = tokens.encoder(path, True, special_text)
         doc_ids: list[int | None] = []
         parts: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -229,17 +229,17 @@ def _write(path: str, end_id: int) -> Callable:
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, special_text: bool = False) -> DataFrame:
     """Shards of all documents' ids in ascending order of ``doc_id``, as a stage table.
 
     ``tokenizer`` is the path of a byte-level vocabulary file for the tokenizers library.
+    Strings of the vocabulary's special tokens in a text become these tokens, as in the library, or ordinary text with ``special_text``.
     A null text is empty and has just the end id.  Null ids come first; rows with equal ids
     stand in the order of their texts.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(laid.mapInArrow(_write(tokenizer, end_id), SHARD_SCHEMA), "shards")
+    laid = texts.repartitionByRange(task_count(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    return staged(laid.mapInArrow(_write(tokenizer, end_id, special_text), SHARD_SCHEMA), "shards")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

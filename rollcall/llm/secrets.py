@@ -5,7 +5,7 @@ method adds spans of its own kinds only after decoding them: base64 candidates,
 alphabet and also over several lines, and hex ones must decode to a DER structure whose
 nested lengths add up, PEM blocks to the same, private keys in the SSH format to
 length-prefixed fields, and signed tokens must have a JSON header naming an algorithm.
-What is public by its own words (certificates, public keys) is no secret.
+What is public by its own words (certificates, public keys) is no secret, block and body.
 """
 
 from __future__ import annotations
@@ -29,9 +29,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # The runs of [0-9a-f]+ that have 32 characters are just these.
 HEX = re.compile(r"[0-9a-f]{32,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s]{16,})-----END \1-----")
-#: What says that it holds no secret.
+#: A block may have header lines before its body; those of older keys name the cipher of an encrypted body, which can't be parsed.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----((?:\s*^[A-Za-z][A-Za-z0-9-]*:[^\n]*$)*)([A-Za-z0-9+/=\s]{16,})-----END \1-----", re.M)
+CIPHER = re.compile(r"^Proc-Type:[ \t]*4,[ \t]*ENCRYPTED[ \t\r]*$", re.M)
+#: What says that it holds no secret, and the line before the body of such a block.
 PUBLIC = re.compile("PUBLIC|CERTIFICATE|CRL|PARAMETERS")
+PUBLIC_HEAD = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:PUBLIC|CERTIFICATE|CRL|PARAMETERS)[A-Z0-9 ]*-----\s*\Z")
 #: DER sequences start with byte 0x30; in base64 their first character is M. "openssh-key-v1" has a fixed start too.  Lines of a
 #: wrapped key have 40 characters at least, but for the last one.
 _B64 = "[A-Za-z0-9+/_-]"
@@ -159,16 +162,26 @@ def _base64_span(m: re.Match) -> tuple[int, int, str] | None:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    """Spans whose structure was decoded and parsed."""
-    out = []
+    """Spans whose structure was decoded and parsed.
+
+    What lies in a block that says it is public, or in one that is reported itself, is not reported; a body
+    after the first line of a public block counts as in it, also where the block has no end.
+    """
+    out, settled = [], []
     if "eyJ" in text:
         out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            raw = None if PUBLIC.search(m[1]) else _unbase64(re.sub(r"\s+", "", m[2]))
-            if raw and (is_der(raw) or is_ssh(raw)):
+            public = PUBLIC.search(m[1])
+            raw = None if public else _unbase64(re.sub(r"\s+", "", m[3]))
+            if raw and (is_der(raw) or is_ssh(raw) or (CIPHER.search(m[2]) and len(raw) % 8 == 0)):
                 out.append((m.start(), m.end(), "pem"))
-    out += [span for m in BASE64.finditer(text) if (span := _base64_span(m))]
+            if public or raw and out and out[-1][0] == m.start():
+                settled.append((m.start(), m.end()))
+    for m in BASE64.finditer(text):
+        inside = any(start <= m.start() and m.end() <= end for start, end in settled)
+        if not inside and not PUBLIC_HEAD.search(text, max(0, m.start() - 100), m.start()) and (span := _base64_span(m)):
+            out.append(span)
     for m in DER_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), "der"))

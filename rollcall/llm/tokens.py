@@ -7,7 +7,8 @@ white space).  Pieces repeat, so each worker keeps their bytes and ids in a hash
 fixed size and asks the tokenizers library only for new ones; a piece counts as known only
 if its bytes are those in the table.  Long pieces, and what a full table has no room for,
 go to the library each time.  Texts with other white space
-than the six ASCII characters, whose splits look further, go to the library whole.
+than the six ASCII characters, whose splits look further, and texts with the string of a
+special token go to the library whole.
 """
 
 from __future__ import annotations
@@ -32,14 +33,15 @@ _ODD_BYTES[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 
 
 class Encoder:
-    """Ids of blocks of texts.  ``keeps_space``: pieces carry the white space before them."""
+    """Ids of blocks of texts.  ``keeps_space``: pieces carry the white space before them; ``special_text``: strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, special_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_text
+        self.specials = [] if special_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_space = keeps_space
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         # A byte-level token has a character for each of its bytes.
@@ -192,28 +194,31 @@ class Encoder:
             pool = self.pool
         ids = pool[np.repeat(at, size) + np.arange(upto[-1])]
         places = upto[first]
-        return self._whole(block, ids, places) if self.keeps_space and _ODD_BYTES[block.data].any() else (ids, places)
+        raw = block.data.tobytes()
+        look = (self.keeps_space and _ODD_BYTES[block.data].any()) or any(x in raw for x in self.specials)
+        return self._whole(block, ids, places) if look else (ids, places)
 
     def _whole(self, block: kernel.Block, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = []
         for i in range(len(block)):
-            text = block.text(i).decode()
-            if ODD_SPACE.search(text):
+            raw = block.text(i)
+            text = raw.decode()
+            if (self.keeps_space and ODD_SPACE.search(text)) or any(x in raw for x in self.specials):
                 parts.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind))
             else:
                 parts.append(ids[places[i] : places[i + 1]])
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, keeps_space: bool, special_text: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file, kept between tasks."""
-    key = (path, keeps_space)
+    key = (path, keeps_space, special_text)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(path, keeps_space)
+        _encoders[key] = Encoder(path, keeps_space, special_text)
     return _encoders[key]
 
 

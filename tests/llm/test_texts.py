@@ -8,6 +8,7 @@ import gzip
 import hashlib
 import io
 import json
+import random
 import re
 import zlib
 from collections import Counter
@@ -26,9 +27,7 @@ from rollcall.llm.queries import vocabulary
 def _tokenizer(name):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(vocabulary(name))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(vocabulary(name))
 
 
 def _ids(name, text, end):
@@ -39,7 +38,7 @@ def _crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-ODD = ["a \n\nb c", "  x  y \n\n z ", "tail  ", " ", "it's don't  'll é ñ", "a \n\nb", "a   b", "日本 語　x", "İstanbul Σας ΣΑΣ", "<|endoftext|> a", "x" * 60, "é ́x"]
+ODD = ["a \n\nb c", "  x  y \n\n z ", "tail  ", " ", "it's don't  'll é ñ", "a \n\nb", "a   b", "日本 語　x", "İstanbul Σας ΣΑΣ", "<|endoftext|> a", "alpha <|endoftext|> beta", "a<|endoftext|>b  <|startoftext|>\n", "x" * 60, "é ́x"]
 
 
 @pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
@@ -341,3 +340,115 @@ def test_empty_tables(empty):
     assert packing.pack_documents(empty, path).count() == 0
     assert repair.read_shards(repair.write_shards(empty, vocabulary("byte_bpe_50k.json"))).count() == 0
     assert mixing.mix_sources(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
+
+
+#: Texts of unlike words that the fixed hashes of words, windows or lines can't tell apart.
+COLLIDING = ["password elephant one two", "emjnimmo !-])sh3o one two", "password elephant one emjnimmo !-])sh3o one", "checkboxelephant\nmmwsmatmQb=}t1~", "checkboxelephant\nmmwsmatmQb=}t1~\ncheckboxelephant x"]
+
+
+def inverse_mix(x):
+    """The number that ``kernel.mix`` turns into ``x``."""
+    mask = (1 << 64) - 1
+    for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, 1)):
+        y = x
+        for _ in range(64 // shift + 1):
+            y = x ^ (y >> shift)
+        x = y * pow(factor, -1, 1 << 64) & mask
+    return x
+
+
+def constructed_collisions(n):
+    """Pairs of different two-word sequences of bytes whose sum of fixed hashes is equal: any other first word, then the second by inversion."""
+    rng, mask = np.random.default_rng(12), (1 << 64) - 1
+    step, gram = int(kernel._STEP), int(kernel._GRAM)
+    hashed = lambda w: int(kernel.mix(np.array([(int.from_bytes(w, "little") + len(w) * step) & mask], np.uint64))[0])
+    while n:
+        a, b, c = (bytes(rng.integers(0x21, 0x7F, 8).astype(np.uint8)) for _ in range(3))
+        sought = ((hashed(a) - hashed(c)) * gram + hashed(b)) & mask
+        d = ((inverse_mix(sought) - 8 * step) & mask).to_bytes(8, "little")
+        if not set(d) & {0x20, *range(0x09, 0x0E), 0}:
+            yield a + b" " + b, c + b" " + d
+            n -= 1
+
+
+def test_constructed_collisions_do_not_collide_under_a_key():
+    key, seen = kernel.fresh_key(2), 0
+    for one, other in constructed_collisions(40):
+        pair = pa.array([one, other], pa.binary())
+        fixed = [x.tolist() for block in kernel.blocks(pair) for x in kernel.shingle_sets(block, 2, False)]
+        keyed = [x.tolist() for block in kernel.blocks(pair) for x in kernel.shingle_sets(block, 2, False, key)]
+        seen += fixed[0] == fixed[1]
+        assert keyed[0] != keyed[1]
+    assert seen == 40  # so the construction does what it should
+
+
+def test_colliding_texts_have_exact_counts(spark):
+    from rollcall.llm import ngram_join
+
+    docs = spark.createDataFrame(list(enumerate(COLLIDING)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.QualityModel(docs, spark.createDataFrame([], "doc_id long, quality int")).score(docs).collect()}
+    assert [got[i].n_repeat_words for i in range(5)] == [0] * 5
+    assert [got[i].n_dup_lines for i in range(5)] == [0] * 5
+    found = {r.doc_id: r.component_id for r in ngram_join.NgramJoin(docs).components().collect()}
+    assert found[0] == 0 and found[1] == 1
+
+
+def test_exact_ids_and_keyed_hashes_follow_the_bytes():
+    rng = np.random.default_rng(1)
+    spans = [bytes(rng.integers(97, 99, int(rng.integers(1, 12))).astype(np.uint8)) for _ in range(800)] + [b"x" * n for n in (255, 256, 257, 257, 300)] * 2 + [b"x" * 300 + b"y"]
+    data, ends = np.frombuffer(b"".join(spans), np.uint8), np.cumsum([len(s) for s in spans])
+    starts = ends - [len(s) for s in spans]
+    codes = {s: i for i, s in enumerate(sorted(set(spans)))}
+    want = np.array([codes[s] for s in spans])
+    for hashes in (kernel.span_hashes(data, starts, ends), np.zeros(len(spans), np.uint64), kernel.keyed_hashes(data, starts, ends, kernel.fresh_key(1))):
+        ids = kernel.exact_ids(data, starts, ends, hashes)
+        assert len(set(zip(ids.tolist(), want.tolist()))) == len(codes) == len(set(ids.tolist()))
+    keyed = kernel.keyed_hashes(data, starts, ends, kernel.fresh_key(1))
+    assert len(set(zip(keyed.tolist(), want.tolist()))) == len(codes) == len(set(keyed.tolist()))
+
+
+def test_long_texts_of_every_kernel(spark):
+    """Texts longer than a kernel block, next to short ones."""
+    rng = random.Random(6)
+    vocabulary_ = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    long = " ".join(rng.choice(vocabulary_) for _ in range(120_000))
+    texts = ["short one", long, long[:300_000], "x\n" * 400, "AKIA" + "A" * 20 + " " + long[:200_000] + " token=abcdefgh12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shards = repair.write_shards(docs, vocabulary("byte_bpe_50k.json"))
+    want = [_ids("byte_bpe_50k.json", t, 2) for t in texts]
+    got = {r.doc_id: r for r in repair.read_shards(shards).collect()}
+    assert [got[i].ids_crc32 for i in range(5)] == [_crc(x) for x in want]
+    scored = {r.doc_id: r for r in quality.QualityModel(docs, spark.createDataFrame([], "doc_id long, quality int")).score(docs).collect()}
+    for i, t in enumerate(texts):
+        w = words(t)
+        windows = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        covered = {k + j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if words(x)]
+        assert (scored[i].n_words, scored[i].n_repeat_words, scored[i].n_dup_lines) == (len(w), len(covered), len(lines) - len(set(lines)))
+    spans = {r.doc_id: r.spans for r in secrets.scan_secrets(docs).collect()}
+    assert spans[4].startswith("access:0:24,") and spans[4].endswith(f"assign:{len(texts[4]) - 16}:{len(texts[4])}")
+
+
+def _pem(label, raw, headers=""):
+    body = base64.b64encode(raw).decode()
+    lines = "\n".join(body[i : i + 64] for i in range(0, len(body), 64))
+    return f"-----BEGIN {label}-----\n{headers}{lines}\n-----END {label}-----"
+
+
+def test_public_blocks_are_no_secrets_and_private_ones_are_reported_once():
+    der = bytes([0x30, 0x82, 0x01, 0x08, 0x02, 0x82, 0x01, 0x00]) + bytes(range(1, 129)) * 2 + bytes([0x02, 0x02, 0x01, 0x05])
+    assert secrets.is_der(der)
+    for label in ("PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE", "CERTIFICATE REQUEST", "X509 CRL", "EC PARAMETERS"):
+        block = f"see {_pem(label, der)} end"
+        assert secrets.confirmed_spans(block) == [] and secrets.redact(block) == block
+        cut = block[: block.index("-----END")]  # no end, as where a text was cut
+        assert secrets.confirmed_spans(cut) == []
+    private = _pem("RSA PRIVATE KEY", der)
+    assert secrets.confirmed_spans(f"ab {private}") == [(3, 3 + len(private), "pem")]
+    assert secrets.redact(f"ab {private} c") == "ab [pem] c"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    legacy = _pem("RSA PRIVATE KEY", bytes((i * 37 + 11) % 256 for i in range(256)), headers)
+    assert secrets.confirmed_spans(legacy) == [(0, len(legacy), "pem")]
+    assert secrets.confirmed_spans(_pem("RSA PRIVATE KEY", b"not a key at all")) == []
+    both = f"{_pem('PUBLIC KEY', der)}\n{base64.b64encode(der).decode()}"
+    assert [kind for *_, kind in secrets.confirmed_spans(both)] == ["der"]

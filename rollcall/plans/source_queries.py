@@ -29,7 +29,7 @@ def _day(column: str, form: str = "yyyy-MM-dd") -> Column:
 # -- registries ------------------------------------------------------------------------
 
 
-def gleif_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gleif_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as registry objects in two of its forms; some lack an identifier or are inactive."""
     key = F.col("c_custkey")
     entity = F.struct(
@@ -40,13 +40,20 @@ def gleif_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     registration = F.struct(F.struct(F.lit("2012-01-02T00:00:00Z").alias("initialRegistrationDate")).alias("registration"), entity.alias("entity"))
     attributes = F.struct(*[registration[c].alias(c) for c in ("registration", "entity")]).alias("attributes")
     lei = F.when(~_mod("c_custkey", 7), F.concat(F.lit("L"), key.cast("string")))
-    rows = table(spark, sf_dir, "customer").select(F.when(_mod("c_custkey", 2), _json(lei.alias("id"), attributes)).otherwise(_json(lei.alias("LEI"), attributes)).alias("value"))
-    found = gleif.parse_json(rows.union(spark.createDataFrame([("not json",)], "value string")), active_only=True)
+    return table(spark, sf_dir, "customer").select(F.when(_mod("c_custkey", 2), _json(lei.alias("id"), attributes)).otherwise(_json(lei.alias("LEI"), attributes)).alias("value"))
+
+
+def gleif_columns(found: DataFrame) -> DataFrame:
     return found.select("source_id", "name", "region", "entity_type", "from_date", F.get_json_object("record", "$.other_names[0]").alias("other_name"))
 
 
-def sec_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and customers as submissions, customers' tickers from the ticker file."""
+def gleif_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gleif_objects(spark, sf_dir).union(spark.createDataFrame([("not json",)], "value string"))
+    return gleif_columns(gleif.parse_json(rows, active_only=True))
+
+
+def submission_objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as submissions, and their tickers from the ticker file."""
     c = table(spark, sf_dir, "customer")
     ticker = c.where(_mod("c_custkey", 4)).select(_json(F.struct(F.col("c_custkey").cast("string").alias("cik_str"), F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_name").alias("title")).alias("0")))
     rows = c.select(_json(
@@ -55,10 +62,17 @@ def sec_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.struct(F.when(~_mod("c_custkey", 6), F.col("c_mktsegment")).alias("stateOrCountry")).alias("business")).alias("addresses"),
         F.struct(F.struct(F.array(F.lit("2024-01-01"), F.concat(F.lit("19"), (F.col("c_custkey") % 90 + 10).cast("string"), F.lit("-05-06"))).alias("filingDate")).alias("recent")).alias("filings"),
     ))
-    found = sec.parse_submissions(rows, sec.tickers(ticker))
+    return rows, sec.tickers(ticker)
+
+
+def submission_columns(found: DataFrame) -> DataFrame:
     return found.select("source_id", "name", "region", "entity_type", "from_date", F.get_json_object("record", "$.ticker").alias("ticker"))
 
 
+def sec_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return submission_columns(sec.parse_submissions(*submission_objects(spark, sf_dir)))
+
+
 def sec_ticker_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select(_json(F.struct(F.col("s_suppkey").cast("string").alias("cik_str"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), F.col("s_name").alias("title")).alias("0")))
     return sec.ticker_companies(rows).select("source_id", "name", "region", "entity_type")
@@ -98,7 +112,7 @@ def uk_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_id", "name", "region", "entity_type", F.get_json_object("record", "$.sic_code").alias("sic_code"))
 
 
-def uk_officers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def officer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as companies' lines, their orders as the officers' lines after them; a file for each nation."""
     number = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
@@ -108,10 +122,17 @@ def uk_officers(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.concat(number, F.lit("2   "), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.when(_mod("o_orderkey", 7), "Y").otherwise(" "))
     line = F.concat(F.rpad(start, 32, " "), _day("o_orderdate", "yyyyMMdd"), F.when(_mod("o_orderkey", 4), "20200101").otherwise("        "), F.lit("AB1 2CD 197001          0000MR<JOHN<DOE"), "o_orderstatus", F.lit("<<<<<<<<<"), job, F.lit("<BRITISH<UK<"))
     officers = rows.select(F.col("c_nationkey").cast("string").alias("file"), F.struct("c_custkey", F.col("o_orderkey").cast("long").alias("n")).alias("at"), line.alias("value"))
-    found = uk.parse_officers(heads.union(officers))
+    return heads.union(officers)
+
+
+def officer_columns(found: DataFrame) -> DataFrame:
     return found.select("source_id", "name", "person_type", "known_for_org_name", "from_date", "to_date", "birth_date")
 
 
+def uk_officers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return officer_columns(uk.parse_officers(officer_lines(spark, sf_dir)))
+
+
 # -- the knowledge base's dump ---------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollcall.functions import vectors
-from rollcall.operators import stats, vector_search
+from rollcall.operators import neighbour_graph, stats, vector_search
 from rollcall.plans.tables import table
+from rollcall.stage import staged
 
 DIMS = 16
 
@@ -82,6 +83,26 @@ def accuracy_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qlabel", "queries", F.round("acc_at_1", 6).alias("acc_at_1"), F.round("acc_at_k", 6).alias("acc_at_k"))
 
 
+def _graph_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index, the queries, and what the neighbour graph finds for them."""
+    index = _index(spark, sf_dir)
+    queries = _queries(index).select("qid", "q")
+    rows = staged(neighbour_graph.packed(index), "graph-rows")
+    return index, queries, neighbour_graph.graph_search(rows, neighbour_graph.build_graph(rows), queries, 10)
+
+
+def vec_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate: what a beam over the neighbour graph finds."""
+    return _graph_results(spark, sf_dir)[2]
+
+
+def vec_graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the graph finds nine tenths of the exact best ten of all queries."""
+    index, queries, found = _graph_results(spark, sf_dir)
+    counts = neighbour_graph.recall(found, vector_search.search(index, queries, 10)).agg(F.count(F.lit(1)).alias("queries"), F.sum("wanted").alias("wanted"), F.sum("found").alias("found"))
+    return counts.select("queries", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("reached"))
+
+
 _QUANTIZED = "list_transform(embedding, lambda x: least(greatest(round_even(x::DOUBLE * 127, 0), -127), 127)::INT)"
 _BASE = f"""
 WITH idx AS (SELECT vec_id AS id, label, {_QUANTIZED} AS v FROM embeddings),
@@ -107,6 +128,7 @@ ORACLE = {
     + ", hot AS (" + _top("id < 100", "*", 5) + "), settled AS (SELECT qid FROM hot WHERE rank = 1 AND score >= 0.95), cold AS ("
     + _top("qid NOT IN (SELECT qid FROM settled)", "*", 5)
     + ") SELECT qid, id, score, rank FROM hot WHERE qid IN (SELECT qid FROM settled) UNION ALL SELECT qid, id, score, rank FROM cold",
+    "vec_graph_recall": "SELECT count(*) AS queries, (count(*) * least(10, (SELECT count(*) FROM embeddings)))::BIGINT AS wanted, true AS reached FROM embeddings WHERE vec_id % 100 = 0",
     "shard_assignment": """
 SELECT c_custkey, rn, (CASE WHEN rn <= 100 THEN 0 ELSE 1 + (rn - 100 - 1) // 250 END)::INT AS shard FROM (
   SELECT c_custkey, row_number() OVER (ORDER BY CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 ELSE 3 END,
@@ -138,6 +160,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         vec_topk_int8, vec_topk_filtered, vec_topk_canon, vec_hot_cold, shard_assignment, shard_manifest, matryoshka_identity, composite_vector, quantize,
-        accuracy_at_k,
+        accuracy_at_k, vec_graph_search, vec_graph_recall,
     )
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rollcall.sources.ranges import array_objects
 from rollcall.sources.records import company, text
 
 # Categories of the registry.
@@ -71,6 +72,5 @@ def read(spark: SparkSession, path: str, active_only: bool = False) -> DataFrame
     if path.lower().endswith(".xml") or first == "<":
         return read_xml(spark, path, active_only)
     if first == "[":
-        whole = spark.read.text(path, wholetext=True)
-        return parse_json(whole.select(F.explode(F.from_json("value", "array<string>")).alias("value")), active_only=active_only)
+        return parse_json(array_objects(spark, path), active_only=active_only)
     return parse_json(spark.read.text(path), active_only=active_only)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollcall.functions import names
-from rollcall.sources.archives import zip_members
+from rollcall.sources.ranges import zip_members
 from rollcall.sources.records import company, person, text
 
 # Codes and types of the filings.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rollcall.functions import dates, names
-from rollcall.sources.archives import zip_lines
+from rollcall.sources.ranges import zip_lines
 from rollcall.sources.records import company, person, text
 
 ACTIVE = "^(active|open|live)"

@@ -1,4 +1,4 @@
-"""Streaming ingest: files that arrive are parsed and appended once, resuming where it stopped."""
+"""Streaming ingest: lines that arrive are parsed and appended once, resuming where it stopped."""
 
 from __future__ import annotations
 
@@ -7,25 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from rollcall.stage import staged
+#: Where the keys that were seen are held: on the executors' disks, with changes in the checkpoint.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], keys: list[str], table: str, checkpoint: str) -> StreamingQuery:
-    """Parse a stream of lines and append rows with new keys to the Parquet ``table``.
+def ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], keys: list[str], table: str, checkpoint: str, at_once: bool = True) -> StreamingQuery:
+    """Parse a stream of lines and append the first row of each key to the Parquet ``table``.
 
-    Each micro-batch is one append, keyed rows are checked against what the table has, and the
-    checkpoint holds how far the files were read; so a batch that is retried adds nothing twice.
+    The keys seen are state of the query, partitioned by key in a state store, so a batch costs what it reads, however
+    large the table is.  Each batch is a folder of the table that a retry writes anew, so it adds nothing twice; the
+    checkpoint holds the state and how far the input was read.  ``parse`` must work on streams.  With ``at_once`` the
+    query ends when all that is there was read, else it goes on until it is stopped.
     """
+    spark = lines.sparkSession
+    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
-    def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = parse(batch).dropDuplicates(keys)
-        path = spark._jvm.org.apache.hadoop.fs.Path(table)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            rows = staged(rows.join(spark.read.schema(rows.schema).parquet(table).select(*keys), keys, "left_anti"), "ingest")
-        rows.write.mode("append").parquet(table)
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = parse(lines).dropDuplicates(keys).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return (stream.trigger(availableNow=True) if at_once else stream).start()
 
 
 def read_lines(spark: SparkSession, folder: str, pattern: str = "*", files_at_once: int = 16) -> DataFrame:
@@ -35,3 +37,8 @@ def read_lines(spark: SparkSession, folder: str, pattern: str = "*", files_at_on
 def read_table(spark: SparkSession, folder: str, pattern: str, schema: str) -> DataFrame:
     """A stream of the Parquet files of a folder that fit a pattern."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+
+
+def ingested(spark: SparkSession, table: str) -> DataFrame:
+    """The table's rows, without the batches' numbers."""
+    return spark.read.parquet(table).drop("batch")

@@ -136,27 +136,4 @@ def test_ingest_resumes(spark, tmp_path):
     (folder / "b.jsonl").write_text('{"id": "2"}\n{"id": "3"}\n')
     run()
     run()
-    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "table")).collect()) == ["1", "2", "3"]
-
-
-def test_lines_of_archives(spark, tmp_path, monkeypatch):
-    """Lines keep their order over batches; ends of lines and broken text do no harm, other members are left."""
-    import zipfile
-
-    from rollcall.sources import archives
-
-    lines = [f"line {i} " + "x" * (i % 50) for i in range(500)]
-    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("in/one.dat", "\r\n".join(lines) + "\r\n")
-        z.writestr("two.dat", b"\xff a\n\nlast")
-        z.writestr("empty.dat", b"")
-        z.writestr("three.txt", "no")
-    got = {}
-    for r in sorted(archives.zip_lines(spark, str(tmp_path / "a.zip"), "*.dat").collect(), key=lambda r: r.at):
-        got.setdefault(r.file.rsplit("!", 1)[1], []).append(r.value)
-    assert got == {"in/one.dat": lines, "two.dat": ["� a", "", "last"]}
-    monkeypatch.setattr(archives, "BATCH_BYTES", 1000)
-    with zipfile.ZipFile(tmp_path / "a.zip") as z:
-        batches = list(archives._line_batches(z, "f", "in/one.dat"))
-    assert len(batches) > 10 and [x for b in batches for x in b.column(2).to_pylist()] == lines
-    assert [x for b in batches for x in b.column(1).to_pylist()] == list(range(500))
+    assert sorted(r.id for r in ingest.ingested(spark, str(tmp_path / "table")).collect()) == ["1", "2", "3"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rollcall.operators.fuzzy import nearest_names
+
 # Spellings that no code table has.
 REGION_ALIASES = {
     "uk": "GB", "u.k.": "GB", "england": "GB", "scotland": "GB", "wales": "GB", "northern ireland": "GB",
@@ -32,12 +34,12 @@ def iso_countries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "alpha2 string, alpha3 string, name string")
 
 
-def region_table(spark: SparkSession, countries: DataFrame | None = None) -> DataFrame:
+def region_table(spark: SparkSession, countries: DataFrame | None = None, subdivisions: DataFrame | None = None) -> DataFrame:
     """``key, code``: every spelling of a region that is understood, in lower case.
 
     Where spellings clash, aliases win over country codes, those over codes of US states,
-    then come three-letter codes, state names and country names.  ``countries`` replaces the
-    built-in ``alpha2, alpha3, name`` table.
+    then come three-letter codes, names of states and other subdivisions, and country names; of equal rank the least code wins.
+    ``countries`` replaces the built-in ``alpha2, alpha3, name`` table; ``subdivisions`` has ``code`` (as ``CA-ON``) and ``name``.
     """
     countries = iso_countries(spark) if countries is None else countries
     fixed = [(k, v, 0) for k, v in REGION_ALIASES.items()]
@@ -45,7 +47,10 @@ def region_table(spark: SparkSession, countries: DataFrame | None = None) -> Dat
     rows = spark.createDataFrame(fixed, "key string, code string, rank int")
     for column, rank in (("alpha2", 1), ("alpha3", 3), ("name", 5)):
         rows = rows.union(countries.select(F.lower(F.col(column)).alias("key"), F.col("alpha2").alias("code"), F.lit(rank).alias("rank")))
-    return rows.groupBy("key").agg(F.min_by("code", "rank").alias("code"))
+    if subdivisions is not None:
+        rows = rows.union(subdivisions.select(F.lower("name").alias("key"), F.upper(F.substring_index("code", "-", 1)).alias("code"), F.lit(4).alias("rank")))
+    best = rows.where("key IS NOT NULL AND code IS NOT NULL").groupBy("key").agg(F.min(F.struct("rank", "code")).alias("best"))
+    return best.select("key", "best.code", "best.rank")
 
 
 def region_key(region: Column) -> Column:
@@ -55,14 +60,28 @@ def region_key(region: Column) -> Column:
 def with_region_code(df: DataFrame, column: str, out: str, table: DataFrame | None = None) -> DataFrame:
     """``df`` with the region's code in ``out``, empty text where it isn't understood.
 
-    The table has a few hundred rows by construction, so it is broadcast.
+    A caller's table may have any size; Spark chooses the join by it.
     """
     table = region_table(df.sparkSession) if table is None else table
-    lookup = F.broadcast(table.select(F.col("key").alias("__key"), F.col("code").alias("__code")))
+    lookup = table.select(F.col("key").alias("__key"), F.col("code").alias("__code"))
     joined = df.withColumn("__own", region_key(F.col(column))).join(lookup, F.col("__own") == F.col("__key"), "left")
     return joined.withColumn(out, F.coalesce("__code", F.lit(""))).drop("__own", "__key", "__code")
 
 
+def with_near_region_code(df: DataFrame, column: str, out: str, table: DataFrame | None = None) -> DataFrame:
+    """As ``with_region_code``, with the nearest spelling of the table where a text has none, by the edits that its length forgives.
+
+    Of spellings equally near the one of the higher rank counts (aliases before codes before names), then the least code.
+    """
+    table = region_table(df.sparkSession) if table is None else table
+    exact = with_region_code(df, column, "__exact", table).withColumn("__text", region_key(F.col(column)))
+    left = exact.where("__exact = '' AND __text <> ''").select("__text")
+    order = [c for c in ("rank", "code") if c in table.columns]
+    near = nearest_names(left, table, "__text", order=order).select(F.col("__text").alias("__own"), F.col("code").alias("__near"))
+    joined = exact.join(near, (F.col("__text") == F.col("__own")) & (F.col("__exact") == ""), "left")
+    return joined.withColumn(out, F.coalesce("__near", "__exact")).drop("__exact", "__text", "__own", "__near")
+
+
 def regions_match(a: Column, b: Column) -> Column:
     """Codes match if they are equal or one is empty."""
     x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))

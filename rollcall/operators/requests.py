@@ -5,12 +5,10 @@ Each request is a row with ``qid``; texts are embedded in batches with the given
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from rollcall.functions import names, vectors
-from rollcall.operators import search
+from rollcall.operators import fuzzy, search
 
 
 def _with_vector(requests: DataFrame, text: str, embedder: vectors.Embedder, out: str = "q") -> DataFrame:
@@ -32,17 +30,20 @@ def people(composite: DataFrame, identity: DataFrame, persons: DataFrame, reques
     return search.person_search(composite, identity, persons, ready, k, embedder)
 
 
-def _each(queries: list[tuple[int, str]], find) -> DataFrame:
-    return reduce(DataFrame.unionByName, [find(text).withColumn("qid", F.lit(qid).cast("long")) for qid, text in queries])
-
+def roles(table: DataFrame, requests: DataFrame, k: int = 10, index: DataFrame | None = None) -> DataFrame:
+    """``qid, query`` and the roles for each ``(qid, query)``: an equal one alone, or else the shortest that contain it.
 
-def roles(table: DataFrame, queries: list[tuple[int, str]], k: int = 10) -> DataFrame:
-    """Matches of each ``(qid, query)`` of one call; a call has a few."""
-    return _each(queries, lambda text: search.role_search(table, text, k))
+    All requests go through the table's gram postings at once; ``index`` are these, if they are at hand.
+    """
+    return fuzzy.contains_search(table, requests.select("qid", "query"), k, index=index)
 
 
-def locations(table: DataFrame, types: DataFrame, queries: list[tuple[int, str]], k: int = 10, simplified_type: str | None = None) -> DataFrame:
-    return _each(queries, lambda text: search.location_search(table, types, text, k, simplified_type))
+def locations(table: DataFrame, types: DataFrame, requests: DataFrame, k: int = 10, simplified_type: str | None = None) -> DataFrame:
+    """The shortest locations that contain each query, of one simplified type if given; an unknown type gives nothing."""
+    if simplified_type is not None:
+        wanted = types.where(F.col("simplified") == simplified_type).select(F.col("id").alias("location_type_id"))
+        table = table.join(wanted, "location_type_id", "left_semi")
+    return fuzzy.contains_search(table, requests.select("qid", "query"), k, exact_alone=False)
 
 
 def resolve(index: DataFrame, orgs: DataFrame, requests: DataFrame, embedder: vectors.Embedder, least: float = search.RESOLVER_SCORE, k: int = search.RESOLVER_CANDIDATES) -> DataFrame:

@@ -180,7 +180,7 @@ def resolve_regions(texts: DataFrame, column: str, locations: DataFrame, table:
     own = locations.groupBy(F.col("name_normalized").alias("__name")).agg(F.min("id").alias("__by_name"))
     code = locations.where("location_type_id BETWEEN 2 AND 4").groupBy(F.lower("source_identifier").alias("__code")).agg(F.min("id").alias("__by_code"))
     keyed = texts.withColumn("__key", F.lower(F.trim(F.col(column))))
-    named = keyed.join(F.broadcast(table.select(F.col("key").alias("__key"), F.lower("code").alias("__iso"))), "__key", "left")
+    named = keyed.join(table.select(F.col("key").alias("__key"), F.lower("code").alias("__iso")), "__key", "left")
     found = named.join(own, F.col("__key") == F.col("__name"), "left").join(code, F.col("__iso") == F.col("__code"), "left")
     return found.withColumn("location_id", F.coalesce("__by_name", "__by_code")).drop("__key", "__iso", "__name", "__by_name", "__code", "__by_code")
 

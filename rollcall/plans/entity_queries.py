@@ -237,8 +237,7 @@ def disambiguate_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMPANIES = [("Apple Inc.",), ("McDonald's Corp",), ("",), ("Ltd",), ("Acme Ltd",), ("Acme Limited",), ("Amazon.com, Inc.",), ("apple inc",), ("SEC",), ("Foo Co., Ltd.",), (None,)]
 PERSONS = [("Dr. John Smith",), ("John Smith Jr.",), ("Prof. Jane Doe PhD",), ("Jane Doe",), ("",), ("Dr.",), ("Dr. Robert S. Mueller III",), ("Bob Jones",), ("J. K. Rowling",), (None,)]
 REGIONS = [("US",), ("UK",), ("",), ("GBR",), ("USA",), ("CA",), ("NY",), ("California",), ("France",), ("nowhere",), (" germany ",), ("u.s.a.",)]
-DATES = [("+2020-01-15T00:00:00Z", "2020-01-15T00:00:00Z", "20200115"), ("-0044-03-15T00:00:00Z", "1999", "202001"), ("+1990-00-00T00:00:00Z", "2020-01-15", "2020"), (None, None, None)]
-PAIRS = [("US", "US"), ("", "US"), ("GB", ""), ("US", "GB")]
+CODES = ("US", "", "GB", None, "FR", "DE")
 
 
 def normalize_company(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,12 +251,16 @@ def normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = _literals(spark, REGIONS, "region string")
-    return regions.with_region_code(given, "region", "code")
+    """Every customer with one of the spellings."""
+    spelt = F.get(F.array(*[F.lit(x) for (x,) in REGIONS]), (F.col("c_custkey") % len(REGIONS)).cast("int"))
+    return regions.with_region_code(table(spark, sf_dir, "customer").select("c_custkey", spelt.alias("region")), "region", "code")
 
 
 def regions_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, PAIRS, "a string, b string").select("a", "b", regions.regions_match(F.col("a"), F.col("b")).cast("int").alias("same"))
+    """Every order's customer and clerk in regions that the keys choose."""
+    pick = lambda c: F.get(F.array(*[F.lit(x) for x in CODES]), (F.col(c) % len(CODES)).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", pick("o_orderkey").alias("a"), pick("o_custkey").alias("b"))
+    return rows.select("o_orderkey", "a", "b", regions.regions_match(F.col("a"), F.col("b")).cast("int").alias("same"))
 
 
 def org_names_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,8 +269,16 @@ def org_names_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, DATES, "entity string, binding string, compact string")
+    """Order dates in the sources' forms, some of them partial, before our era or missing."""
+    day, k = lambda form: F.date_format("o_orderdate", form), F.col("o_orderkey") % 5
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(k == 0, None).when(k == 1, F.concat(F.lit("-0"), day("MMdd-MM-dd"), F.lit("T00:00:00Z"))).when(k == 2, F.concat(F.lit("+"), day("yyyy"), F.lit("-00-00T00:00:00Z"))).otherwise(F.concat(F.lit("+"), day("yyyy-MM-dd"), F.lit("T00:00:00Z"))).alias("entity"),
+        F.when(k == 0, None).when(k == 1, day("yyyy")).when(k == 2, day("yyyy-MM-dd")).otherwise(F.concat(day("yyyy-MM-dd"), F.lit("T00:00:00Z"))).alias("binding"),
+        F.when(k == 0, None).when(k == 1, day("yyyyMM")).when(k == 2, day("yyyy")).when(k == 3, "").otherwise(day("yyyyMMdd")).alias("compact"),
+    )
     return rows.select(
+        "o_orderkey",
         dates.entity_date(F.col("entity")).alias("entity_date"), dates.binding_date(F.col("binding")).alias("binding_date"), dates.compact_date(F.col("compact")).alias("compact_date"),
         dates.end_or_open(F.col("compact")).alias("until"), dates.inverted(dates.binding_date(F.col("binding"))).alias("inverted"), dates.filled(F.col("compact"), F.lit("1900")).alias("filled"),
     )

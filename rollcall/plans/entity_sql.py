@@ -8,6 +8,11 @@ from rollcall.plans import entity_queries as q
 _VALUES = q._sql_values
 
 
+def _LIST(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v + "'" for v in values) + "]"
+
+
+
 def _company(x: str) -> str:
     return f"trim(regexp_replace(trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '{COMPANY_END}', '', 'g'))"
 
@@ -160,19 +165,27 @@ SELECT vec_id, round(0.40 * sim + 0.45 * {_ratio('p_name', "'red ring'")} + 0.15
     "normalize_company": f"SELECT name, {_company('name')} AS normalized FROM (SELECT * FROM (VALUES {_VALUES(q.COMPANIES)}) v(name) UNION ALL SELECT DISTINCT p_name FROM part)",
     "normalize_name": f"SELECT name, {_person('name')} AS normalized FROM (SELECT * FROM (VALUES {_VALUES(q.PERSONS)}) v(name) UNION ALL SELECT c_name FROM customer)",
     "region_normalize": f"""
-SELECT region, coalesce(MAP {{'us': 'US', 'uk': 'GB', 'gbr': 'GB', 'usa': 'US', 'ca': 'CA', 'ny': 'US', 'california': 'US', 'france': 'FR', 'germany': 'DE', 'u.s.a.': 'US'}}[lower(trim(region))], '') AS code
-FROM (VALUES {_VALUES(q.REGIONS)}) v(region)""",
-    "regions_match": f"SELECT a, b, (a = '' OR b = '' OR a = b)::INT AS same FROM (VALUES {_VALUES(q.PAIRS)}) v(a, b)",
+WITH g AS (SELECT c_custkey, {_LIST([x for (x,) in q.REGIONS])}[c_custkey % {len(q.REGIONS)} + 1] AS region FROM customer)
+SELECT c_custkey, region, coalesce(MAP {{'us': 'US', 'uk': 'GB', 'gbr': 'GB', 'usa': 'US', 'ca': 'CA', 'ny': 'US', 'california': 'US', 'france': 'FR', 'germany': 'DE', 'u.s.a.': 'US'}}[lower(trim(region))], '') AS code FROM g""",
+    "regions_match": f"""
+WITH g AS (SELECT o_orderkey, {_LIST(q.CODES)}[o_orderkey % {len(q.CODES)} + 1] AS a, {_LIST(q.CODES)}[o_custkey % {len(q.CODES)} + 1] AS b FROM orders)
+SELECT o_orderkey, a, b, (coalesce(a, '') = '' OR coalesce(b, '') = '' OR a = b)::INT AS same FROM g""",
     "org_names_match": f"""
 SELECT p_name, (x = 'ring' OR (least(length(x), 4) >= 4 AND CASE WHEN length(x) <= 4 THEN contains('ring', x) ELSE contains(x, 'ring') END))::INT AS same
 FROM (SELECT DISTINCT p_name, {_company('p_name')} AS x FROM part)""",
     "date_parse": f"""
-SELECT split_part(regexp_replace(entity, '^\\+', ''), 'T', 1) AS entity_date, {_BINDING} AS binding_date,
+WITH d AS (
+  SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '-0' || strftime(o_orderdate, '%m%d-%m-%d') || 'T00:00:00Z'
+           WHEN 2 THEN '+' || strftime(o_orderdate, '%Y') || '-00-00T00:00:00Z' ELSE '+' || strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' END AS entity,
+         CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN strftime(o_orderdate, '%Y') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' END AS binding,
+         CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN strftime(o_orderdate, '%Y%m') WHEN 2 THEN strftime(o_orderdate, '%Y') WHEN 3 THEN '' ELSE strftime(o_orderdate, '%Y%m%d') END AS compact
+  FROM orders)
+SELECT o_orderkey, split_part(regexp_replace(entity, '^\\+', ''), 'T', 1) AS entity_date, {_BINDING} AS binding_date,
        CASE WHEN regexp_matches(compact, '^[0-9]{{8}}$') THEN substr(compact, 1, 4) || '-' || substr(compact, 5, 2) || '-' || substr(compact, 7, 2)
             WHEN regexp_matches(compact, '^[0-9]{{6}}$') THEN substr(compact, 1, 4) || '-' || substr(compact, 5, 2) END AS compact_date,
        coalesce(nullif(compact, ''), '9999-12-31') AS until, translate(coalesce({_BINDING}, ''), '0123456789', '9876543210') AS inverted,
        CASE WHEN coalesce(compact, '') = '' THEN '1900' ELSE compact END AS filled
-FROM (VALUES {_VALUES(q.DATES)}) v(entity, binding, compact)""",
+FROM d""",
     "json_fields": """
 SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing FROM events""",
     "classify_first_match": """

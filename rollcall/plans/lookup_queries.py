@@ -61,10 +61,14 @@ def resolve_with_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolve_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to locations, by name or by country code."""
-    places = spark.createDataFrame([(1, "france", "FR", 2), (2, "germany", "DE", 2), (3, "springfield", None, 19)], "id long, name_normalized string, source_identifier string, location_type_id long")
-    codes = spark.createDataFrame([("fra", "FR"), ("de", "DE"), ("france", "FR")], "key string, code string")
-    texts = spark.createDataFrame([("France",), ("FRA",), ("DE",), ("Springfield",), ("nowhere",)], "region string")
-    return search.resolve_regions(texts, "region", places, codes)
+    nations = table(spark, sf_dir, "nation")
+    code = F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))
+    kind = F.when(F.col("n_nationkey") % 5 == 0, 19).otherwise(2).cast("long")  # every fifth is no country, so that its code finds nothing
+    places = nations.select((F.col("n_nationkey") + 1).cast("long").alias("id"), F.lower("n_name").alias("name_normalized"), code.alias("source_identifier"), kind.alias("location_type_id"))
+    codes = nations.select(F.lower(F.concat(F.lit("code "), code)).alias("key"), code.alias("code"))
+    own = F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))
+    spelt = F.when(F.col("c_custkey") % 3 == 0, own).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" Code N"), F.col("c_nationkey").cast("string"))).otherwise("nowhere")
+    return search.resolve_regions(table(spark, sf_dir, "customer").select("c_custkey", spelt.alias("region")), "region", places, codes)
 
 
 def person_name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +135,9 @@ SELECT qid, canon_id::BIGINT AS canon_id, score, tier, row_number() OVER (PARTIT
     "resolve_with_candidates": f"""
 SELECT qid, rank, p_name AS canonical_name, 'LEI:' || p_partkey AS canonical_id, least(greatest(score, 0), 1) AS confidence
 FROM ({vector_queries.ORACLE["vec_topk_int8"]}) JOIN part ON p_partkey = id WHERE score >= 0.3 AND rank <= 5""",
-    "resolve_regions": "SELECT * FROM (VALUES ('France', 1::BIGINT), ('FRA', 1), ('DE', 2), ('Springfield', 3), ('nowhere', NULL)) v(region, location_id)",
+    "resolve_regions": """
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'NATION_' || c_nationkey WHEN 1 THEN ' Code N' || c_nationkey ELSE 'nowhere' END AS region,
+       CASE WHEN c_custkey % 3 = 0 OR c_custkey % 3 = 1 AND c_nationkey % 5 <> 0 THEN c_nationkey + 1 END::BIGINT AS location_id FROM customer""",
     "person_name_lookup": f"""
 WITH RECURSIVE {entity_sql._PEOPLE}, {entity_sql._components(entity_sql._PERSON_EDGES, 'people')},
 canon AS (SELECT p.id, name_normalized, first_value(p.id) OVER (PARTITION BY component ORDER BY {entity_sql._PERSON_ORDER.replace(' id', ' p.id')}) AS canon_id,

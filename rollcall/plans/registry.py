@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.plans import entity_queries, entity_sql, lookup_queries, range_queries, record_queries, search_queries, source_queries, vector_queries
+from rollcall.plans import entity_queries, entity_sql, lookup_queries, matching_queries, range_queries, record_queries, search_queries, source_queries, vector_queries
 from rollcall.stage import stage_root
 from rollcall.streaming import ingest
 
@@ -22,8 +22,8 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return vector_queries.QUERIES | entity_queries.QUERIES | lookup_queries.QUERIES | source_queries.QUERIES | search_queries.QUERIES | record_queries.QUERIES | range_queries.QUERIES | {"stream_ingest": stream_ingest}
+    return vector_queries.QUERIES | entity_queries.QUERIES | lookup_queries.QUERIES | source_queries.QUERIES | search_queries.QUERIES | record_queries.QUERIES | range_queries.QUERIES | matching_queries.QUERIES | {"stream_ingest": stream_ingest}
 
 
 def oracle_sql() -> dict[str, str]:
-    return vector_queries.ORACLE | entity_sql.ORACLE | lookup_queries.ORACLE | source_queries.ORACLE | search_queries.ORACLE | record_queries.ORACLE | range_queries.ORACLE | {"stream_ingest": "SELECT event_id, user_id, event_type, value FROM events"}
+    return vector_queries.ORACLE | entity_sql.ORACLE | lookup_queries.ORACLE | source_queries.ORACLE | search_queries.ORACLE | record_queries.ORACLE | range_queries.ORACLE | matching_queries.ORACLE | {"stream_ingest": "SELECT event_id, user_id, event_type, value FROM events"}

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rollcall.functions import dates
 from rollcall.functions.names import zero_filled
 from rollcall.operators.components import connected_components
+from rollcall.operators.ordered import running
 
 # Which source represents a group.
 ORG_PRIORITY = {"gleif": 1, "sec_edgar": 2, "companies_house": 3, "wikidata": 4, "wikipedia": 4}
@@ -58,15 +59,14 @@ def overlap_edges(people: DataFrame) -> DataFrame:
 
     In the order of their starts, a period that begins no later than the latest end before
     it overlaps some earlier one, so it belongs to the same island as the row before.  One
-    sorted pass replaces the pairwise comparison and gives the same closure.
+    sorted pass replaces the pairwise comparison and gives the same closure; a name that many
+    share is passed in ranges, with the latest end carried from each to the next.
     """
     rows = people.where("coalesce(name_normalized, '') <> '' AND coalesce(from_date, '') <> ''").select(
         "id", "name_normalized", "from_date", dates.end_or_open(F.col("to_date")).alias("until")
     ).where("from_date <= until")
-    order = Window.partitionBy("name_normalized").orderBy("from_date", "id")
-    latest = F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    linked = rows.select("id", F.lag("id").over(order).alias("before"), (F.col("from_date") <= latest).alias("same"))
-    return linked.where("same").select(F.col("before").alias("src"), F.col("id").alias("dst"))
+    linked = running(rows, ["name_normalized"], ["from_date", "id"], {"before": ("last", "id"), "latest": ("max", "until")})
+    return linked.where("from_date <= latest").select(F.col("before").alias("src"), F.col("id").alias("dst"))
 
 
 def _person_keys() -> list[list[Column]]:

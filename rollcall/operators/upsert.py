@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rollcall.operators.ordered import laid_out
 from rollcall.schema import KEYS
-from rollcall.stage import staged
 
 _ABSENT = "\u0000"
 
@@ -24,14 +24,14 @@ def numbered(df: DataFrame, order: list[str], start: int | Column = 0, out: str
 
     Rows are dealt into ranges and numbered within each; the ranges' counts give the offsets.
     """
-    laid = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    laid = laid_out(df, order)
     counts = laid.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    nth = F.col("__at").bitwiseAND((1 << 33) - 1) + 1  # the place within its range
     base = start if isinstance(start, Column) else F.lit(start)
-    joined = laid.withColumn("__nth", local).join(F.broadcast(offsets), "__part")
-    return joined.withColumn(out, (base + F.col("__before") + F.col("__nth")).cast("long")).drop("__part", "__nth", "__before")
+    joined = laid.join(F.broadcast(offsets), "__part")
+    return joined.withColumn(out, (base + F.col("__before") + nth).cast("long")).drop("__part", "__at", "__before")
 
 
 def upsert(table: DataFrame, incoming: DataFrame, keys: list[str], sequence: str) -> DataFrame:

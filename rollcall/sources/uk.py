@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollcall.functions import dates, names
+from rollcall.operators.ordered import running
 from rollcall.sources.ranges import zip_lines
 from rollcall.sources.records import company, person, text
 
@@ -41,7 +42,8 @@ def read_companies(spark: SparkSession, path: str, active_only: bool = False) ->
 def parse_officers(lines: DataFrame, file: str = "file", at: str = "at", column: str = "value", current_only: bool = False) -> DataFrame:
     """Individual officers of ``(file, at, value)`` lines, ``at`` giving the lines' order.
 
-    A company line sets the name for the officers' lines after it that have its number.
+    A company line sets the name for the officers' lines after it that have its number; a long file is
+    worked off in ranges, with the name carried from each to the next.
     """
     line = F.col(column)
     cut = lambda start, n: F.trim(F.substring(line, start + 1, n))
@@ -49,8 +51,7 @@ def parse_officers(lines: DataFrame, file: str = "file", at: str = "at", column:
         F.col(file).alias("file"), F.col(at).alias("at"), line.alias("line"), cut(0, 8).alias("number"), F.substring(line, 9, 1).alias("kind"),
         F.when(F.substring(line, 9, 1) == "1", F.struct(cut(0, 8).alias("number"), F.trim(F.substring_index(F.substr(line, F.lit(41)), "<", 1)).alias("name"))).alias("head"),
     )
-    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    known = rows.withColumn("head", F.last("head", ignorenulls=True).over(before)).where("kind = '2' AND length(line) > 76")
+    known = running(rows, ["file"], ["at"], {"of": ("last", "head")}, inclusive=True).withColumn("head", F.col("of")).where("kind = '2' AND length(line) > 76")
     line = F.col("line")
     fields = F.split(F.substr(line, F.lit(77)), "<")
     field = lambda i: F.coalesce(F.trim(F.get(fields, F.lit(i))), F.lit(""))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollcall.functions import regions, vectors
-from rollcall.operators import fuzzy, patterns, requests
+from rollcall.operators import fuzzy, links, patterns, requests
 from rollcall.operators.embedding_cache import EmbeddingCache
 from rollcall.plans.source_queries import _claims, _item, _q
 from rollcall.plans.tables import table
@@ -123,7 +123,36 @@ class Refusing:
             raise RuntimeError("a text was embedded again")
 
 
-QUERIES = {f.__name__: f for f in (misspelt_regions, contains_lookup, accuracy_by_kind, graph_patterns, kept_embeddings)}
+def _companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as companies of two registers; every tenth is an alias."""
+    k = F.col("c_custkey")
+    source = F.when(k % 2 == 0, links.SOURCE_IDS["sec_edgar"]).otherwise(links.SOURCE_IDS["companies_house"]).cast("long")
+    number = F.when(k % 2 == 0, F.lpad(k.cast("string"), 10, "0")).otherwise(k.cast("string"))
+    return table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(k.alias("id"), F.col("c_name").alias("name"), source.alias("source_id"), number.alias("source_identifier"), F.when(k % 10 == 0, 5).cast("long").alias("alias_source_id"))
+
+
+def _officers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as filings of insiders or officers, some linked before."""
+    k = F.col("o_orderkey")
+    source = F.when(k % 3 == 0, links.SOURCE_IDS["sec_edgar"]).otherwise(links.SOURCE_IDS["companies_house"]).cast("long")
+    text = F.col("o_custkey").cast("string")
+    record = F.when(k % 3 == 0, F.to_json(F.struct(text.alias("issuer_cik")))).when(k % 7 > 0, F.to_json(F.struct(text.alias("company_number"), F.concat(F.lit("Company "), text).alias("company_name"))))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), source.alias("source_id"), record.alias("record"), F.when(k % 5 == 0, 7).cast("long").alias("known_for_org_id"))
+
+
+def issuer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insiders with their issuers."""
+    return links.link_issuers(_officers(spark, sf_dir), _companies(spark, sf_dir)).select("id", "known_for_org_id")
+
+
+def officer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Officers with their companies by number, stubs made for those that the table lacks."""
+    orgs, people = links.link_officers(_officers(spark, sf_dir), _companies(spark, sf_dir))
+    named = orgs.select(F.col("id").alias("known_for_org_id"), F.col("name").alias("company"), "source_identifier")
+    return people.join(named, "known_for_org_id", "left").select("id", "company", "source_identifier")
+
+
+QUERIES = {f.__name__: f for f in (misspelt_regions, contains_lookup, accuracy_by_kind, graph_patterns, kept_embeddings, issuer_links, officer_links)}
 
 
 def _changed(kind: str) -> str:
@@ -181,5 +210,14 @@ UNION ALL SELECT CASE k % 4 WHEN 0 THEN 'public_company' WHEN 1 THEN 'business'
 UNION ALL SELECT 'position', id, label, country_label, ticker FROM person WHERE k % 3 < 2
 UNION ALL SELECT 'occupation', id, label, country_label, ticker FROM person WHERE k % 4 < 3
 UNION ALL SELECT 'founder', id, label, country_label, ticker FROM person WHERE k IN (SELECT c_custkey % 50 FROM customer WHERE c_custkey % 5 = 0)""",
+    "issuer_links": """
+SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 3 > 0 AND o_custkey % 2 = 0 AND o_custkey % 10 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer) THEN o_custkey END,
+                                  CASE WHEN o_orderkey % 5 = 0 THEN 7 END)::BIGINT AS known_for_org_id FROM orders""",
+    "officer_links": """
+WITH orgs AS (SELECT c_custkey AS id, c_name AS company, CASE WHEN c_custkey % 2 = 0 THEN lpad(c_custkey::VARCHAR, 10, '0') ELSE c_custkey::VARCHAR END AS source_identifier FROM customer WHERE c_custkey % 3 > 0),
+p AS (SELECT o_orderkey AS id, o_custkey, o_orderkey % 5 = 0 AS linked, o_orderkey % 3 <> 0 AND o_orderkey % 7 > 0 AND o_orderkey % 5 <> 0 AS own FROM orders)
+SELECT p.id, CASE WHEN linked THEN o7.company WHEN own THEN coalesce(o.company, 'Company ' || o_custkey) END AS company,
+       CASE WHEN linked THEN o7.source_identifier WHEN own THEN o_custkey::VARCHAR END AS source_identifier
+FROM p LEFT JOIN orgs o ON o.source_identifier = o_custkey::VARCHAR AND o.id % 2 = 1 LEFT JOIN orgs o7 ON o7.id = 7""",
     "kept_embeddings": "SELECT p_partkey, p_name || ' ' || p_brand AS name, 32 AS dims, true AS same FROM part",
 }

@@ -195,7 +195,7 @@ def candidates(index: DataFrame, queries: DataFrame, k: int, group: str | None =
     ``differ`` leaves out rows of the query's own id and ``same`` takes rows whose first column equals the
     query's second.  With ``group`` the best ``k`` are groups of that column, each by its best row.  A vector that is null, zero
     or holds a null has similarity 0 with all, vectors of different lengths have none (null).  Queries come to
-    the driver and must fit ``QUERY_BYTES``; ``slices`` of the search module parts them.
+    the driver and must fit ``QUERY_BYTES`` twice, ids and other columns included; ``slices`` of the search module parts them.
     """
     spark = index.sparkSession
     ship_package(spark)
@@ -203,7 +203,7 @@ def candidates(index: DataFrame, queries: DataFrame, k: int, group: str | None =
     whole = isinstance(rows.schema["v"].dataType.elementType, T.IntegralType)
     table = queries.toArrow()
     if table.nbytes > 2 * QUERY_BYTES:
-        raise ValueError(f"more than {QUERY_BYTES} bytes of query vectors at once")
+        raise ValueError(f"more than {2 * QUERY_BYTES} bytes of queries at once")
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)

@@ -16,7 +16,6 @@ ENTITY = (
 # Properties that name executives, and the order in which others stand in for an employer.
 EXECUTIVE_PROPERTIES = {"P169": "chief executive officer", "P488": "chairperson", "P112": "founded by", "P1037": "director/manager", "P3320": "board member"}
 FALLBACK_PROPERTIES = ("P108", "P1830", "P54", "P102", "P241", "P264", "P1416", "P463", "P69")
-MOST_RECORDS = 5000
 
 
 def class_table(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -133,13 +132,13 @@ def _executives() -> Column:
     return F.concat(*[of(p, r) for p, r in EXECUTIVE_PROPERTIES.items()])
 
 
-def person_rows(rows: DataFrame, classes: DataFrame, jurisdictions: DataFrame, reverse: DataFrame) -> DataFrame:
+def person_rows(rows: DataFrame, classes: DataFrame, jurisdictions: DataFrame, reverse: DataFrame, most: int | None = None) -> DataFrame:
     """A record for every distinct role and organisation of each person.
 
     In order: positions held (a second term of an office is a record of its own), organisations
     that name the person, occupations not held as positions; without any of these the first
     property that can stand in for an employer.  ``jurisdictions`` has ``qid, org_qid`` of positions, ``reverse``
-    has ``person_qid, org_qid, role, start_date, end_date``.
+    has ``person_qid, org_qid, role, start_date, end_date``.  All of a person's records are given, or the first ``most``.
     """
     people = rows.where("route = 'person'").withColumn("label", label()).where("label IS NOT NULL")
     held = people.select("id", F.posexplode(F.try_element_at("claims", F.lit("P39"))).alias("at", "c"))
@@ -164,7 +163,9 @@ def person_rows(rows: DataFrame, classes: DataFrame, jurisdictions: DataFrame, r
     every = found.unionByName(last)
     once = Window.partitionBy("id", "role_qid", "org_qid", "from_date").orderBy("step", "at")
     ranked = every.withColumn("nth", F.row_number().over(once)).where("nth = 1")
-    capped = ranked.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("step", "at"))).where(F.col("n") <= MOST_RECORDS)
+    capped = ranked.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("step", "at")))
+    if most is not None:  # a person's first facts; all of them otherwise
+        capped = capped.where(F.col("n") <= most)
     kinds = _person_types(people, positions, classes)
     facts = people.select("id", F.col("label").alias("name"), first_claim("P27").alias("country_qid"), claim_time("P569").alias("birth_date"), claim_time("P570").alias("death_date"))
     return capped.drop("nth").join(facts, "id").join(kinds, "id", "left").withColumn("person_type", F.coalesce("person_type", F.lit("unknown")))

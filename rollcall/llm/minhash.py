@@ -25,22 +25,27 @@ BANDS = 32
 #: Pairs that share a band are held against the low bits of all their minima before their texts are: at a similarity of 0.8 24 of
 #: 128 differ on average, and more than this with a probability of 1e-5; at 0.5 it is 60.
 SKETCH_BITS, MOST_DIFFERENT = 4, 45
+#: Members of a bucket that its hub has not joined are held against a bit of each of so many further minima, of which 102 differ on average at 0.8,
+#: and more than this with a probability of 1e-5; at 0.7 it is 154.
+FINE_MINIMA, FINE_DIFFERENT = 1024, 145
 _rng = np.random.Generator(np.random.PCG64(7919))
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
+_FINE_A = _rng.integers(0, 1 << 31, FINE_MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FINE_B = _rng.integers(0, 1 << 32, FINE_MINIMA, dtype=np.uint32)
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of ``PERMUTATIONS`` minima for each set of 64-bit shingle hashes; an empty set has the largest value throughout."""
-    out = np.full((len(sets), PERMUTATIONS), EMPTY, np.uint32)
+def signatures(sets: list[np.ndarray], a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    """A row of minima, one for each permutation, for each set of 64-bit shingle hashes; an empty set has the largest value throughout."""
+    out = np.full((len(sets), len(a)), EMPTY, np.uint32)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         x = np.concatenate([sets[i] for i in full])
         x = (x ^ (x >> np.uint64(32))).astype(np.uint32)
         starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
-        for k in range(PERMUTATIONS):
-            out[full, k] = np.minimum.reduceat(x * _A[k] + _B[k], starts)
+        for k in range(len(a)):
+            out[full, k] = np.minimum.reduceat(x * a[k] + b[k], starts)
     return out
 
 
@@ -180,17 +185,28 @@ def fingerprint_and_link(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return fingerprint_documents(docs, id_col, text_col, components=components)
 
 
-def _planes(rows: np.ndarray) -> np.ndarray:
-    """The lowest ``SKETCH_BITS`` mixed bits of the minima, plane by plane, in 64-bit words."""
-    planes = [np.packbits((_digits(rows) >> k) & 1, axis=1) for k in range(SKETCH_BITS)]
+def _planes(rows: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """The lowest ``bits`` mixed bits of the minima, plane by plane, in 64-bit words."""
+    planes = [np.packbits((_digits(rows) >> k) & 1, axis=1) for k in range(bits)]
     return np.ascontiguousarray(np.concatenate(planes, axis=1)).view("<i8")
 
 
-def _alike(one: Column, other: Column) -> Column:
-    """Whether few enough minima differ in the planes of two rows."""
-    words = PERMUTATIONS // 64
-    differ = lambda w: reduce(lambda x, y: x.bitwiseOR(y), (one[k * words + w].bitwiseXOR(other[k * words + w]) for k in range(SKETCH_BITS)))
-    return reduce(lambda x, y: x + y, (F.bit_count(differ(w)) for w in range(words))) <= MOST_DIFFERENT
+def _alike(one: Column, other: Column, minima: int = PERMUTATIONS, bits: int = SKETCH_BITS, most: int = MOST_DIFFERENT) -> Column:
+    """Whether at most ``most`` minima differ in the planes of two rows."""
+    words = minima // 64
+    differ = lambda w: reduce(lambda x, y: x.bitwiseOR(y), (one[k * words + w].bitwiseXOR(other[k * words + w]) for k in range(bits)))
+    return reduce(lambda x, y: x + y, (F.bit_count(differ(w)) for w in range(words))) <= most
+
+
+def _fine_rows(key: kernel.Key) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in kernel.blocks(batch.column(1)):
+                sets = list(kernel.shingle_sets(block, SHINGLE_WORDS, False, key))
+                planes = pa.array(list(_planes(signatures(sets, _FINE_A, _FINE_B), 1)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.row0, len(block)), pa.array([len(s) for s in sets], pa.int32()), planes], ["rep", "n", "fine"])
+
+    return run
 
 
 def _signature_rows(key: kernel.Key) -> Callable:
@@ -218,8 +234,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are one class.  In each band's bucket members first meet its hub, the member
     whose buckets are fullest: of a group of edited copies that is the text they were edited
     from, whose bands they all share.  Links verified by the Jaccard similarity of the whole five-word shingle sets merge classes, and
-    members of a bucket that are still apart then meet as well.  So every pair that shares a
-    band, might join two components and has signatures that fit the similarity is verified.  Texts without words are alone, as are
+    members of a bucket that are still apart then meet as well, each pair in one of the buckets it shares, held against longer
+    sketches.  So every pair that shares a band, might join two components and has sketches that fit the similarity is verified.  Texts without words are alone, as are
     rows without an id.  Other columns are not read; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -244,39 +260,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Whether sets of these sizes can be similar enough."""
         return (den * F.col(n) >= num * F.col(m)) & (den * F.col(m) >= num * F.col(n))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs, "minhash-pairs")
-        ids = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "minhash-ids")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        ids = staged(ids.distinct(), "minhash-ids")
         kept = staged(texts.join(ids, "doc_id", "left_semi"), "minhash-texts")
+        drop_stage(ids)
+        return kept
+
+    def verified(pairs: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+        pairs = staged(pairs, "minhash-pairs")
+        kept = kept or texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
         rows = pairs.join(kept.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
             kept.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
         )
         links = staged(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify(num, den, key), "a long, b long").distinct(), "minhash-links")
-        drop_stage(pairs, ids, kept)
+        drop_stage(pairs, kept)
         return links
 
     hub_links = verified(shared.where((F.col("rep") != F.col("hub")) & fits("n", "hub_n") & _alike(F.col("bits"), F.col("hub_bits"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
     labels = connected_components(hub_links, "a", "b")
-    apart = staged(_apart(shared, labels, fits), "minhash-apart")
+    unjoined = rows = staged(_unjoined(shared, labels), "minhash-unjoined")
     drop_stage(shared, labels)
-    rest = verified(apart)
+    kept = texts_of(rows.select(F.col("rep").alias("doc_id")))
+    fine = kept.mapInArrow(_fine_rows(key), "rep long, n int, fine array<long>").distinct()  # an id may have several texts
+    rows = rows.where("NOT is_hub")
+    profiles = staged(rows.groupBy("rep", "n").agg(F.collect_set("band").alias("bands")).join(fine, ["rep", "n"]), "minhash-profiles")
+    rest = verified(_apart(rows.join(profiles, ["rep", "n"]), fits), kept)
     labels = connected_components(hub_links.union(rest), "a", "b").select(F.col("id").alias("rep"), "component")
     of_class = staged(reps.join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "minhash-labels")
-    drop_stage(apart, hub_links, rest, reps)
+    drop_stage(unjoined, profiles, hub_links, rest, reps)
     return members.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _apart(shared: DataFrame, labels: DataFrame, fits: Callable) -> DataFrame:
-    """Pairs of bucket members with different labels, hubs aside; one of each pair is outside its hub's component."""
+def _unjoined(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their labels and their hub's, of buckets in which some member is outside the hub's component."""
     label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_label"))
     rows = shared.join(label("rep"), "rep", "left").join(label("hub"), "hub", "left").select(
-        "band", "rep", "bits", "n", F.coalesce("rep_label", "rep").alias("label"), F.coalesce("hub_label", "hub").alias("home"), (F.col("rep") == F.col("hub")).alias("is_hub")
+        "band", "rep", "n", F.coalesce("rep_label", "rep").alias("label"), F.coalesce("hub_label", "hub").alias("home"), (F.col("rep") == F.col("hub")).alias("is_hub")
     )
-    rows = staged(rows.where("NOT is_hub"), "minhash-rows")
-    outside = rows.where("label <> home").select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
-    other = rows.select("band", F.col("rep").alias("b"), F.col("label").alias("label_b"), "home", F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
+    return rows.join(rows.where("label <> home").select("band").distinct(), "band", "left_semi")
+
+
+def _apart(rows: DataFrame, fits: Callable) -> DataFrame:
+    """Pairs of bucket members with different labels, hubs aside; one of each pair is outside its hub's component.
+
+    A pair is listed in the smallest of the buckets that it shares.
+    """
+    outside = rows.where("label <> home").select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("bands").alias("bands_a"), F.col("fine").alias("fine_a"))
+    other = rows.select("band", F.col("rep").alias("b"), F.col("label").alias("label_b"), "home", F.col("n").alias("n_b"), F.col("bands").alias("bands_b"), F.col("fine").alias("fine_b"))
     meet = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("home")) | (F.col("a") < F.col("b")))
-    met = outside.join(other, (outside.band == other.band) & meet & fits("n_a", "n_b") & _alike(F.col("bits_a"), F.col("bits_b")))
+    alike = _alike(F.col("fine_a"), F.col("fine_b"), FINE_MINIMA, 1, FINE_DIFFERENT)
+    first = F.array_min(F.array_intersect("bands_a", "bands_b")) == outside.band
+    met = outside.join(other, (outside.band == other.band) & meet & fits("n_a", "n_b") & alike & first)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -226,19 +226,55 @@ def test_fingerprints(spark, docs, rows):
 
 
 def test_sketches_keep_similar_pairs(spark):
-    """Minima that agree in four places of five pass, those that agree in half do not."""
-    rng = np.random.default_rng(6)
-    base = rng.integers(0, 1 << 32, (400, minhash.PERMUTATIONS)).astype(np.uint32)
-    other = rng.integers(0, 1 << 32, base.shape).astype(np.uint32)
-    rows = []
-    for share in (0.8, 0.5):
-        mixed = np.where(rng.random(base.shape) < share, base, other)
-        rows += [(share, x.tolist(), y.tolist()) for x, y in zip(minhash._planes(base), minhash._planes(mixed))]
-    frame = spark.createDataFrame(rows, "share double, a array<long>, b array<long>")
+    """Minima that agree in four places of five pass, those that agree in half (seven of ten for the longer ones) do not."""
     from pyspark.sql import functions as F
 
-    got = {r.share: r.n for r in frame.where(minhash._alike(F.col("a"), F.col("b"))).groupBy("share").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert got[0.8] == 400 and got.get(0.5, 0) < 12
+    coarse, fine = (minhash.PERMUTATIONS, minhash.SKETCH_BITS, minhash.MOST_DIFFERENT), (minhash.FINE_MINIMA, 1, minhash.FINE_DIFFERENT)
+    for (minima, bits, most), low, passing in ((coarse, 0.5, 12), (fine, 0.68, 40)):
+        rng = np.random.default_rng(6)
+        base = rng.integers(0, 1 << 32, (400, minima)).astype(np.uint32)
+        other = rng.integers(0, 1 << 32, base.shape).astype(np.uint32)
+        rows = []
+        for share in (0.8, low):
+            mixed = np.where(rng.random(base.shape) < share, base, other)
+            rows += [(share, x.tolist(), y.tolist()) for x, y in zip(minhash._planes(base, bits), minhash._planes(mixed, bits))]
+        frame = spark.createDataFrame(rows, "share double, a array<long>, b array<long>")
+        got = {r.share: r.n for r in frame.where(minhash._alike(F.col("a"), F.col("b"), minima, bits, most)).groupBy("share").agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert got[0.8] == 400 and got.get(low, 0) < passing
+
+
+def test_edited_copies_apart_from_their_original(spark):
+    """Of a group of copies edited so much that many are below the threshold to the original, every link is found and no other."""
+    rng = np.random.default_rng(12)
+    original = [f"w{i}" for i in range(150)]
+    texts = [" ".join(original)]
+    for i in range(150):
+        own = list(original)
+        for at in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+            own[at] = f"x{i}.{at}"
+        texts.append(" ".join(own))
+        if i % 10 == 0:  # a copy of the copy
+            own[int(rng.integers(150))] = f"y{i}"
+            texts.append(" ".join(own))
+    rows = [(100 + i, t) for i, t in enumerate(texts)] + [(100, "another text of the first id"), (103, texts[-1] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    of = {}
+    for r in got:
+        of[r.doc_id] = min(of.get(r.doc_id, r.component_id), r.component_id)
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, t in rows for w in [t.split()]]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for k, (i, one) in enumerate(sets):
+        for j, other in sets[:k]:
+            if 100 * len(one & other) >= 80 * len(one | other):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert of == {i: find(i) for i, _ in rows} and len(set(of.values())) > 10
 
 
 def test_near_duplicates_find_near_copies(docs, rows):

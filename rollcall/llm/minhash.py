@@ -126,10 +126,9 @@ def _span(key: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     k = max(1, round(len(bounds) ** 0.5))
     below = lambda found: F.size(F.filter(found, lambda bound: bound < key))
-    stretches = [bounds[i : i + k] for i in range(0, len(bounds), k)]
-    coarse = below(F.array(*[F.lit(x[-1]) for x in stretches]))
-    fine = F.coalesce(F.get(F.array(*[F.array(*[F.lit(b) for b in x]) for x in stretches]), coarse), F.array().cast("array<bigint>"))
-    return (F.least(coarse * k, F.lit(len(bounds))) + below(fine)).cast("int")
+    whole = F.lit(np.array(bounds, np.int64))  # one literal, as is the next; generated code refers to them
+    coarse = below(F.lit(np.array([bounds[min(i + k, len(bounds)) - 1] for i in range(0, len(bounds), k)], np.int64)))
+    return (F.least(coarse * k, F.lit(len(bounds))) + below(F.slice(whole, coarse * k + 1, F.lit(k)))).cast("int")
 
 
 def fingerprint_documents(
@@ -158,11 +157,12 @@ def fingerprint_documents(
     if not heads:
         return spark.createDataFrame([], QUERY_SCHEMA)
     order = sorted(heads)
-    before = {heads[s]: order[i - 1] for i, s in enumerate(order)}  # the range that a head closes
-    head_rows = placed.where(F.col("key").isin(list(before))).groupBy("key").agg(F.min("text").alias("text"))
+    # The range that a head closes: 12 bytes for each partition.
+    closes = spark.createDataFrame([(heads[s], order[i - 1]) for i, s in enumerate(order)], "key long, closes int")
+    head_rows = placed.join(F.broadcast(closes), "key").groupBy("key", "closes").agg(F.min("text").alias("text"))
     none = F.lit(None).cast("long")
     closing = head_rows.select(
-        F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("key")).cast("int").alias("span"),
+        F.col("closes").alias("span"),
         F.lit((1 << 63) - 1).alias("key"), F.lit(CLOSING).alias("kind"), none.alias("doc_id"), "text", none.alias("component_id"),
     )
     laid = placed.select("span", "key", F.lit(DOCUMENT).alias("kind"), "doc_id", "text", none.alias("component_id")).union(closing)

@@ -177,15 +177,26 @@ def _evidence(shared, law: Gumbel | None) -> Callable:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the first column is the constant."""
+    """Ridge logistic regression by Newton steps, each halved until the loss falls; the first column is the constant.
+
+    A whole step from where the classes are almost apart can lead far beyond the minimum, to where
+    all rows are certain and no further step comes back.
+    """
     w = np.zeros(x.shape[1])
     ridge = np.full(len(w), 1e-2)
-    for _ in range(50):
+    loss = lambda w: np.logaddexp(0.0, np.where(y == 1, -1.0, 1.0) * (x @ w)).sum() + ridge @ (w * w) / 2
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
-        w += step
+        slope = x.T @ (y - p) - ridge * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), slope)
         if np.abs(step).max() < 1e-8:
             break
+        now, part, gain = loss(w), 1.0, slope @ step
+        while part > 1e-9 and not loss(w + part * step) <= now - 1e-4 * part * gain:
+            part /= 2
+        if part <= 1e-9:
+            break  # as low as doubles tell
+        w += part * step
     return w
 
 

@@ -242,6 +242,20 @@ def test_toxicity_without_labels(spark, docs, empty):
     assert quality.QualityModel(docs, labels, "toxic").score(docs).count() == docs.count()
 
 
+def test_toxicity_curve_where_classes_are_almost_apart():
+    """Evidence that whole Newton steps overshoot on: all rows, or none, came out as toxic."""
+    clean = [(65, 0.0, 0.0, 0.0), (35, 0.0, 0.7, 0.0), (28, 0.0, 1.5, 0.1), (24, 2.0, 2.0, 0.5), (1, 5.0, 5.0, 13.5)]
+    toxic = [(2, 4.5, 4.5, 7.5), (4, 4.8, 4.8, 10.0), (1, 5.2, 5.2, 15.1), (1, 6.8, 6.8, 78.8)]
+    for times, most in ((2, 78.8), (3, 78.8), (3, 100.0), (3, 150.0)):
+        x = [[1.0, *r] for n, *r in clean for _ in range(n * times)] + [[1.0, *r[:-1], most if r[-1] == 78.8 else r[-1]] for n, *r in toxic for _ in range(n)]
+        x, y = np.array(x), np.repeat([0.0, 1.0], [153 * times, 8])
+        w = toxicity._logistic(x, y)
+        slope = x.T @ (y - 1 / (1 + np.exp(-(x @ w)))) - 1e-2 * w
+        assert np.abs(slope).max() < 1e-5
+        predicted = 1 / (1 + np.exp(-(x @ w))) >= toxicity.THRESHOLD
+        assert predicted[y == 1].all() and predicted[y == 0].sum() == times  # the rows of strong evidence
+
+
 def test_maximal_segments():
     """Against the recursive definition: the best run, then the same left and right of it."""
 

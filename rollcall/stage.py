@@ -131,10 +131,22 @@ def drop_session_stages(spark: SparkSession) -> int:
     return len(found)
 
 
+#: Rows in memory take at most some so many times the bytes of the files they come from.
+UNPACKED = 8
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Size of what ``df`` reads by the optimizer's estimate; 0 where it has none."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
+    """Size of ``df`` by the optimizer's estimate; 0 where it has none.
+
+    The optimizer multiplies the sizes of joined tables, so what the read tables hold bounds its estimate.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    known = lambda p: n if (n := int(str(p.stats().sizeInBytes()))) < 1 << 60 else 0
+    read = [known(leaves.apply(i)) for i in range(leaves.length())]
+    if all(read):
+        return min(int(str(plan.stats().sizeInBytes())), UNPACKED * sum(read))
+    return known(plan)
 
 
 def task_count(df: DataFrame) -> int:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from rollcall.operators import canonicalize, ordered, upsert
+from rollcall.stage import task_count
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +61,12 @@ def test_islands_of_a_hot_name(spark):
                 if a[1] == b[1] and a[2] <= until(a) and b[2] <= until(b) and a[2] <= until(b) and b[2] <= until(a) and label[a[0]] > label[b[0]]:
                     label[a[0]], moved = label[b[0]], True
     assert got == label and len(set(label.values())) < 350
+
+
+def test_tasks_of_joins(spark, tmp_path):
+    """A join's size is not the product of its tables': it gave thousands of tasks for small tables."""
+    spark.range(200_000).selectExpr("id", "uuid() AS a").write.parquet(f"{tmp_path}/a")
+    spark.range(20_000).selectExpr("id", "uuid() AS b").write.parquet(f"{tmp_path}/b")
+    a, b = spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert task_count(a.join(b, "id")) == task_count(a.join(b, "id").union(a.join(b, "id"))) == least

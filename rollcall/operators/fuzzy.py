@@ -79,34 +79,51 @@ def postings(table: DataFrame, id_col: str = "id", name_col: str = "name") -> Da
     return staged(table.select(F.col(id_col).alias("id"), F.explode(runs).alias("gram")).select("gram", "id"), "postings")
 
 
+def _texts(queries: DataFrame) -> DataFrame:
+    """``qid, query, __text`` of queries that are not blank, as a stage table."""
+    return staged(queries.select("qid", "query", F.lower(F.trim("query")).alias("__text")).where("__text <> ''"), "asked")
+
+
+def _holders(table: DataFrame, texts: DataFrame, index: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """``__text`` and the row of ``table`` for each of the distinct ``texts`` and each row whose name contains it."""
+    wanted = texts.select("__text", F.explode(grams(F.col("__text"), F.least(F.length("__text"), F.lit(GRAM)))).alias("gram"))
+    counts = index.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(counts, "gram", "left").groupBy("__text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
+    near = rarest.select("__text", F.col("best.gram").alias("gram")).join(index.withColumnRenamed("id", "__id"), "gram")
+    return near.join(table, F.col("__id") == F.col(id_col)).where(F.contains(F.lower(F.col(name_col)), F.col("__text"))).drop("__id", "gram")
+
+
 def containing(table: DataFrame, queries: DataFrame, index: DataFrame | None = None, id_col: str = "id", name_col: str = "name") -> DataFrame:
     """``qid, query`` and the row of ``table`` for each row whose name contains the query's trimmed text, in any case.
 
     ``queries`` has ``qid, query``; blank texts and null names match nothing.  ``index`` are the table's
-    ``postings``.  All queries go through the index at once: each by its rarest gram, whose rows are compared with the whole text.
+    ``postings``.  All texts go through the index at once, equal ones as one: each by its rarest gram, whose rows are compared with the whole text.
     """
     index = postings(table, id_col, name_col) if index is None else index
-    text = F.lower(F.trim("query"))
-    asked = staged(queries.select("qid", "query", text.alias("__text")).where("__text <> ''"), "asked")
-    wanted = asked.select("qid", F.explode(grams(F.col("__text"), F.least(F.length("__text"), F.lit(GRAM)))).alias("gram"))
-    counts = index.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = wanted.join(counts, "gram", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
-    chosen = asked.join(rarest, "qid").select("qid", "query", "__text", F.col("best.gram").alias("gram"))
-    near = chosen.join(index.withColumnRenamed("id", "__id"), "gram")
-    return near.join(table, F.col("__id") == F.col(id_col)).where(F.contains(F.lower(F.col(name_col)), F.col("__text"))).drop("__id", "gram", "__text")
+    asked = _texts(queries)
+    found = _holders(table, asked.select("__text").distinct(), index, id_col, name_col)
+    return asked.join(found, "__text").drop("__text")
 
 
 def contains_search(table: DataFrame, queries: DataFrame, k: int = 10, exact_alone: bool = True, index: DataFrame | None = None) -> DataFrame:
     """The ``k`` shortest names that contain each query, with ``score`` and ``rank``; an equal name alone with score 1 if ``exact_alone``.
 
-    ``table`` has ``id, name`` and, for equal names, ``name_normalized``.
+    ``table`` has ``id, name`` and, for equal names, ``name_normalized``.  Equal texts are searched for once; with ``exact_alone``
+    those that equal a name are joined with it, and only the others go through the index.
     """
-    found = containing(table, queries, index)
-    equal = F.coalesce((F.col("name_normalized") == F.lower(F.trim("query"))).cast("int"), F.lit(0)) if exact_alone else F.lit(0)
-    first = Window.partitionBy("qid").orderBy(F.col("__equal").desc(), F.length("name"), "id")
-    ranked = found.withColumn("__equal", equal).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-    ranked = ranked.withColumn("__any", F.max("__equal").over(Window.partitionBy("qid"))).where("__any = 0 OR rank = 1")
-    return ranked.withColumn("score", F.when(F.col("__equal") == 1, 1.0).otherwise(names.like_score(F.col("name"), F.lower(F.trim("query"))))).drop("__equal", "__any")
+    index = postings(table) if index is None else index
+    asked = _texts(queries)
+    texts = asked.select("__text").distinct()
+    first = Window.partitionBy("__text").orderBy(F.length("name"), "id")
+    best = lambda rows, most: rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most)
+    if exact_alone:
+        same = texts.join(table, F.col("__text") == F.col("name_normalized")).where(F.contains(F.lower("name"), F.col("__text")))
+        equal = staged(best(same, min(k, 1)).withColumn("score", F.lit(1.0)), "equal-names")
+        texts = texts.join(equal.select("__text"), "__text", "left_anti")
+    found = best(_holders(table, texts, index, "id", "name"), k).withColumn("score", names.like_score(F.col("name"), F.col("__text")))
+    if exact_alone:
+        found = found.unionByName(equal)
+    return asked.join(found, "__text").drop("__text")
 
 
 def names_search(table: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

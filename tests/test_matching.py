@@ -64,6 +64,24 @@ def _names(seed, n):
     return [(i, rng.choice([None, "", " ".join("".join(rng.choice("aAbBé%_'") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 4)))])) for i in range(n)]
 
 
+def test_equal_requests_are_searched_once(spark, monkeypatch):
+    """Requests with equal texts gave a pair each with every row, those that equal a name too; rows as before."""
+    table = spark.createDataFrame([(i, f"Name {i % 40}", f"name {i % 40}") for i in range(200)] + [(900, None, "name 1"), (901, "Other", "name 77")], "id long, name string, name_normalized string")
+    asked = [(i, ["AME 1", " ame 1", "name 7", "Name 7 ", " ", "name 77", "zz"][i % 7]) for i in range(70)]
+    queries, seen, search = spark.createDataFrame(asked, "qid long, query string"), [], fuzzy._holders
+    monkeypatch.setattr(fuzzy, "_holders", lambda table, texts, *rest: seen.append(sorted(r[0] for r in texts.collect())) or search(table, texts, *rest))
+    for alone in (True, False):
+        found = {(r.qid, r.id, r.rank, r.score) for r in fuzzy.contains_search(table, queries, 3, alone).collect()}
+        want, names = set(), [(i, f"name {i % 40}") for i in range(200)]
+        for qid, text in asked:
+            if text := text.strip().lower():
+                best = sorted((not (alone and n == text), len(n), i, n) for i, n in names if text in n)
+                best = best[:1] if best and not best[0][0] else best[:3]
+                want |= {(qid, i, nth, 1.0 if n == text else 0.9 if n.startswith(text) else 0.7) for nth, (_, _, i, n) in enumerate(best, 1)}
+        assert found == want
+    assert seen == [["ame 1", "name 77", "zz"], ["ame 1", "name 7", "name 77", "zz"]]
+
+
 def test_contains_equals_like(spark):
     rows = _names(1, 400)
     table = spark.createDataFrame([(i, n, (n or "").lower()) for i, n in rows], "id long, name string, name_normalized string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,11 +14,11 @@ from rollcall.plans import source_queries
 from rollcall.plans.tables import table
 from rollcall.session import ship_package
 from rollcall.sources import gleif, ranges, sec, uk
-from rollcall.stage import stage_root
+from rollcall.stage import stage_root, task_count
 from rollcall.streaming import ingest
 
-#: Small parts, so that the tables' files have several.
-PART_BYTES = 64 << 10
+#: Small parts, so that small tables' files have several; what is larger is cut into some hundreds of parts of at most the readers' own size.
+PART_BYTES, PARTS = 64 << 10, 512
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -58,15 +59,10 @@ def _array(out, rows: Iterator[tuple]) -> None:
 def _archive(out, rows: Iterator[tuple], packed: bool = True) -> None:
     """Rows of one member's name in a row are its lines."""
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if packed else zipfile.ZIP_STORED) as archive:
-        of, member = None, None
-        for name, value in rows:
-            if name != of:
-                if member:
-                    member.close()
-                of, member = name, archive.open(name, "w")
-            member.write(value.encode() + b"\n")
-        if member:
-            member.close()
+        for name, lines in groupby(rows, lambda row: row[0]):
+            with archive.open(name, "w") as member:
+                while held := [value for _, value in islice(lines, 4096)]:
+                    member.write("\n".join([*held, ""]).encode())
 
 
 def _written(rows: DataFrame, name: str, suffix: str, write: Callable) -> str:
@@ -77,6 +73,11 @@ def _written(rows: DataFrame, name: str, suffix: str, write: Callable) -> str:
     return f"{folder}/*{suffix}"
 
 
+def _part_bytes(spark: SparkSession, path: str) -> int:
+    size = ranges.listed(spark, path).agg(F.sum("size")).first()[0] or 0
+    return min(max(PART_BYTES, size // PARTS), ranges.RANGE_BYTES)
+
+
 def gleif_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as objects of JSON arrays, cut at object borders when read."""
     path = _written(source_queries.gleif_objects(spark, sf_dir).repartition(4), "arrays", ".json", _array)
@@ -94,11 +95,13 @@ def submission_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def officer_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored member for each nation with the officers' lines of its companies, cut at lines when read."""
+    """Stored members with the officers' lines of a nation's companies, cut at lines when read; each archive has a range of nations and companies."""
     lines = source_queries.officer_lines(spark, sf_dir)
-    laid = lines.repartition(5, "file").sortWithinPartitions("file", "at")
+    # A company's lines lie in one range, so in one member; a nation may lie in several archives.
+    placed = lines.withColumn("company", F.col("at.c_custkey")).repartitionByRange(max(5, task_count(lines)), "file", "company")
+    laid = placed.sortWithinPartitions("file", "at")
     path = _written(laid.select(F.concat("file", F.lit(".dat")).alias("name"), "value"), "officers", ".zip", lambda out, rows: _archive(out, rows, packed=False))
-    found = uk.parse_officers(ranges.zip_lines(spark, path, "*.dat", PART_BYTES))
+    found = uk.parse_officers(ranges.zip_lines(spark, path, "*.dat", _part_bytes(spark, path)))
     return source_queries.officer_columns(found)
 
 

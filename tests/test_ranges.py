@@ -9,6 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from rollcall.plans import range_queries
 from rollcall.sources import gleif, ranges
 from rollcall.streaming import ingest
 
@@ -154,3 +155,15 @@ def test_keys_seen_are_state(spark, tmp_path):
     (tmp_path / "in" / "b").write_text("2\n3\n")
     run()
     assert [r.id for r in ingest.ingested(spark, str(tmp_path / "table")).collect()] == ["3"]
+
+
+def test_parts_grow_with_the_files(spark, tmp_path):
+    """Parts of a fixed 64 KB were 100,000 tasks for files of some GB."""
+    parts = {}
+    for size in (1 << 20, 1 << 33, 1 << 36):
+        folder = tmp_path / str(size)
+        folder.mkdir()
+        with open(folder / "a.zip", "wb") as out:
+            out.truncate(size)  # a hole; the content isn't read
+        parts[size] = range_queries._part_bytes(spark, f"{folder}/*.zip")
+    assert parts == {1 << 20: 64 << 10, 1 << 33: 16 << 20, 1 << 36: ranges.RANGE_BYTES}

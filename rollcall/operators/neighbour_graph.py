@@ -8,7 +8,11 @@ likely to be neighbours.  A hub is a neighbour of many rows; only its best ``hub
 no group grows with the table.
 
 A search keeps a beam of the best rows found for each query and follows their lists, all queries
-in the same joins, until the beams hold no row that has not been followed.
+in the same joins, until the beams hold no row that has not been followed.  How wide a beam must be
+depends on the table, so the best rows of a bounded sample of the queries are also found exactly: while
+the search misses too many of these, it goes on with twice the beam and twice the rows to start from.
+
+Equal vectors would fill each other's lists and cut a graph into islands, so it is built over distinct ones.
 """
 
 from __future__ import annotations
@@ -20,16 +24,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rollcall.operators import vector_search
 from rollcall.operators.vector_search import top_k
 from rollcall.session import ship_package
-from rollcall.stage import drop_stage, staged, task_count
+from rollcall.stage import drop_stage, released, staged, task_count
 
 #: Length of a list, random orders, rows of a block, rounds of descent, rows that a hub meets, rows that each meeting proposes.
 DEGREE, ORDERS, BLOCK, DESCENTS, HUB, SPREAD = 24, 6, 1024, 2, 32, 8
 #: Hyperplanes of an order.
 PLANES = 24
-#: Rows of a beam, rows followed in a round, rounds, and rows where a search starts.
+#: Rows of the first beam, rows followed in a round, rounds of a beam, and rows where a search starts.
 BEAM, FOLLOW, ROUNDS, STARTS = 256, 64, 8, 2048
+#: Queries whose best rows are found exactly, and the share of these that a search must find: 0.9 and what a sample of this size may be off.
+SAMPLE, TARGET = 256, 0.93
 LISTS = "id long, near array<long>, scores array<float>"
 
 
@@ -54,10 +61,31 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def packed(index: DataFrame, id_col: str = "id", vector: str = "v") -> DataFrame:
     """``id, raw``: the 8-bit vectors as bytes, of rows that have an id and a vector with some length; an id counts once."""
+    ship_package(index.sparkSession)
     rows = index.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<tinyint>").alias("v"))
     return rows.mapInArrow(_bytes, "id long, raw binary").groupBy("id").agg(F.min("raw").alias("raw"))
 
 
+def distinct(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``packed`` rows the first id of each vector, ``id, raw``, and the first ``k`` ids of each, ``first, id``."""
+    same = Window.partitionBy("raw")
+    kept = rows.withColumn("nth", F.row_number().over(same.orderBy("id"))).where(F.col("nth") <= k)
+    kept = staged(kept.withColumn("first", F.min("id").over(same)), "graph-rows")
+    return kept.where("nth = 1").select("id", "raw"), kept.select("first", "id")
+
+
+def with_copies(found: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` rows of each query, where ``found`` has first ids; ``copies`` as ``distinct`` gives them, at least ``k`` of each."""
+    pairs = found.select("qid", F.col("id").alias("first"), "score").join(copies, "first")
+    return top_k(pairs.select("qid", "id", "score"), k)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        vectors = [np.frombuffer(x.as_buffer(), np.int8) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.int8()))], ["id", "v"])
+
+
 def _codes(orders: int, seed: int) -> Callable:
     """A row for each order: the signs of the vector's products with its hyperplanes as one number."""
 
@@ -167,51 +195,97 @@ def _entries(starts: bytes, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.ipc.open_stream(starts).read_all().combine_chunks()
         ids = table.column("id").to_numpy()
-        unit = _unit(_rows(table.column("raw").combine_chunks()))
+        raw = table.column("raw").combine_chunks()
+        unit, sizes = _unit(_rows(raw)), np.array([len(x.as_buffer()) for x in raw])
         for batch in batches:
             if batch.num_rows and len(ids):
                 asked = _rows(batch.column(1))
                 width = max(asked.shape[1], unit.shape[1])
                 score = np.pad(asked, ((0, 0), (0, width - asked.shape[1]))) @ np.pad(unit, ((0, 0), (0, width - unit.shape[1]))).T
+                score[np.array([len(x.as_buffer()) for x in batch.column(1)])[:, None] != sizes[None, :]] = -np.inf
                 at = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), at.shape[1])), pa.array(ids[at.ravel()])], ["qid", "id"])
+                fits = np.isfinite(np.take_along_axis(score, at, axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), fits.sum(axis=1))), pa.array(ids[at[fits]])], ["qid", "id"])
 
     return run
 
 
+def _exact(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``qid, id, score``: the best ``k`` of ``rows`` for each query, compared with all of them."""
+    index = rows.select("id", "raw").mapInArrow(_unpacked, "id long, v array<tinyint>")
+    queries = asked.mapInArrow(_unpacked, "id long, v array<tinyint>").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    return vector_search.search(index, queries, k).where("score IS NOT NULL").select("qid", "id", "score", "rank")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, [p.select(*parts[0].columns) for p in parts])
+
+
 def graph_search(
-    rows: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, follow: int = FOLLOW, rounds: int = ROUNDS, starts: int = STARTS
+    rows: DataFrame,
+    graph: DataFrame,
+    queries: DataFrame,
+    k: int = 10,
+    beam: int = BEAM,
+    follow: int = FOLLOW,
+    rounds: int = ROUNDS,
+    starts: int = STARTS,
+    sample: int = SAMPLE,
+    target: float = TARGET,
 ) -> DataFrame:
     """``qid, id, score, rank``: the best ``k`` rows found for each query, scores to six places.
 
     ``queries`` has ``qid, q``; one without an id or whose vector is null, zero or holds a null finds nothing.  The search starts from
     the best of ``starts`` rows, those with the smallest hashes of their ids, which go to the workers (a
     few hundred bytes each).  In a round the lists of up to ``follow`` rows of each query's ``beam`` are followed.
-    Ties stand by id.  An empty index or set of queries gives no rows.
+    When ``rounds`` are over or nothing is left to follow, the results of ``sample`` queries are compared with their exact ones.
+    While less than ``target`` of these are found, beam, follow and starts double; the exact rows themselves are not used.
+    It ends at the latest when it has started from all rows.  Ties stand by id.  An empty index or set of queries gives no rows.
     """
-    asked = staged(packed(queries, "qid", "q").select(F.col("id").alias("qid"), F.col("raw").alias("asked")), "graph-queries")
-    first = rows.orderBy(F.xxhash64("id"), "id").limit(starts).toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, first.schema) as out:
-        out.write_table(first)
-    pairs = asked.mapInArrow(_entries(sink.getvalue().to_pybytes(), follow), "qid long, id long")
-    found = staged(_pair_scores(pairs, rows, asked).withColumn("done", F.lit(False)), "graph-found")
-    parts = [found]  # what each round has found; a row's state is in the last beam
-    state = found
-    for _ in range(rounds):
-        best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-        ranked = state.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= beam)
-        turn = Window.partitionBy("qid").orderBy("done", "nth")
-        ranked = staged(ranked.withColumn("now", ~F.col("done") & (F.row_number().over(turn) <= follow)).select("qid", "id", "score", "done", "now"), "graph-beam")
-        frontier = ranked.where("now")
-        if not frontier.take(1):
-            break
-        onward = frontier.select("qid", "id").join(graph.select("id", "near"), "id").select("qid", F.explode("near").alias("id")).distinct()
-        seen = reduce(DataFrame.union, [p.select("qid", "id") for p in parts])
-        new = staged(_pair_scores(onward.join(seen, ["qid", "id"], "left_anti"), rows, asked).withColumn("done", F.lit(False)), "graph-found")
-        parts.append(new)
-        state = ranked.select("qid", "id", "score", (F.col("done") | F.col("now")).alias("done")).union(new)
-    result = staged(top_k(state.withColumn("score", F.round("score", 6)), k).select("qid", "id", "score", "rank"), "graph-result")
+    ship_package(rows.sparkSession)
+    with released() as keep:
+        asked = staged(packed(queries, "qid", "q").select(F.col("id").alias("qid"), F.col("raw").alias("asked")), "graph-queries")
+        sampled = staged(asked.orderBy(F.xxhash64("qid"), "qid").limit(sample), "graph-sample")
+        exact = staged(_exact(rows, sampled, k), "graph-exact")
+        hashed = rows.select("id", "raw", F.xxhash64("id").alias("hash"))
+        first = hashed.orderBy("hash", "id").limit(starts).toArrow()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, first.schema) as out:
+            out.write_table(first)
+        # Hashes up to this one have been started from; rows lie evenly among them.
+        least, last = -(1 << 63), (1 << 63) - 1
+        upto = first.column("hash")[-1].as_py() if len(first) == starts else last
+        pairs = asked.mapInArrow(_entries(sink.getvalue().to_pybytes(), max(follow, k)), "qid long, id long")
+        found = staged(_pair_scores(pairs, rows, asked), "graph-found")
+        parts, followed = [found], []  # what each round has found and followed; a row's state is in the last beam
+        state = found.withColumn("done", F.lit(False))
+        while True:
+            for _ in range(rounds):
+                best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
+                ranked = state.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= beam)
+                turn = Window.partitionBy("qid").orderBy("done", "nth")
+                ranked = staged(ranked.withColumn("now", ~F.col("done") & (F.row_number().over(turn) <= follow)).select("qid", "id", "score", "done", "now"), "graph-beam")
+                state = ranked.select("qid", "id", "score", (F.col("done") | F.col("now")).alias("done"))
+                frontier = ranked.where("now").select("qid", "id")
+                if not frontier.take(1):
+                    break
+                followed.append(frontier)
+                onward = frontier.join(graph.select("id", "near"), "id").select("qid", F.explode("near").alias("id")).distinct()
+                parts.append(staged(_pair_scores(onward.join(_union(parts).select("qid", "id"), ["qid", "id"], "left_anti"), rows, asked), "graph-found"))
+                state = state.union(parts[-1].withColumn("done", F.lit(False)))
+            best = top_k(state.join(sampled.select("qid"), "qid", "left_semi").withColumn("score", F.round("score", 6)), k)
+            share = recall(best, exact, k).agg(F.sum("found").alias("found"), F.sum("wanted").alias("wanted")).first()
+            if upto == last or not share.wanted or share.found >= target * share.wanted:
+                break
+            beam, follow = 2 * beam, 2 * follow
+            more, upto = upto, min(upto + (upto - least) + 1, last)
+            entries = _exact(hashed.where(F.col("hash").between(more + 1, upto)), asked, max(follow, k)).drop("rank")
+            parts.append(staged(entries.join(_union(parts).select("qid", "id"), ["qid", "id"], "left_anti"), "graph-found"))
+            # Rows that fell out of the smaller beam may be in this one.
+            seen = _union(followed).withColumn("done", F.lit(True)) if followed else state.select("qid", "id", "done")
+            state = _union(parts).join(seen, ["qid", "id"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+        result = staged(top_k(state.withColumn("score", F.round("score", 6)), k).select("qid", "id", "score", "rank"), "graph-result")
+        keep.append(result)
     return result
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rollcall.functions import vectors
 from rollcall.operators import neighbour_graph, stats, vector_search
 from rollcall.plans.tables import table
-from rollcall.stage import staged
 
 DIMS = 16
 
@@ -87,8 +86,9 @@ def _graph_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     """The index, the queries, and what the neighbour graph finds for them."""
     index = _index(spark, sf_dir)
     queries = _queries(index).select("qid", "q")
-    rows = staged(neighbour_graph.packed(index), "graph-rows")
-    return index, queries, neighbour_graph.graph_search(rows, neighbour_graph.build_graph(rows), queries, 10)
+    rows, copies = neighbour_graph.distinct(neighbour_graph.packed(index), 10)
+    found = neighbour_graph.graph_search(rows, neighbour_graph.build_graph(rows), queries, 10)
+    return index, queries, neighbour_graph.with_copies(found, copies, 10)
 
 
 def vec_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,36 @@ def test_small_and_empty_tables(spark):
     assert [(r.qid, r.id, r.score, r.rank) for r in sorted(found)] == [(1, 7, 1.0, 1), (1, 8, 0.8, 2)]
     one = graph_index.packed(spark.createDataFrame([(7, [1, 2])], "id long, v array<tinyint>"))
     assert [r.id for r in graph_index.graph_search(one, graph_index.build_graph(one), queries).collect()] == [7]
+
+
+def _recall(spark, index, found, queries):
+    score = graph_index.recall(found, vector_search.search(index, queries, 10)).agg(F.sum("found").alias("found"), F.sum("wanted").alias("wanted")).first()
+    return score.found / score.wanted
+
+
+def _random(spark, n, dims, copies=1):
+    ints = np.clip(np.rint(np.random.default_rng(5).normal(size=(n, dims)) * 40), -127, 127).astype(int)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(ints)], "i long, v array<tinyint>")
+    return vector_search.with_norms(rows.crossJoin(spark.range(copies)).select((F.col("i") + n * F.col("id")).alias("id"), "v").repartition(4))
+
+
+def test_search_widens_until_its_recall_is_reached(spark):
+    """A poor graph of random vectors, and a beam too narrow for it: in a larger table every beam is."""
+    index = _random(spark, 3000, 32)
+    queries = index.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    rows = graph_index.packed(index)
+    graph = graph_index.build_graph(rows, degree=8, orders=2, descents=1, block=64)
+    found = graph_index.graph_search(rows, graph, queries, 10, beam=16, follow=8, starts=16).cache()
+    assert _recall(spark, index, found, queries) >= 0.9
+    assert found.groupBy("qid").agg(F.count_distinct("id").alias("n"), F.max("rank").alias("last")).where("n = 10 AND last = 10").count() == 150
+
+
+def test_copies_leave_the_graph_whole(spark):
+    """With more copies than a list is long, lists of all rows would lead to copies only."""
+    index = _random(spark, 400, 16, copies=40)
+    queries = index.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    rows, copies = graph_index.distinct(graph_index.packed(index), 10)
+    assert (rows.count(), copies.count()) == (400, 4000)
+    found = graph_index.graph_search(rows, graph_index.build_graph(rows, block=64), queries, 10, starts=16)
+    best = graph_index.with_copies(found, copies, 10).cache()
+    assert {tuple(r) for r in best.collect()} == {tuple(r) for r in vector_search.search(index, queries, 10).select("qid", "id", "score", "rank").collect()}
